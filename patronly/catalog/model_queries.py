@@ -48,7 +48,7 @@ def _pca_columns(s):
 
 
 def _pca_mixed(s):
-    rows = materialize(flows.mixed_table(s.first_summary, s.stored))
+    rows = materialize(flows.mixed_table(s.stored_first_summary, s.stored))
     return mo.pca_mixed(rows, ["AvgOrderValue", "AvgPromoDiscount", "AvgQuantity"],
                         ["ShippingSimple", *flows.SEASON_FLAGS])[0]
 
@@ -121,7 +121,7 @@ add("explain_clusters_tree", _explained)
 
 # ---------------------------------------------------------------- classifiers
 def _sessions(s):
-    return flows.session_table(s.first_summary, s.clean, s.raw("bigquery_events"), views.FIRST_ORDER_CUTOFF,
+    return flows.session_table(s.stored_first_summary, s.clean, s.raw("bigquery_events"), views.FIRST_ORDER_CUTOFF,
                                {"PctOrdersWithLabel": 1.0})
 
 

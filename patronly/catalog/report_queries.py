@@ -114,7 +114,7 @@ LABEL_RULES = """case when AvgOrderItemTotal > 300 then 'Bulk Buyer'
 
 
 def _buyers(s):
-    return fe.has_promo(s.first_summary).select(
+    return fe.has_promo(s.stored_first_summary).select(
         "CustomerId", "OneAndDone", "AvgItemsPerOrder", "AvgOrderItemTotal", "AvgRushFeeAndShipPrice", "HasPromoDiscount")
 
 

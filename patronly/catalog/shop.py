@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import attribution, churn, cleaning, customers, orders, reports
 from ..plans import flows
-from ..session import materialize, prepare
+from ..session import materialize, prepare, shared_folder
 from ..sources import shop_views as views
 
 
@@ -28,9 +26,7 @@ class Shop:
         return self.spark.read.parquet(os.path.join(self.folder, f"{name}.parquet"))
 
     def scratch(self) -> str:
-        """A new folder for written results, in the cluster's shared folder if it names one."""
-        base = self.spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-        return f"{base.rstrip('/')}/run-{uuid.uuid4().hex}"
+        return shared_folder(self.spark)
 
     @property
     def orders(self):
@@ -78,6 +74,10 @@ class Shop:
     def first_summary(self):
         return churn.customer_summary_n(self.stored, "first", 1)
 
+    @cached_property
+    def stored_first_summary(self):
+        return materialize(self.first_summary)
+
     @property
     def product_rows(self):
         return reports.product_type_rows(self.stored_summary)
@@ -98,12 +98,12 @@ class Shop:
 
     @property
     def tree_table(self):
-        return flows.tree_table(self.first_summary, self.clean, self.rollup,
+        return flows.tree_table(self.stored_first_summary, self.clean, self.rollup,
                                 views.FIRST_ORDER_CUTOFF, {"PctOrdersWithLabel": 1.0})
 
     @property
     def prototype_table(self):
-        return flows.prototype_table(self.first_summary, self.clean, views.FIRST_ORDER_CUTOFF,
+        return flows.prototype_table(self.stored_first_summary, self.clean, views.FIRST_ORDER_CUTOFF,
                                      {"PctOrdersWithLabel": 1.0})
 
     @property

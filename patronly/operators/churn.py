@@ -11,8 +11,8 @@ from ..constants import (
 )
 from ..functions.columns import true_or_false, whole_days
 from .customers import (
-    as_of_now, by_time, customer_hours, customer_pct, customer_profile, first_n_orders,
-    gap_columns, last_n_orders,
+    SHARE_GROUPS, as_of_now, by_time, customer_hours, customer_profile, first_n_orders,
+    flag_share_columns, gap_columns, label_shares, last_n_orders,
 )
 from .orders import season_flags_of
 
@@ -33,9 +33,11 @@ class SeasonRule:
     max_gap: int = 2000
     season: str | None = None
 
-    def rows(self) -> Column:
+    def hour_columns(self, seasons: dict[str, Column]) -> dict[str, Column]:
+        """Per hour: is it in the rule's season at all, and in its months."""
         inside = true_or_false(F.month("Hour").isin(*self.months))
-        return inside & season_flags_of("Hour")[self.season] if self.season else inside
+        asked = seasons[self.season] if self.season else F.lit(True)
+        return {f"{self.name}_asked": asked, f"{self.name}_in": asked & inside}
 
 
 # The shop's seasons.
@@ -48,20 +50,22 @@ RULES = (HOLIDAY, SUMMER, ELECTION, PRESIDENTIAL)
 
 
 def _with_previous(hours: DataFrame, rules) -> DataFrame:
-    """Adds, per rule, the last in-season time before each hour (one sort for all)."""
+    """Adds each rule's season marks and the last in-season time before each hour (one
+    sort for all rules)."""
+    seasons = season_flags_of("Hour")
+    hours = hours.withColumns({n: c for r in rules for n, c in r.hour_columns(seasons).items()})
     before = by_time().rowsBetween(Window.unboundedPreceding, -1)
     return hours.withColumns({
-        f"Prev_{r.name}": F.last(F.when(r.rows(), F.col("LastTime")), ignorenulls=True).over(before)
+        f"{r.name}_prev": F.last(F.when(F.col(f"{r.name}_in"), F.col("LastTime")), ignorenulls=True).over(before)
         for r in rules
     })
 
 
 def _rule_columns(rule: SeasonRule) -> dict[str, Column]:
-    inside, previous = rule.rows(), F.col(f"Prev_{rule.name}")
+    inside, previous = F.col(f"{rule.name}_in"), F.col(f"{rule.name}_prev")
     new_year = previous.isNull() | (F.year(previous) != F.year("Hour"))
-    seasonal = season_flags_of("Hour")[rule.season] if rule.season else F.lit(True)
     return {
-        f"{rule.name}_any": F.bool_or(seasonal),
+        f"{rule.name}_any": F.bool_or(f"{rule.name}_asked"),
         f"{rule.name}_rows": F.sum(F.when(inside, F.col("Rows"))),
         f"{rule.name}_years": F.sum(F.when(inside & new_year, 1)),
         f"{rule.name}_gap": F.max(F.when(inside, whole_days(previous, F.col("FirstTime")))),
@@ -182,17 +186,19 @@ CHURN_COLUMNS = ["CustomerId", "DaysSinceLastOrder", "NewCustomerLast90Days", "E
 
 
 def churn_profile(orders: DataFrame, now=None, rules=RULES, min_pct: float = 0.5,
-                  min_orders: int = 2, annual_gap=ANNUAL_GAP, grace: dict = PATTERN_GRACE) -> DataFrame:
+                  min_orders: int = 2, annual_gap=ANNUAL_GAP, grace: dict = PATTERN_GRACE,
+                  extra: dict | None = None) -> DataFrame:
     """Customer profile with patterns and churn labels: one shuffle of order rows
     (already summed per hour), one sort per customer, no join."""
-    extra = {n: c for r in rules for n, c in _rule_columns(r).items()}
-    extra.update(_annual_columns(*annual_gap))
-    profile = customer_profile(orders, extra, lambda hours: _with_previous(hours, rules))
+    helpers = {n: c for r in rules for n, c in _rule_columns(r).items()}
+    helpers.update(_annual_columns(*annual_gap))
+    profile = customer_profile(orders, {**helpers, **(extra or {})},
+                               lambda hours: _with_previous(hours, rules))
     repeat = F.col("TotalOrders") > 1
     profile = profile.withColumns({
         **{r.name: _rule_result(r, repeat) for r in rules},
         "AnnualPattern": _annual_result(repeat, min_pct, min_orders),
-    }).drop(*extra)
+    }).drop(*helpers)
     at = clock(orders, now)
     labelled = exceeded_cadence(new_customer_90d(recency(profile, at), at))
     return n_and_churned(likely_churned(labelled, grace=grace))
@@ -204,14 +210,22 @@ def churn_table(orders: DataFrame, **options) -> DataFrame:
 
 
 def customer_summary(orders: DataFrame, **options) -> DataFrame:
-    """Aggregates, patterns, labels and shares: one row per customer."""
-    return churn_profile(orders, **options).join(customer_pct(orders), "CustomerId", "left")
+    """Aggregates, patterns, labels and shares: one row per customer.
+
+    Flag shares come out of the same pass as the profile; only label shares, which
+    count distinct orders, need a (narrow) second one.
+    """
+    profile = churn_profile(orders, extra=flag_share_columns(), **options)
+    return profile.join(label_shares(orders, SHARE_GROUPS), "CustomerId", "left")
 
 
-def customer_summary_n(orders: DataFrame, side: str, n: int, churn: DataFrame | None = None,
-                       pct: DataFrame | None = None, **options) -> DataFrame:
-    """Aggregates over the first or last ``n`` orders; labels and shares over all."""
+def customer_summary_n(orders: DataFrame, side: str, n: int, summary: DataFrame | None = None,
+                       **options) -> DataFrame:
+    """Aggregates over the first or last ``n`` orders; labels and shares over all.
+
+    ``summary`` is the stored all-orders summary, if there is one.
+    """
     chosen = {"first": first_n_orders, "last": last_n_orders}[side](orders, n)
-    churn = churn_table(orders, **options) if churn is None else churn.select(*CHURN_COLUMNS)
-    pct = customer_pct(orders) if pct is None else pct
-    return customer_profile(chosen).join(churn, "CustomerId", "left").join(pct, "CustomerId", "left")
+    summary = customer_summary(orders, **options) if summary is None else summary
+    whole = summary.select(*CHURN_COLUMNS, *[c for c in summary.columns if c.startswith("Pct")])
+    return customer_profile(chosen).join(whole, "CustomerId", "left")

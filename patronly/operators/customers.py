@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..constants import HOUR_LABELS, SHIP_LABELS
 from ..functions.columns import as_int, true_or_false, whole_days
 from ..functions.skew import row_order
+from .orders import month_edge_flags_of, season_flags_of, shipping_binary, work_flags_of
 
 # Output column -> order column whose mean it is.
 MEANS = {
@@ -39,8 +40,10 @@ FLAG_SHARES = {
     "PctOrdersWithLabel": "OrderContainsLabel",
     "PctOrdersWithPouch": "OrderContainsPouch",
 }
-MODES = {"ModeHour": ("HourOfDay", range(24)), "ModeDayOfWeek": ("DayOfWeek", range(7)),
-         "ModeMonth": ("Month", range(1, 13))}
+PRODUCT_FLAGS = {n: c for n, c in FLAG_SHARES.items() if c.startswith("OrderContains")}
+# Mode column -> (calendar part of an hour, its possible values).
+MODES = {"ModeHour": ("hour(Hour)", range(24)), "ModeDayOfWeek": ("weekday(Hour)", range(7)),
+         "ModeMonth": ("month(Hour)", range(1, 13))}
 
 
 def known_customers(orders: DataFrame) -> DataFrame:
@@ -96,6 +99,7 @@ def customer_hours(orders: DataFrame) -> DataFrame:
     """Per customer and clock hour: row counts, first and last time, and the sums and
     counts behind every customer mean."""
     measures = [c for c in dict.fromkeys(MEANS.values()) if c in orders.columns]
+    flags = [c for c in PRODUCT_FLAGS.values() if c in orders.columns]
     return (
         known_customers(orders)
         .groupBy("CustomerId", F.date_trunc("HOUR", "PlacedDateTime").alias("Hour"))
@@ -103,7 +107,8 @@ def customer_hours(orders: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("Rows"), F.count("OrderNumber").alias("Orders"),
             F.min("PlacedDateTime").alias("FirstTime"), F.max("PlacedDateTime").alias("LastTime"),
             *[F.sum(F.col(c).cast("double")).alias(f"Sum_{c}") for c in measures],
-            *[F.count(c).alias(f"Known_{c}") for c in measures],
+            *[F.sum(as_int(c)).alias(f"Sum_{c}") for c in flags],
+            *[F.count(c).alias(f"Known_{c}") for c in [*measures, *flags]],
         )
     )
 
@@ -130,7 +135,6 @@ def gap_stats() -> dict:
     gaps = (_timed_rows() - 1).cast("double")
     total, squares = F.sum("Gap").cast("double"), F.sum(F.col("Gap") * F.col("Gap")).cast("double")
     total, squares = F.coalesce(total, F.lit(0.0)), F.coalesce(squares, F.lit(0.0))
-    spread = (squares - total * total / gaps) / (gaps - 1)
     return {
         "MeanDaysBetweenOrders": F.when(gaps >= 1, F.try_divide(total, gaps)),
         "StdDaysBetweenOrders": F.when(
@@ -139,22 +143,20 @@ def gap_stats() -> dict:
     }
 
 
-def _mode(part, values):
+def _mode(part: str, values):
     """Value with most rows, ties to the smallest, from one count per possible value.
 
     Count and value travel in one number: count first, then smallest value highest.
     """
     values = list(values)
     base, top = len(values), max(values)
-    coded = [
-        F.sum(F.when(part == v, F.col("Rows"))) * base + (top - v) for v in values
-    ]
-    return (F.lit(top) - F.pmod(F.greatest(*coded), F.lit(base))).cast("int")
+    coded = ", ".join(f"sum(if({part} = {v}, Rows, 0)) * {base} + {top - v}" for v in values)
+    mode = F.expr(f"cast({top} - pmod(greatest({coded}), {base}) as int)")
+    return F.when(F.count("Hour") > 0, mode)
 
 
 def mode_columns() -> dict:
-    parts = {"HourOfDay": F.hour("Hour"), "DayOfWeek": F.weekday("Hour"), "Month": F.month("Hour")}
-    return {name: _mode(parts[part], values) for name, (part, values) in MODES.items()}
+    return {name: _mode(part, values) for name, (part, values) in MODES.items()}
 
 
 def total_columns() -> dict:
@@ -205,41 +207,37 @@ def customer_profile(orders: DataFrame, extra: dict | None = None, prepare=None)
 
 
 # ---------------------------------------------------------------- shares
-def _order_labels(orders: DataFrame, groups: dict, flags=()) -> DataFrame:
-    """One row per customer and order: which labels its rows carry, and flag sums.
+def label_shares(orders: DataFrame, groups: dict) -> DataFrame:
+    """Distinct orders with each label over distinct orders, per customer, for several
+    label columns (``groups``: column -> labels).
 
-    Counting distinct orders per label in two steps keeps a hot customer spread
-    over order ids until only counts are left.
+    Labels first become one bit each, joined per order, so a hot customer stays spread
+    over its order ids - as three numbers per order - until only counts are left. A
+    customer none of whose orders has a listed label of a column gets null, not 0.
     """
-    carries = [
-        F.max(true_or_false(F.col(column) == label).cast("int")).alias(f"Has_{label}")
-        for column, labels in groups.items() for label in labels
-    ]
-    sums = [F.sum(as_int(f)).alias(f"On_{f}") for f in flags]
-    known = [F.count(f).alias(f"Known_{f}") for f in flags]
-    return known_customers(orders).groupBy("CustomerId", "OrderNumber").agg(*carries, *sums, *known)
-
-
-def _label_share_columns(groups: dict) -> list:
-    numbered = F.col("OrderNumber").isNotNull().cast("int")
-    total = F.sum(numbered).cast("double")
-    columns = []
-    for labels in groups.values():
-        listed = F.greatest(*[F.max(f"Has_{label}") for label in labels]) == 1
+    bits = {(c, label): 1 << i for i, (c, label) in enumerate(
+        (c, label) for c, labels in groups.items() for label in labels)}
+    mask = sum((F.when(F.col(c) == label, bit).otherwise(0) for (c, label), bit in bits.items()), F.lit(0))
+    per_order = known_customers(orders).groupBy("CustomerId", "OrderNumber").agg(
+        F.bit_or(mask).alias("labels"))
+    numbered = F.col("OrderNumber").isNotNull()
+    has = lambda bit: F.col("labels").bitwiseAND(F.lit(bit)) != 0
+    counts = per_order.groupBy("CustomerId").agg(
+        F.count("OrderNumber").cast("double").alias("all"), F.bit_or("labels").alias("seen"),
+        *[F.count_if(numbered & has(bit)).alias(f"n{bit}") for bit in bits.values()])
+    shares = []
+    for c, labels in groups.items():
+        listed = sum(bits[c, label] for label in labels)
         for label in labels:
-            share = F.try_divide(F.sum(F.col(f"Has_{label}") * numbered).cast("double"), total)
-            columns.append(
-                F.when(listed, F.coalesce(share, F.lit(0.0))).alias(f"Pct{label}"))
-    return columns
+            share = F.try_divide(F.col(f"n{bits[c, label]}").cast("double"), F.col("all"))
+            shares.append(F.when(F.col("seen").bitwiseAND(F.lit(listed)) != 0, F.coalesce(share, F.lit(0.0)))
+                          .alias(f"Pct{label}"))
+    return counts.select("CustomerId", *shares)
 
 
 def label_share(orders: DataFrame, column: str, labels) -> DataFrame:
-    """Distinct orders with each label over distinct orders, per customer.
-
-    A customer none of whose orders has a listed label gets null, not 0.
-    """
-    groups = {column: list(labels)}
-    return _order_labels(orders, groups).groupBy("CustomerId").agg(*_label_share_columns(groups))
+    """Share of one column's labels per customer."""
+    return label_shares(orders, {column: list(labels)})
 
 
 def flag_share(orders: DataFrame, flags: dict = FLAG_SHARES) -> DataFrame:
@@ -248,19 +246,27 @@ def flag_share(orders: DataFrame, flags: dict = FLAG_SHARES) -> DataFrame:
         *[F.avg(as_int(flag)).alias(name) for name, flag in flags.items()])
 
 
+def flag_share_columns() -> dict:
+    """The same shares from hourly totals: calendar flags hold for a whole hour."""
+    calendar = {**month_edge_flags_of("Hour"), **season_flags_of("Hour"), **work_flags_of("Hour")}
+    rows = F.sum("Rows").cast("double")
+    shares = {}
+    for name, flag in FLAG_SHARES.items():
+        if flag in calendar:
+            on = F.sum(F.when(calendar[flag], F.col("Rows")).otherwise(0)).cast("double")
+            shares[name] = F.try_divide(on, rows)
+        else:
+            shares[name] = F.try_divide(
+                F.sum(f"Sum_{flag}").cast("double"), F.sum(f"Known_{flag}").cast("double"))
+    return shares
+
+
 SHARE_GROUPS = {"ShippingType": SHIP_LABELS, "HourCategory": HOUR_LABELS}
 
 
 def customer_pct(orders: DataFrame, flags: dict = FLAG_SHARES, groups: dict = SHARE_GROUPS) -> DataFrame:
-    """All label and flag shares of a customer in one grouping."""
-    flag_columns = [
-        F.try_divide(F.sum(f"On_{f}").cast("double"), F.sum(f"Known_{f}").cast("double")).alias(name)
-        for name, f in flags.items()
-    ]
-    return (
-        _order_labels(orders, groups, flags.values()).groupBy("CustomerId")
-        .agg(*_label_share_columns(groups), *flag_columns)
-    )
+    """All label and flag shares of a customer."""
+    return label_shares(orders, groups).join(flag_share(orders, flags), "CustomerId", "left")
 
 
 # ---------------------------------------------------------------- selections and scalars
@@ -289,8 +295,6 @@ def with_report_names(summary: DataFrame) -> DataFrame:
 
 def first_order_flags(summary: DataFrame, first_orders: DataFrame, rollup: DataFrame) -> DataFrame:
     """Summary with the first order's product flags and two-way shipping label."""
-    from .orders import shipping_binary
-
     contains = {
         f"OrderContains{kind}": f"FirstOrderContains{kind}" for kind in ["Label", "Sticker", "Pouch"]
     }

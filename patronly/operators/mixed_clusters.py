@@ -118,7 +118,7 @@ def gower_to_landmarks(df: DataFrame, marks: DataFrame, numeric, categorical,
         F.col(key).alias("id"), *[F.col(c).cast("double").alias(c) for c in numeric],
         *[F.col(c).cast("string").alias(c) for c in categorical]).orderBy("id").collect()
     array = F.array(*[
-        F.struct(F.lit(r["id"]).alias("id"), *[F.lit(r[c]).alias(c) for c in [*numeric, *categorical]])
+        F.struct(F.lit(r["id"]).cast(df.schema[key].dataType).alias("id"), *[F.lit(r[c]).alias(c) for c in [*numeric, *categorical]])
         for r in rows])
 
     def distance(mark):

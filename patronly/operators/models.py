@@ -27,7 +27,7 @@ def assembled(df: DataFrame, features, column: str = "features") -> DataFrame:
 def _variance_table(spark, ratios, share: float) -> DataFrame:
     rows, total = [], 0.0
     for i, ratio in enumerate(ratios):
-        rows.append((i + 1, float(ratio), float(total + ratio), total < share))
+        rows.append((i + 1, float(ratio), float(total + ratio), bool(total < share)))
         total += ratio
     return spark.createDataFrame(rows, "Component int, Ratio double, Cumulative double, Kept boolean")
 

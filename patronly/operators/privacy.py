@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import AFFILIATE
-from ..functions.columns import key_digest, uniform
+from ..functions.columns import uniform
+from ..functions.skew import small_or_self
 from .cleaning import clean_items, sample_n, shipped_before
 
 # Exported columns and the amounts to jitter.
@@ -73,7 +74,8 @@ def id_reference(df: DataFrame) -> DataFrame:
 def sample_customers(orders: DataFrame, n: int = 10_000, seed: int = 42) -> DataFrame:
     """All orders of ``n`` customers picked by a seeded hash."""
     customers = orders.select("CustomerId").filter(F.col("CustomerId").isNotNull()).distinct()
-    return orders.join(sample_n(customers, n, "CustomerId", seed), "CustomerId", "left_semi")
+    chosen = small_or_self(sample_n(customers, n, "CustomerId", seed))
+    return orders.join(chosen, "CustomerId", "left_semi")
 
 
 def drop_top_customer(orders: DataFrame, customer: str = "CustomerId") -> DataFrame:

@@ -30,19 +30,13 @@ def build_tables(spark: SparkSession, raw: dict[str, DataFrame], folder: str, wo
     summary = stored(summary_name())
     paths |= write_tables({"churn_save": summary.select(*churn.CHURN_COLUMNS)}, folder)
 
-    labels = stored("churn_save")
-    shares = summary.select("CustomerId", *share_columns(summary))
     for side, n in subsets:
-        table = churn.customer_summary_n(features, side, n, churn=labels, pct=shares)
+        table = churn.customer_summary_n(features, side, n, summary)
         paths |= write_tables({summary_name(side, n): table}, folder)
     product_rows = reports.product_type_rows(customers.with_report_names(summary))
     paths |= write_tables({"product_type_df": product_rows}, folder)
     return paths
 
 
-def share_columns(summary: DataFrame) -> list[str]:
-    return [c for c in summary.columns if c.startswith("Pct")]
-
-
 def build_from_folder(spark: SparkSession, raw_folder: str, folder: str, **options) -> dict[str, str]:
     return build_tables(spark, read_tables(spark, raw_folder), folder, **options)

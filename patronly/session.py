@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,16 +43,21 @@ def local_session(cores: int | str = 8, app: str = "patronly", memory: str = "8g
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder for intermediate tables, in the place the cluster names in
+    ``spark.checkpoint.dir``; only where none is set (tests) in a scratch folder."""
+    base = (spark.conf.get("spark.checkpoint.dir", None)
+            or spark.sparkContext.getCheckpointDir() or tempfile.gettempdir())
+    return f"{base.rstrip('/')}/run-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the checkpoint folder and continue from the files.
+    """Write ``df`` once as a Parquet table in the shared folder and go on from it.
 
-    Used in front of iterative work, so that iterations reread a table instead
-    of recomputing joins, and a lost executor costs only a reread. The folder is
-    the cluster's ``spark.checkpoint.dir``; only where none is configured (tests)
-    a scratch folder is set.
+    Used in front of iterative and many-branched work: every later pass reads only
+    its columns of the table instead of recomputing joins, and a lost executor
+    costs only a reread.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="run-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,15 +11,22 @@ SMALL_ROWS = 100_000
 HOT_ROWS = 1_000_000
 
 
+def is_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> bool:
+    """Whether a table has at most ``max_rows`` rows (stops counting beyond)."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def salted_join(fact: DataFrame, dimension: DataFrame, fact_key: str, dimension_key: str,
-                how: str = "left", salts: int = SALTS) -> DataFrame:
+                how: str = "left", salts: int = SALTS, max_rows: int = SMALL_ROWS) -> DataFrame:
     """Join a fact table to a dimension whose key may be hot (or null) in the fact.
 
-    Rows of one fact key spread over ``salts`` partitions, and the dimension is
-    repeated once per salt. No broadcast is forced: Spark broadcasts by its own
-    size check, and otherwise the salt keeps a third-of-all-rows key (null
-    included) off a single task.
+    A dimension counted at ``max_rows`` rows or fewer is broadcast. Beyond that, fact
+    rows of one key spread over ``salts`` partitions and the dimension is repeated
+    once per salt, which keeps a third-of-all-rows key (null included) off a single
+    task.
     """
+    if is_small(dimension, max_rows):
+        return fact.join(F.broadcast(dimension), F.col(fact_key) == F.col(dimension_key), how)
     salt = F.pmod(F.xxhash64(*fact.columns), F.lit(salts)).cast("int")
     left = fact.withColumn("_salt", salt)
     right = dimension.withColumn("_dim_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -27,22 +27,30 @@ class Prototypes:
     sizes: list[int] = field(default_factory=list)
     costs: list[float] = field(default_factory=list)
 
-    def distances(self) -> list[Column]:
-        """Squared numeric distance plus gamma per differing category, per centre."""
-        result = []
-        for numbers, names in self.centres:
-            parts = [F.pow(F.col(c) - F.lit(float(v)), F.lit(2.0)) for c, v in zip(self.numeric, numbers)]
-            parts += [F.when(F.col(c).cast("string") == F.lit(v), F.lit(0.0)).otherwise(F.lit(self.gamma))
-                      for c, v in zip(self.categorical, names)]
-            result.append(sum(parts[1:], parts[0]))
-        return result
+    def distances(self) -> Column:
+        """Array of the squared numeric distance plus gamma per differing category, one
+        entry per centre. Plain arithmetic on literals, which compiles with the scan."""
+        gamma = f"{float(self.gamma)!r}D"
+
+        def one(numbers, names):
+            parts = [f"(`{c}` - {_number(v)}) * (`{c}` - {_number(v)})" for c, v in zip(self.numeric, numbers)]
+            parts += [f"if(cast(`{c}` as string) = {_text(v)}, 0.0D, {gamma})" for c, v in zip(self.categorical, names)]
+            return " + ".join(parts)
+
+        return F.expr("array(" + ", ".join(one(*c) for c in self.centres) + ")")
 
     def assign(self, df: DataFrame, cluster: str = "Cluster") -> DataFrame:
         """Adds the nearest centre (ties: lowest index) and its distance."""
-        nearest = F.array_min(F.array(*[
-            F.struct(d.alias("d"), F.lit(i).alias("i")) for i, d in enumerate(self.distances())]))
-        return df.withColumn("_near", nearest).withColumns({
-            cluster: F.col("_near.i"), "Distance": F.col("_near.d")}).drop("_near")
+        return df.withColumn("_all", self.distances()).withColumn("Distance", F.array_min("_all")).withColumn(
+            cluster, (F.array_position("_all", F.col("Distance")) - 1).cast("int")).drop("_all")
+
+
+def _number(value) -> str:
+    return f"({float(value)!r}D)"
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _default_gamma(df: DataFrame, numeric) -> float:

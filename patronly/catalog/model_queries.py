@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from .. import constants as k
 from ..operators import (
     attributions as ab, features as fe, mixed_clusters as mc, models as mo, reports as rp,
 )
@@ -98,6 +99,24 @@ def _hierarchy(s):
 
 
 add("hierarchical_segments", _hierarchy)
+add("hierarchical_values", lambda s: rp.cluster_value_summary(
+    materialize(s.prototype_table).join(_hierarchy(s), "CustomerId")))
+
+
+def _first_order_rows(s):
+    return materialize(flows.mixed_table(s.stored_first_summary, s.stored))
+
+
+def _first_order_prototypes(s):
+    rows = materialize(flows.mixed_prototypes(_first_order_rows(s)))
+    model = mc.kprototypes(rows, [f"Scaled_{c}" for c in flows.MIXED_NUMERIC], flows.MIXED_CATEGORICAL, 4)
+    return model.assign(rows)
+
+
+add("kprototypes_first_order", lambda s: _first_order_prototypes(s).select("CustomerId", "OneAndDone", "Cluster"))
+add("kprototypes_value_bins", lambda s: rp.crosstab_share(
+    rp.with_bucket(_first_order_prototypes(s), "ValueBin", "AvgOrderValue", k.ORDER_VALUE_EDGES,
+                   k.ORDER_VALUE_LABELS, include_lowest=False), "Cluster", "ValueBin"))
 
 
 def _tree(s):
@@ -150,6 +169,8 @@ def _log_scaled(s):
 
 add("boosted_churn", lambda s: _classifier(s)["scored"].select("CustomerId", "label", "score", "prediction"))
 add("boosted_churn_report", lambda s: _classifier(s)["report"])
+add("boosted_first_order", lambda s: flows.first_order_classifier(
+    _first_order_rows(s), trees=TREES)["scored"].select("CustomerId", "label", "score", "prediction"))
 
 
 def _boosted_regularised(s):
@@ -179,6 +200,9 @@ def _warning_model(s):
     return mo.score(mo.logistic_churn(train, z, "LikelyChurned", balanced=False), test, z, "LikelyChurned")
 
 
+add("warning_components", lambda s: mo.pca_by_variance(*_warning_rows(s), 1.0)[1])
+add("boosted_warning", lambda s: flows.warning_classifier(
+    _warning_rows(s)[0], trees=TREES)["scored"].select("CustomerId", "label", "score", "prediction"))
 add("warning_logistic", lambda s: _warning_model(s).select("CustomerId", "label", "score"))
 add("feature_importance", lambda s: mo.feature_importance(
     _regularised(s)[0], flows.CLUSTER_FEATURES, s.spark))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import (
-    attribution, cleaning, customers, features, metrics, models, orders,
+    attribution, cleaning, customers, features, metrics, models, orders, warning,
 )
 from ..session import materialize
 
@@ -73,14 +73,14 @@ def pca_table(summary: DataFrame) -> DataFrame:
     return features.numeric_features(capped, PCA_EXCLUDE)
 
 
-def one_and_done_classifier(table: DataFrame, label: str = "OneAndDone", columns=SESSION_FEATURES,
-                            threshold: float = 0.45, trees: int = 100, seed: int = 42,
-                            fraction: float = 0.2) -> dict:
-    """Encode, split, weight, fit, score and evaluate; returns model and tables."""
-    encoded = features.label_encode(table, columns)
+def classifier(table: DataFrame, label: str, columns, categorical=(), weighted: bool = True,
+               threshold: float = 0.45, trees: int = 100, seed: int = 42, fraction: float = 0.2) -> dict:
+    """Encode, split by class, weight, boost, score and evaluate; returns model and tables."""
+    encoded = features.label_encode(table.select("CustomerId", label, *columns), categorical)
     split = materialize(features.stratified_split(encoded, label, fraction, seed))
     train, test = split.filter(~F.col("IsTest")), split.filter("IsTest")
-    model = models.boosted_churn(features.class_weights(train, label), columns, label,
+    weight = "Weight" if weighted else None
+    model = models.boosted_churn(features.class_weights(train, label), columns, label, weight=weight,
                                  trees=trees, seed=seed)
     scored = metrics.threshold_predict(models.score(model, test, columns, label), threshold)
     return {
@@ -89,3 +89,34 @@ def one_and_done_classifier(table: DataFrame, label: str = "OneAndDone", columns
         "curve": metrics.pr_curve(scored), "auc": metrics.roc_auc(scored),
         "importance": models.feature_importance(model, columns, table.sparkSession),
     }
+
+
+def one_and_done_classifier(sessions: DataFrame, **options) -> dict:
+    """One-and-done from the web session of the first order."""
+    return classifier(sessions, "OneAndDone", SESSION_FEATURES, SESSION_FEATURES, **options)
+
+
+def first_order_classifier(mixed: DataFrame, **options) -> dict:
+    """One-and-done from the first order's own values, unweighted, cut at one half."""
+    categorical = ["ShippingType", *SEASON_FLAGS]
+    columns = ["AvgOrderValue", "AvgPromoDiscount", "AvgQuantity", *categorical]
+    rows = features.drop_incomplete(features.abs_discount(mixed), ["OneAndDone", *columns])
+    return classifier(rows, "OneAndDone", columns, categorical, weighted=False,
+                      **{"threshold": 0.5, **options})
+
+
+def warning_classifier(warnings: DataFrame, **options) -> dict:
+    """Churn from the newest order's deviations, unknown ones read as 0."""
+    columns = list(warning.DEVIATIONS)
+    return classifier(features.fill_zero(warnings, columns), "LikelyChurned", columns,
+                      **{"threshold": 0.5, **options})
+
+
+def mixed_prototypes(mixed: DataFrame) -> DataFrame:
+    """First-order rows for mixed clustering: raw values kept, scaled copies as ``Scaled_…``."""
+    rows = features.drop_incomplete(
+        features.abs_discount(mixed), ["OneAndDone", *MIXED_NUMERIC, *MIXED_CATEGORICAL])
+    rows = rows.select("CustomerId", "OneAndDone", *MIXED_NUMERIC, *MIXED_CATEGORICAL)
+    scaled = [f"Scaled_{c}" for c in MIXED_NUMERIC]
+    return features.minmax_scale(
+        rows.withColumns({n: F.col(c) for n, c in zip(scaled, MIXED_NUMERIC)}), scaled)

@@ -35,8 +35,8 @@ ORDERS_FRAME = "select * from (values ('1'), ('2'), ('3'), ('4'), ('5'), ('6'),
 
 add("cut",
     lambda s: s.summary.select(
-        "CustomerId", rp.cut("LifetimeValue", k.SPENDING_EDGES, k.spending_labels()).alias("SpendingBucket"),
-        rp.cut("TotalOrders", k.ORDER_EDGES, k.order_labels()).alias("OrderBucket"),
+        "CustomerId", rp.cut("LifetimeValue", k.SPENDING_EDGES, k.SPENDING_LABELS).alias("SpendingBucket"),
+        rp.cut("TotalOrders", k.ORDER_EDGES, k.ORDER_LABELS).alias("OrderBucket"),
         rp.cut("AvgOrderValue", k.ORDER_VALUE_EDGES, k.ORDER_VALUE_LABELS, False).alias("ValueBin"),
         rp.cut("AvgItemsPerOrder", k.ITEM_EDGES, k.ITEM_LABELS, False).alias("ItemsBin")),
     f"""select CustomerId, {v.spend_case()} as SpendingBucket, {v.ORDER_CASE} as OrderBucket,

@@ -34,31 +34,20 @@ SESSION_ATTRIBUTES = [
     "device_operating_system", "geo_metro",
 ]
 
-# Bucket edges (right-closed).
+# Bucket edges (right-closed) and their labels.
 INF = float("inf")
 SPENDING_EDGES = [0, 100, 500, 1000, 2500, 5000, 10000, 25000, 50000, 250000, INF]
+SPENDING_LABELS = [
+    "$0–100", "$100–500", "$500–1000", "$1000–2500", "$2500–5000", "$5000–10000",
+    "$10000–25000", "$25000–50000", "$50000–250000", "$250000–∞",
+]
 ORDER_EDGES = [1, 2, 3, 4, 5, 6, 10, 20, INF]
+ORDER_LABELS = ["1", "2", "3", "4", "5", "6–10", "10–20", "20–∞"]
 ORDER_VALUE_EDGES = [0, 100, 500, 1000, 5000, INF]
 ORDER_VALUE_LABELS = ["$0-$100", "$100-$500", "$500-$1,000", "$1,000-$5,000", "5,000+"]
 ITEM_EDGES = [0, 0.5, 1, 2, 3, 5, 10, INF]
 ITEM_LABELS = ["0–0.5", "0.5–1", "1–2", "2–3", "3–5", "5–10", "10+"]
 
-
-def _edge(value) -> str:
-    return "∞" if value == INF else str(int(value))
-
-
-def spending_labels(edges=SPENDING_EDGES) -> list[str]:
-    return [f"${_edge(lo)}–{_edge(hi)}" for lo, hi in zip(edges, edges[1:])]
-
-
-def order_labels(edges=ORDER_EDGES) -> list[str]:
-    return [
-        _edge(lo) if hi - lo == 1 else f"{_edge(lo)}–{_edge(hi)}"
-        for lo, hi in zip(edges, edges[1:])
-    ]
-
-
 # Churn rule day counts.
 ACTIVE_DAYS = 35
 QUIET_DAYS = 100

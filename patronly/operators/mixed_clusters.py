@@ -78,28 +78,16 @@ def kprototypes(df: DataFrame, numeric, categorical, k: int = 4, gamma: float |
     numeric, categorical = list(numeric), list(categorical)
     gamma = _default_gamma(df, numeric) if gamma is None else gamma
     model = Prototypes(numeric, categorical, gamma, _start(df, numeric, categorical, k, seed, key))
-    cats = [F.col(c).cast("string").alias(c) for c in categorical]
     for _ in range(rounds):
-        # One row per centre and combination of categories.
-        cells = model.assign(df).groupBy("Cluster", *cats).agg(
-            F.count(F.lit(1)).alias("n"), F.sum("Distance").alias("cost"),
-            *[F.sum(F.col(c).cast("double")).alias(f"s_{c}") for c in numeric]).collect()
-        model.costs.append(sum(r["cost"] for r in cells))
+        found = _round(model.assign(df), numeric, categorical)
+        model.costs.append(sum(r["cost"] for r in found if r["attribute"] == 0))
         centres, sizes = [], []
         for i, old in enumerate(model.centres):
-            mine = [r for r in cells if r["Cluster"] == i]
-            n = sum(r["n"] for r in mine)
+            mine = {r["attribute"]: r for r in found if r["Cluster"] == i}
+            n = mine[0]["n"] if mine else 0
             sizes.append(n)
-            if not n:
-                centres.append(old)
-                continue
-            modes = []
-            for c in categorical:
-                tally: dict[str, int] = {}
-                for r in mine:
-                    tally[r[c]] = tally.get(r[c], 0) + r["n"]
-                modes.append(min(tally, key=lambda v: (-tally[v], v)))
-            centres.append(([sum(r[f"s_{c}"] for r in mine) / n for c in numeric], modes))
+            centres.append(([mine[0][f"s_{c}"] / n for c in numeric],
+                            [mine[j]["mode"] for j in range(len(categorical))]) if n else old)
         model.sizes = sizes
         if len(model.costs) > 1 and model.costs[-2] - model.costs[-1] <= tolerance * max(1.0, model.costs[-1]):
             break
@@ -107,6 +95,25 @@ def kprototypes(df: DataFrame, numeric, categorical, k: int = 4, gamma: float |
     return model
 
 
+def _round(assigned: DataFrame, numeric, categorical) -> list:
+    """Per centre and categorical column: row count, cost, numeric sums, most common value
+    (ties: smallest). Values are counted in long form, so the rows that come back are
+    centres x columns, however many values or combinations a column has.
+    """
+    pairs = [F.struct(F.lit(j).alias("attribute"), F.col(c).cast("string").alias("value"))
+             for j, c in enumerate(categorical)] or [
+        F.struct(F.lit(0).alias("attribute"), F.lit(None).cast("string").alias("value"))]
+    sums = {"cost": F.col("Distance"), **{f"s_{c}": F.col(c).cast("double") for c in numeric}}
+    counted = (
+        assigned.select("Cluster", *[v.alias(n) for n, v in sums.items()], F.explode(F.array(*pairs)).alias("p"))
+        .groupBy("Cluster", "p.attribute", "p.value")
+        .agg(F.count(F.lit(1)).alias("n"), *[F.sum(n).alias(n) for n in sums])
+    )
+    best = F.min(F.struct(-F.col("n"), F.col("value").alias("value")))["value"]
+    return counted.groupBy("Cluster", "attribute").agg(
+        best.alias("mode"), *[F.sum(n).alias(n) for n in ("n", *sums)]).collect()
+
+
 # ---------------------------------------------------------------- landmarks
 def landmarks(df: DataFrame, n: int = 200, key: str = "CustomerId", seed: int = 42) -> DataFrame:
     """At most ``n`` seeded rows to measure all others against."""

@@ -16,12 +16,12 @@ from conftest import rows
 
 def test_bins_are_right_closed(spark):
     df = spark.createDataFrame([(v,) for v in [0.0, 100.0, 100.01, -1.0, 250000.5, None]], "v double")
-    spend = [r[0] for r in df.select(cut("v", k.SPENDING_EDGES, k.spending_labels())).collect()]
+    spend = [r[0] for r in df.select(cut("v", k.SPENDING_EDGES, k.SPENDING_LABELS)).collect()]
     assert spend == ["$0–100", "$0–100", "$100–500", None, "$250000–∞", None]
     open_low = [r[0] for r in df.select(cut("v", k.ORDER_VALUE_EDGES, k.ORDER_VALUE_LABELS, False)).collect()]
     assert open_low == [None, "$0-$100", "$100-$500", None, "5,000+", None]
     counts = spark.createDataFrame([(n,) for n in [1, 2, 3, 10, 11, 20, 21]], "n int")
-    assert [r[0] for r in counts.select(cut("n", k.ORDER_EDGES, k.order_labels())).collect()] == [
+    assert [r[0] for r in counts.select(cut("n", k.ORDER_EDGES, k.ORDER_LABELS)).collect()] == [
         "1", "1", "2", "6–10", "10–20", "10–20", "20–∞"]
 
 

@@ -1,8 +1,5 @@
 """Queries: customer aggregates, churn rules, early warnings."""
 
-from pyspark.sql import functions as F
-
-from ..functions.columns import true_or_false
 from ..operators import churn as ch, customers as cu, warning as wa
 from . import oracle_views as v
 from .entries import add

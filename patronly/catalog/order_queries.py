@@ -1,8 +1,6 @@
 """Queries: cleaning, order features, attribution."""
 
-from pyspark.sql import functions as F
-
-from ..operators import attribution as at, churn as ch, cleaning as cl, customers as cu, orders as od
+from ..operators import attribution as at, cleaning as cl, customers as cu, orders as od
 from ..sources import shop_views as views
 from ..sources.tables import write_report_csv, write_tables
 from . import oracle_views as v

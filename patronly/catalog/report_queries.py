@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from .. import constants as k
-from ..operators import attribution as at, customers as cu, features as fe, reports as rp
+from ..operators import features as fe, reports as rp
 from ..sources import shop_views as views
 from . import oracle_views as v
 from .entries import add

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..constants import HOUR_LABELS, SHIP_LABELS
-from ..functions.columns import as_int, true_or_false, whole_days
+from ..functions.columns import as_int, whole_days
 from ..functions.skew import row_order
 from .orders import month_edge_flags_of, season_flags_of, shipping_binary, work_flags_of
 

@@ -45,10 +45,21 @@ def local_session(cores: int | str = 8, app: str = "patronly", memory: str = "8g
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder for intermediate tables, in the place the cluster names in
-    ``spark.checkpoint.dir``; only where none is set (tests) in a scratch folder."""
-    base = (spark.conf.get("spark.checkpoint.dir", None)
-            or spark.sparkContext.getCheckpointDir() or tempfile.gettempdir())
-    return f"{base.rstrip('/')}/run-{uuid.uuid4().hex}"
+    ``spark.checkpoint.dir``.
+
+    Where none is set, a local session (tests, one machine) uses a scratch folder;
+    a cluster is refused, since its executors would each write to a disk of their own.
+    The folder goes when the application ends.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.gettempdir()
+    path = f"{base.rstrip('/')}/run-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
 
@@ -17,13 +17,14 @@ def number_rows(df: DataFrame, order, name: str = "number", partitions: int | No
     """
     spark = df.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    window = Window.partitionBy("_slice").orderBy(*order)
-    ranged = df.repartitionByRange(parts, *order).withColumn("_slice", F.spark_partition_id())
-    stored = materialize(ranged.withColumn("_place", F.row_number().over(window).cast("long")))
-    counts = stored.groupBy("_slice").agg(F.count("*").alias("n")).orderBy("_slice").collect()
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # the upper bits of this id are the partition, the lower 33 the place inside it
+    stored = materialize(ranged.withColumn("_id", F.monotonically_increasing_id()))
+    slice_of = F.shiftright("_id", 33)
+    counts = stored.groupBy(slice_of.alias("slice")).agg(F.count("*").alias("n")).orderBy("slice").collect()
     before, starts = 0, []
     for row in counts:
-        starts += [F.lit(row["_slice"]), F.lit(before)]
+        starts += [F.lit(row["slice"]), F.lit(before)]
         before += row["n"]
-    start = F.create_map(*starts)[F.col("_slice")] if starts else F.lit(0)
-    return stored.withColumn(name, (start + F.col("_place") - 1).cast("long")).drop("_slice", "_place")
+    start = F.create_map(*starts)[slice_of] if starts else F.lit(0)
+    return stored.withColumn(name, (start + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("_id")

@@ -54,35 +54,38 @@ def _seed_table(docs: DataFrame, kind: str, window: int, gram: int) -> DataFrame
 
 
 def _seeded_texts(docs: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Stored rows (doc_id, digest, text, shared): the texts that hold an anchor which also
-    stands in another text, with those anchors. Of equal word sequences one text is used."""
+    """Stored rows (doc_id, text, shared): the texts that hold an anchor which also stands
+    under another id, with those anchors. Of equal word sequences one text is used."""
     texts = seeds.filter("doc_id is not null and n_words > 0").groupBy("digest").agg(
         F.min("doc_id").alias("doc_id"), F.first("anchors").alias("anchors"))
-    found = materialize(texts.select("doc_id", "digest", F.explode("anchors").alias("anchor")))
-    shared = found.groupBy("anchor").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high")
-    mine = (found.join(shared.select("anchor"), "anchor").groupBy("doc_id", "digest")
+    found = materialize(texts.select("doc_id", F.explode("anchors").alias("anchor")))
+    shared = found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
+    mine = (found.join(shared.select("anchor"), "anchor").groupBy("doc_id")
             .agg(F.collect_list("anchor").alias("shared")).withColumnRenamed("doc_id", "_id"))
-    return materialize(docs.join(mine, F.col("doc_id") == F.col("_id")).select("doc_id", "digest", "text", "shared"))
+    return materialize(docs.join(mine, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "shared"))
 
 
 def _candidate_windows(texts: DataFrame, kind: str, window: int, gram: int) -> DataFrame:
-    """(first, second, doc_id, digest, at): two hashes of every window around a shared
-    anchor, and where it starts. The two hashes make 128 bits."""
+    """(first, second, doc_id, key, at): a hash of 95 bits, in two parts, of every window
+    around a shared anchor, and where it starts. ``key``, from the digest, tells apart
+    several texts of one id."""
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for doc_id, digest, text, shared in zip(batch["doc_id"], batch["digest"], batch["text"], batch["shared"]):
-                data = text.encode("utf-8", "replace")
-                if _digest(data.split()) != digest:  # another text under the same id
-                    continue
+            for doc_id, text, shared in zip(batch["doc_id"], batch["text"], batch["shared"]):
+                data = (text or "").encode("utf-8", "replace")
                 words = word_hashes(data)
                 at = np.flatnonzero(np.isin(window_anchors(words, window, gram), np.asarray(shared, np.int64).view(np.uint64)))
                 if len(at):
                     yield pd.DataFrame({
                         "first": window_hashes(words, window, BASES[0])[at].view(np.int64),
-                        "second": window_hashes(words, window, BASES[1])[at].view(np.int64),
-                        "doc_id": doc_id, "key": int.from_bytes(digest[:8], "big", signed=True), "at": at.astype("int32")})
+                        "second": (window_hashes(words, window, BASES[1])[at] >> np.uint64(33)).astype("int32"),
+                        "doc_id": doc_id, "key": _key(_digest(data.split())), "at": at.astype("int32")})
+
+    return texts.mapInPandas(extend, f"first long, second int, doc_id {kind}, key int, at int")
+
 
-    return texts.mapInPandas(extend, f"first long, second long, doc_id {kind}, key long, at int")
+def _key(digest: bytes) -> np.int32:
+    return np.int32(int.from_bytes(digest[:4], "big", signed=True))
 
 
 def covered(starts: np.ndarray, window: int, n: int) -> np.ndarray:
@@ -100,7 +103,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Seed: every window has an anchor chosen by its words alone; anchors that stand in more
     than one text are the seeds, found by one sum per anchor over all texts. Extend: of a
-    text with seeds, all windows around them are hashed (128 bits) and the smallest id per
+    text with seeds, all windows around them are hashed (95 bits) and the smallest id per
     window is found; a document's windows with a smaller id than its own are repeats.
     Overlapping ones unite to maximal repeats, which are cut out. No pairs of documents are
     made: a passage in m documents costs m rows. Texts with equal word sequences take part
@@ -121,26 +124,26 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sources = windows.groupBy("first", "second").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).filter("source < last")
     starts = (windows.join(sources, ["first", "second"]).filter("source < doc_id")
               .groupBy("doc_id", "key").agg(F.collect_list("at").alias("starts")))
-    hits = starts.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "starts")
-    digest_key = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
-    cut = texts.join(hits, (F.col("doc_id") == F.col("_id")) & (digest_key == F.col("_key"))).select(
-        "doc_id", "digest", "text", "starts")
+    hits = starts.select(F.col("doc_id").alias("_id"), "key", "starts")
+    cut = texts.select("doc_id", "text").join(hits, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "key", "starts")
 
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for digest, text, starts in zip(batch["digest"], batch["text"], batch["starts"]):
-                words = text.encode("utf-8", "replace").split()
-                if _digest(words) != digest:
-                    out.append((None, None, None))
+            for text, key, starts in zip(batch["text"], batch["key"], batch["starts"]):
+                words = (text or "").encode("utf-8", "replace").split()
+                digest = _digest(words)
+                if _key(digest) != key:  # another text of the same id
+                    out.append((None, None, None, None))
                     continue
                 gone = covered(np.asarray(starts, np.int64), window, len(words))
                 kept = [w for w, g in zip(words, gone) if not g]
-                out.append((int(gone.sum()), _digest(kept), b" ".join(kept).decode("utf-8", "replace") if with_text else None))
-            done = pd.DataFrame(out, columns=["removed", "kept", "kept_text"])
-            yield done.assign(_id=batch["doc_id"].to_numpy(), _digest=batch["digest"].to_numpy())
+                text_left = b" ".join(kept).decode("utf-8", "replace") if with_text else None
+                out.append((int(gone.sum()), _digest(kept), text_left, digest))
+            done = pd.DataFrame(out, columns=["removed", "kept", "kept_text", "_digest"])
+            yield done.assign(_id=batch["doc_id"].to_numpy())
 
-    changed = cut.mapInPandas(remove, f"removed long, kept binary, kept_text string, _id {kind}, _digest binary").filter("removed is not null")
+    changed = cut.mapInPandas(remove, f"removed long, kept binary, kept_text string, _digest binary, _id {kind}").filter("removed is not null")
     changed = changed.dropDuplicates(["_id", "_digest"])  # repeated rows of one id
     first = seeds.filter("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("owner"))
     first = first.select(F.col("digest").alias("_first"), "owner")

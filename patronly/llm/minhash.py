@@ -16,6 +16,7 @@ from .text import BASES, mix, span_hashes, window_hashes, word_hashes
 
 SHINGLE = 5
 CHUNK = 512  # documents whose signatures are computed together
+BLOCK = 768  # documents of a bucket that are compared with another such block at once
 _STEP = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -152,6 +153,101 @@ def _verified(pairs: DataFrame, texts: DataFrame, kind: str, threshold: float) -
     return joined.select("a", "b", "text_a", "text_b").mapInPandas(verify, f"a {kind}, b {kind}")
 
 
+def _linked_in_block(sets: list, roots: np.ndarray, allowed: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links (places in ``sets``) that join different roots, as few as join all that can be
+    joined, among the allowed pairs whose probability Jaccard is large enough.
+
+    Two matrix products give, for all pairs, the share of each text's weight that lies in
+    shared shingles. The smaller share is never below the probability Jaccard, and if no
+    shingle repeats it gives the plain Jaccard, which is then equal to it. Other pairs
+    whose bound is large enough are computed exactly.
+    """
+    n = len(sets)
+    size = np.array([s[1].sum() for s in sets], float)
+    flat = np.array([len(s[0]) for s in sets]) == size
+    owner = np.repeat(np.arange(n), [len(s[0]) for s in sets])
+    hashes, weights = np.concatenate([s[0] for s in sets]), np.concatenate([s[1] for s in sets])
+    _, column, times = np.unique(hashes, return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    _, column = np.unique(column[shared], return_inverse=True)
+    owner, weights = owner[shared], weights[shared]
+    share = np.zeros((n, n), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, weights, column = owner[order], weights[order], column[order]
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        low, high = np.searchsorted(column, (start, start + 2048))
+        part = (owner[low:high], column[low:high] - start)
+        own, has = np.zeros((n, 2048), np.float32), np.zeros((n, 2048), np.float32)
+        own[part], has[part] = weights[low:high], 1
+        share += own @ has.T
+    share = share.astype(float)
+    both = np.where(np.add.outer(size, size) > share, share / (np.add.outer(size, size) - share), 1.0)
+    plain = flat[:, None] & flat[None, :]
+    bound = np.where(plain, both, np.minimum(share / size[:, None], share.T / size[None, :]))
+    parent = {r: r for r in roots.tolist()}
+
+    def find(r):
+        while parent[r] != r:
+            parent[r] = r = parent[parent[r]]
+        return r
+
+    links = []
+    a, b = np.nonzero(np.triu(allowed & (bound >= threshold - 1e-9), 1))
+    for x, y in zip(a.tolist(), b.tolist()):
+        one, two = find(roots[x].item()), find(roots[y].item())
+        if one != two and ((plain[x, y] and both[x, y] >= threshold) or
+                           (not plain[x, y] and probability_jaccard(sets[x], sets[y]) >= threshold)):
+            parent[one] = two
+            links.append((x, y))
+    return links
+
+
+def _crossing_links(members: DataFrame, texts: DataFrame, kind: str, threshold: float) -> DataFrame:
+    """Links between the classes that meet in a bucket, for rows (key, doc_id, root, bands).
+
+    A bucket is cut in blocks of up to ``BLOCK`` documents and every two blocks (nearly
+    always the one with itself) are compared by one call, with the whole texts. A pair that
+    shares several buckets is compared in the first of them. At most one link per document
+    leaves a call, so a bucket of m documents gives rows in proportion to m.
+    """
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    cut = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    cut = (cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+           .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")))
+    rows = cut.join(texts.select(F.col("doc_id").alias("_id"), "text"), F.col("doc_id") == F.col("_id"))
+    rows = rows.select("key", "i", "j", "own", "doc_id", "root", "bands", "text")
+
+    def compare(rows: pd.DataFrame) -> list[tuple]:
+        key, i, j = rows["key"].iloc[0], rows["i"].iloc[0], rows["j"].iloc[0]
+        roots, own = rows["root"].to_numpy(), rows["own"].to_numpy()
+        keys = np.stack(rows["bands"].to_list())
+        band = int(np.flatnonzero(keys[0] == key)[0])
+        allowed = roots[:, None] != roots[None, :]
+        if i != j:
+            allowed &= own[:, None] != own[None, :]
+        for earlier in range(band):
+            allowed &= keys[:, earlier][:, None] != keys[:, earlier][None, :]
+        if not allowed.any():
+            return []
+        ids = rows["doc_id"].to_numpy()
+        return [(ids[x], ids[y]) for x, y in _linked_in_block([shingles(t) for t in rows["text"]], roots, allowed, threshold)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            group = rows.groupby(["key", "i", "j"], sort=False).ngroup().to_numpy()
+            done = group < group[-1] if len(rows) else group < 0
+            links = [link for _, part in rows[done].groupby(group[done]) for link in compare(part)]
+            rest = rows[~done]
+            yield pd.DataFrame(links, columns=["a", "b"])
+        if rest is not None and len(rest):
+            yield pd.DataFrame(compare(rest), columns=["a", "b"])
+
+    ordered = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return ordered.mapInPandas(run, f"a {kind}, b {kind}")
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8,
                  bands: int = 20, rows: int = 4) -> DataFrame:
     """Classes of texts connected by a probability Jaccard of ``threshold`` or more over
@@ -160,10 +256,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts with the same words form one text at once. Signatures of ``bands`` x ``rows``
     registers are banded; a pair at 0.8 shares no band with a chance below 3 in 100,000.
     First every member of a bucket is compared with the bucket's smallest id, which leaves
-    most buckets in one class, however large; then all pairs of a bucket that are still in
-    different classes. Candidates are rejected only if their sketches agree in less than
-    threshold - 0.3 of the registers (over six standard errors) or by the exact similarity
-    of their whole texts.
+    most buckets in one class, however large; such pairs are rejected only if their sketches
+    agree in less than threshold - 0.3 of the registers (over six standard errors) or by the
+    exact similarity of their whole texts. Then, in buckets where classes still meet, the
+    documents of different classes are compared exactly, in blocks.
 
     Null, empty and blank texts are classes of their own, as are rows with a null id.
     Repeated rows share a class. Extra columns are ignored; an empty table gives no rows.
@@ -187,11 +283,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     placed = (members.join(classes, F.col("doc_id") == F.col("node"), "left")
               .select("key", "doc_id", "centre", F.coalesce("root", "doc_id").alias("root")))
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    open_rows = materialize(placed.join(mixed, "key"))
-    other = open_rows.select("key", F.col("doc_id").alias("b"), F.col("root").alias("other_root"))
-    crossing = (open_rows.withColumnRenamed("doc_id", "a").join(other, "key")
-                .filter("root < other_root and centre <> a and centre <> b").select("a", "b").distinct())
-    more = materialize(_verified(_promising(crossing, sketches, kind, threshold - 0.3), texts, kind, threshold))
+    open_rows = (placed.join(mixed, "key").select("key", "doc_id", "root")
+                 .join(sketches.select(F.col("doc_id").alias("_id"), "bands"), F.col("doc_id") == F.col("_id")).drop("_id"))
+    more = materialize(_crossing_links(open_rows, texts, kind, threshold).distinct())
     # the links of the stars are already summed up in their classes
     classes = components(classes.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     same = (sketches.select("digest", "doc_id").join(classes, F.col("doc_id") == F.col("node"), "left")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 MARK = "▁"  # stands for a space inside pieces
 CHUNK_CHARS = 1 << 20
-CACHE = 200_000  # segments remembered per task
+CACHE = 300_000  # segments remembered per Python worker, and as many from before
 
 # Fixed values of the model file: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -139,7 +141,8 @@ class Codec:
         self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.pattern = _segments(self.model)
         self.threads = threads
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, array] = {}
+        self.before: dict[str, array] = {}
         self.wrong: set[str] = set()
         self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else
                       b" \xe2\x81\x87 " if kind == UNKNOWN else p.replace(MARK, " ").encode()
@@ -156,19 +159,20 @@ class Codec:
         found = [e.ids for e in self.core.encode_batch_fast(segments, add_special_tokens=False)]
         plain = [s.replace(MARK, " ")[1:] if self.model.dummy_prefix and s[0] == MARK else s.replace(MARK, " ") for s in segments]
         for segment, mine, theirs in zip(segments, found, self.library.encode(plain, num_threads=self.threads)):
-            self.known[segment] = mine
+            self.known[segment] = array("i", mine)
             if mine != theirs:
                 self.wrong.add(segment)
 
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], bool]]:
         """Ids of each text, and whether all its segments agree with the library."""
         cut = [self.pattern.findall(self.normalise(t)) for t in texts]
-        new = {s for segments in cut for s in segments if s not in self.known}
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = {s for segments in cut for s in segments}
-        if new:
-            self._learn(sorted(new))
+        if len(self.known) > CACHE:
+            self.before, self.known = self.known, {}
+        new = {s for segments in cut for s in segments} - self.known.keys()
+        again = new & self.before.keys()
+        self.known.update((s, self.before[s]) for s in again)
+        if new := new - again:
+            self._learn(list(new))
         for segments in cut:
             ids = list(chain.from_iterable(map(self.known.__getitem__, segments)))
             yield ids, not self.wrong or self.wrong.isdisjoint(segments)
@@ -180,6 +184,18 @@ class Codec:
         return data.decode("utf-8", "replace")
 
 
+_CODECS: dict[bytes, Codec] = {}
+
+
+def _codec(data: bytes, threads: int) -> Codec:
+    """The worker's codec: tasks that follow each other share what it remembers."""
+    key = hashlib.sha256(data).digest() + bytes([threads])
+    if key not in _CODECS:
+        _CODECS.clear()
+        _CODECS[key] = Codec(data, threads)
+    return _CODECS[key]
+
+
 def _broadcast(df: DataFrame, path: str):
     """The model file as a broadcast: one file, read by the driver, a few MB at most."""
     with open(path, "rb") as file:
@@ -206,7 +222,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str,
     rows = docs.select(*keep, F.col(text_col).alias("_text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(model.value, threads)
+        codec = _codec(model.value, threads)
         for batch in batches:
             lengths = batch["_text"].str.len().fillna(0).to_numpy(float)
             group = (lengths.cumsum() // CHUNK_CHARS).astype(int)
@@ -227,7 +243,7 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", keep: tuple[str, ..
     rows = rows.select(*keep, F.col(ids_col).alias("_ids"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(model.value, 1)
+        codec = _codec(model.value, 1)
         for batch in batches:
             yield batch.drop(columns="_ids").assign(text=[None if ids is None else codec.decode(ids) for ids in batch["_ids"]])
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import prepare
 from . import chat, exact, language, minhash, mixture, pieces, quality, substring, toxicity, vectors
 from .text import held_out, may_learn
 
@@ -23,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 @query("op3_exact_dedup", r"""

@@ -81,7 +81,7 @@ def _sample(labelled: DataFrame, fit_rows: int) -> list:
 
 
 def fit(labelled: DataFrame, terms: dict[str, list[str]] = IDENTITY_TERMS, fit_rows: int = 20_000,
-        fairness: float = 4.0, ridge: float = 2e-4, rounds: int = 500) -> Model | None:
+        fairness: float = 10.0, ridge: float = 2e-4, rounds: int = 500) -> Model | None:
     """Fit on rows (doc_id, label, words).
 
     Word statistics cover all rows; the weights are fitted on at most ``fit_rows`` rows

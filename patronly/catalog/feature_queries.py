@@ -76,8 +76,12 @@ add("stratified_split",
     join (select LikelyChurned, quantile_cont({u('CustomerId', 42)}, 0.2) as cut from cluster_data group by 1) using (LikelyChurned)""")
 add("random_split", lambda s: fe.random_split(s.cluster_table).select("CustomerId", "IsTest"),
     f"select CustomerId, {u('CustomerId', 42)} < 0.2 as IsTest from cluster_data")
-add("stratified_folds", lambda s: fe.stratified_folds(s.cluster_table).select("CustomerId", "Fold"),
-    f"select CustomerId, cast(floor({u('CustomerId', 42)} * 5) as int) as Fold from cluster_data")
+# From the meaning: each class has n rows, its folds differ by at most one row.
+add("stratified_folds", lambda s: fe.stratified_folds(s.cluster_table, "LikelyChurned").groupBy("LikelyChurned", "Fold").agg(
+        F.count("*").alias("n")).groupBy("LikelyChurned").agg(
+            F.sum("n").alias("rows"), F.count("*").cast("long").alias("folds"), (F.max("n") - F.min("n") <= 1).alias("even")),
+    """select LikelyChurned, count(*)::bigint as rows, least(5, count(*))::bigint as folds, true as even
+    from cluster_data group by LikelyChurned""")
 add("class_weights",
     lambda s: fe.class_weights(s.cluster_table, "LikelyChurned").select("CustomerId", F.col("Weight").alias("PositiveWeight")).join(
         fe.class_weights(s.cluster_table, "LikelyChurned", "balanced").select("CustomerId", F.col("Weight").alias("BalancedWeight")), "CustomerId"),

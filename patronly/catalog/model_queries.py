@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from .. import constants as k
+from ..functions.columns import uniform
 from ..operators import (
     attributions as ab, features as fe, mixed_clusters as mc, models as mo, reports as rp,
 )
@@ -10,10 +11,20 @@ from ..plans import flows
 from ..session import materialize
 from ..sources import shop_views as views
 from ..streaming import state as st
-from . import oracle_views as v
+from . import feature_queries as fq, oracle_views as v
+from .feature_queries import PCA_NAMES
 from .entries import add
 
-TREES = 10  # boosting rounds in the registered queries; the operators default to 100
+TREES = 100  # boosting rounds
+_FITTED: dict = {}
+
+
+def _once(s, name, fit):
+    """A model that several queries of one application describe is fitted once per folder."""
+    key = (s.spark.sparkContext.applicationId, s.folder, name)
+    if key not in _FITTED:
+        _FITTED[key] = fit()
+    return _FITTED[key]
 
 
 def _scaled(s):
@@ -73,7 +84,7 @@ add("kprototypes_churn", lambda s: rp.churn_by_cluster(_prototypes(s)))
 
 def _gower(s):
     rows = materialize(s.prototype_table)
-    return mc.gower_to_landmarks(rows, mc.landmarks(rows, 25), flows.TREE_NUMERIC, flows.TREE_CATEGORICAL)
+    return mc.gower_to_landmarks(rows, mc.landmarks(rows), flows.TREE_NUMERIC, flows.TREE_CATEGORICAL)
 
 
 v.BLOCKS["proto_data"] = f"""
@@ -89,7 +100,7 @@ add("gower_to_landmarks", _gower, f"""
 select CustomerId, arg_min(mark, (d, mark)) as NearestLandmark, min(d) as NearestDistance, avg(d) as MeanDistance from (
   select a.CustomerId, b.CustomerId as mark, ({' + '.join(map(_part, flows.TREE_NUMERIC))}
       + (a.HasPromoDiscount <> b.HasPromoDiscount)::int + (a.ShippingType <> b.ShippingType)::int) / 5.0 as d
-  from proto_data a cross join (select * from proto_data order by md5(cast(CustomerId as varchar) || ':42') limit 25) b)
+  from proto_data a cross join (select * from proto_data order by md5(cast(CustomerId as varchar) || ':42') limit 200) b)
 group by CustomerId""", "NearestDistance MeanDistance")
 
 
@@ -145,7 +156,7 @@ def _sessions(s):
 
 
 def _classifier(s):
-    return flows.one_and_done_classifier(_sessions(s), trees=TREES)
+    return _once(s, "sessions", lambda: flows.one_and_done_classifier(_sessions(s), trees=TREES))
 
 
 def _churn_rows(s):
@@ -158,9 +169,20 @@ def _split(s):
 
 
 def _regularised(s):
-    train, test = _split(s)
-    model = mo.boosted_regularised(train, flows.CLUSTER_FEATURES, "LikelyChurned", trees=TREES)
-    return model, train, test
+    def fit():
+        train, test = _split(s)
+        return mo.boosted_regularised(train, flows.CLUSTER_FEATURES, "LikelyChurned", trees=TREES), train, test
+    return _once(s, "regularised", fit)
+
+
+def _in_sample(s):
+    return _once(s, "in sample", lambda: mo.boosted_in_sample(
+        _log_scaled(s), flows.SCALE_FEATURES, "LikelyChurned", trees=TREES)[1])
+
+
+def _validated(s):
+    return _once(s, "validated", lambda: mo.cross_validate(
+        _churn_rows(s), flows.CLUSTER_FEATURES, "LikelyChurned", k=5, trees=TREES))
 
 
 def _log_scaled(s):
@@ -179,8 +201,7 @@ def _boosted_regularised(s):
 
 
 add("boosted_regularised", _boosted_regularised)
-add("boosted_in_sample", lambda s: mo.boosted_in_sample(
-    _log_scaled(s), flows.SCALE_FEATURES, "LikelyChurned", trees=TREES)[1].select("CustomerId", "label", "score"))
+add("boosted_in_sample", lambda s: _in_sample(s).select("CustomerId", "label", "score"))
 add("logistic_churn", lambda s: mo.odds_table(
     mo.logistic_churn(_log_scaled(s), flows.SCALE_FEATURES, "LikelyChurned"), flows.SCALE_FEATURES, s.spark))
 
@@ -216,16 +237,158 @@ def _shap(s):
 add("shap_values", _shap)
 add("shap_summary", lambda s: ab.shap_summary(_shap(s), flows.CLUSTER_FEATURES))
 add("shap_dependence", lambda s: ab.shap_dependence(materialize(_shap(s)), flows.CLUSTER_FEATURES))
-add("cross_validate", lambda s: mo.cross_validate(
-    _churn_rows(s), flows.CLUSTER_FEATURES, "LikelyChurned", k=5, trees=3))
+add("cross_validate", _validated)
+
+
+# ---------------------------------------------------------------- checks of models
+# A model's numbers have no statement, but much about them is known: how many rows it has
+# to cover, and properties of which no row may be an exception.
+_CLUSTERED = "from cluster_data where TotalOrders is not null and AvgOrderValue is not null and AvgPromoDiscount is not null"
+
+
+def _one(s, **values):
+    return s.spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()])
+
+
+def _check_components(s):
+    _, table = mo.pca_by_variance(flows.pca_table(s.stored_summary), _pca_columns(s))
+    return table.agg(F.count("*").alias("components"), (F.abs(F.sum("Ratio") - 1) < 1e-6).alias("whole"),
+                     (F.min("Ratio") >= -1e-9).alias("positive"))
+
+
+add("check_pca_by_variance", _check_components, f"select {len(PCA_NAMES)}::bigint as components, true as whole, true as positive")
+
+
+def _check_loadings(s):
+    loadings = _pca_mixed(s)
+    norms = loadings.groupBy("Component").agg(F.sum(F.col("Loading") ** 2).alias("n"))
+    top = mo.top_loadings(loadings).groupBy("Component").count()
+    return norms.join(top, "Component").agg(F.count("*").alias("components"), F.count_if(F.abs(F.col("n") - 1) > 1e-6).alias("not_unit"),
+                                            F.count_if(F.col("count") != 5).alias("not_five"))
+
+
+add("check_pca_mixed", _check_loadings, "select 5::bigint as components, 0::bigint as not_unit, 0::bigint as not_five")
+
+
+def _check_kmeans(s):
+    rows = _scaled(s)
+    model = mo.fit_kmeans(rows, flows.SCALE_FEATURES, 3)
+    centres = [[float(x) for x in c] for c in model.clusterCenters()]
+    gap = F.array(*[sum((F.col(f) - x) ** 2 for f, x in zip(flows.SCALE_FEATURES, c)) for c in centres])
+    found = mo.kmeans(rows, flows.SCALE_FEATURES, 3).withColumn("_d", gap)
+    far = F.col("_d")[F.col("Cluster")] > F.array_min("_d") + 1e-9
+    return found.agg(F.count("*").alias("rows"), F.count_distinct("Cluster").alias("clusters"), F.count_if(far).alias("not_nearest"))
+
+
+_SCALED_ROWS = _CLUSTERED + " and greatest(TotalOrders, AvgOrderValue, AvgPromoDiscount) > 0"
+add("check_kmeans", _check_kmeans, f"select count(*) as rows, 3::bigint as clusters, 0::bigint as not_nearest {_SCALED_ROWS}")
+add("check_kmeans_masked", lambda s: mo.kmeans_masked(s.cluster_table, flows.SCALE_FEATURES)[0].agg(
+        F.count("*").alias("rows"), F.count_if("LikelyChurned").alias("churned")),
+    f"select count(*) as rows, 0::bigint as churned {_SCALED_ROWS} and not LikelyChurned")
+
+
+def _check_prototypes(s):
+    rows = _mixed(s)
+    model = mc.kprototypes(rows, flows.TREE_NUMERIC, flows.TREE_CATEGORICAL, 4)
+    falls = all(b <= a + 1e-9 for a, b in zip(model.costs, model.costs[1:]))
+    far = F.col("Distance") > F.array_min(model.distances()) + 1e-9
+    return model.assign(rows).agg(F.count("*").alias("rows"), F.count_if(far).alias("not_nearest"),
+                                  F.lit(falls).alias("cost_falls"), F.lit(model.converged).alias("converged"))
+
+
+add("check_kprototypes", _check_prototypes,
+    "select count(*) as rows, 0::bigint as not_nearest, true as cost_falls, true as converged from proto_data")
+add("check_hierarchical_segments", lambda s: _hierarchy(s).agg(
+        F.count("*").alias("rows"), F.count_distinct("CustomerId").alias("customers"), F.count_distinct("Cluster").alias("clusters")),
+    "select count(*) as rows, count(*) as customers, least(5, count(*)) as clusters from proto_data")
+
+
+def _check_tree(s):
+    leaves = _tree(s).groupBy("LeafID").agg(F.count("*").alias("n"), F.count_distinct("Predicted").alias("p"))
+    return leaves.agg(F.sum("n").alias("rows"), (F.min("n") >= 20).alias("large_enough"), (F.count("*") > 1).alias("split"),
+                      (F.max("p") == 1).alias("one_answer"), (F.count("*") <= 16).alias("shallow"))
+
+
+add("check_decision_tree", _check_tree,
+    "select count(*)::bigint as rows, true as large_enough, true as split, true as one_answer, true as shallow from tree_data")
+add("check_explain_clusters_tree", lambda s: _explained(s).agg(
+        F.count("*").alias("rows"), F.count_if(F.col("Predicted").between(1, 5)).alias("named")),
+    "select count(*) as rows, count(*) as named from tree_data join proto_data using (CustomerId)")
+
+
+def _scores_in_range(scored):
+    return scored.agg(F.count("*").alias("rows"), F.count_if(~F.col("score").between(0, 1)).alias("out_of_range"),
+                      F.count_if((F.col("margin") > 0) != (F.col("score") > 0.5)).alias("sign_differs"))
+
+
+add("check_boosted_in_sample", lambda s: _scores_in_range(_in_sample(s)),
+    f"select count(*) as rows, 0::bigint as out_of_range, 0::bigint as sign_differs {_CLUSTERED}")
+
+
+def _check_logistic(s):
+    rows = _log_scaled(s)
+    model = mo.logistic_churn(rows, flows.SCALE_FEATURES, "LikelyChurned")
+    table = mo.odds_table(model, flows.SCALE_FEATURES, s.spark)
+    weighted = fe.class_weights(rows, "LikelyChurned", "balanced")
+    z = sum((F.col(f) * float(c) for f, c in zip(flows.SCALE_FEATURES, model.coefficients.toArray())), F.lit(float(model.intercept)))
+    error = F.col("Weight") * (1 / (1 + F.exp(-z)) - F.col("LikelyChurned").cast("int"))
+    sums = weighted.agg(F.count("*").alias("n"), *[F.sum(error * F.col(f)).alias(f) for f in flows.SCALE_FEATURES]).first()
+    steep = max(abs(sums[f] + float(c)) / sums["n"] for f, c in zip(flows.SCALE_FEATURES, model.coefficients.toArray()))
+    return table.agg(F.count("*").alias("features"), F.count_if(F.abs(F.col("OddsRatio") - F.exp("Coefficient")) > 1e-9).alias("wrong_ratio"),
+                     F.lit(sums["n"]).alias("rows"), F.lit(bool(steep < 1e-4)).alias("solved"))
+
+
+add("check_logistic_churn", _check_logistic,
+    f"select 3::bigint as features, 0::bigint as wrong_ratio, count(*) as rows, true as solved {_CLUSTERED}")
+
+
+def _check_shap(s):
+    model, train, test = _regularised(s)
+    values = ab.shap_values(model, test, train, flows.CLUSTER_FEATURES)
+    margins = mo.score(model, test, flows.CLUSTER_FEATURES, "LikelyChurned").select("CustomerId", "margin")
+    total = sum((F.col(f"Attr_{f}") for f in flows.CLUSTER_FEATURES), F.col("Base"))
+    base = values.agg(F.max("Base")).first()[0]
+    mean = mo.score(model, train, flows.CLUSTER_FEATURES, "LikelyChurned").agg(F.avg("margin")).first()[0]
+    found = values.join(margins, "CustomerId")
+    return found.agg(F.count("*").alias("rows"), F.count_if(F.abs(total - F.col("margin")) > 1e-6).alias("not_additive"),
+                     F.lit(bool(abs(base - mean) < 1e-6)).alias("base_is_mean"))
+
+
+_TESTED = f"from cluster_data where {fq.u('CustomerId', 42)} < 0.2 and " + " and ".join(f"{c} is not null" for c in flows.CLUSTER_FEATURES)
+add("check_shap_values", _check_shap, f"select count(*) as rows, 0::bigint as not_additive, true as base_is_mean {_TESTED}")
+add("check_shap_dependence", lambda s: ab.shap_dependence(materialize(_shap(s)), flows.CLUSTER_FEATURES).groupBy("Feature").agg(
+        F.count("*").alias("rows")),
+    "select unnest([" + ", ".join(f"'{c}'" for c in flows.CLUSTER_FEATURES) + f"]) as Feature, (select count(*) {_TESTED}) as rows")
+add("check_boosted_regularised", lambda s: _boosted_regularised(s).agg(
+        F.count("*").alias("rows"), F.count_if(~F.col("score").between(0, 1)).alias("out_of_range")),
+    f"select count(*) as rows, 0::bigint as out_of_range {_TESTED}")
+add("check_feature_importance", lambda s: mo.feature_importance(_regularised(s)[0], flows.CLUSTER_FEATURES, s.spark).agg(
+        F.count("*").alias("features"), (F.abs(F.sum("Importance") - 1) < 1e-6).alias("whole")),
+    "select 4::bigint as features, true as whole")
+add("check_cross_validate", lambda s: _validated(s).agg(
+            F.count("*").alias("folds_and_mean"), F.count_if(~F.col("AUC").between(0, 1) | F.col("AUC").isNull()).alias("unknown")),
+    "select 6::bigint as folds_and_mean, 0::bigint as unknown")
+add("predict_report", lambda s: flows.predict_classifier(
+    fe.predict_dataset("LikelyChurned", s.stored_summary, fq._sample_only(s)), "LikelyChurned", trees=TREES)["report"])
+add("predict_report_one_and_done", lambda s: flows.predict_classifier(
+    fe.predict_dataset("OneAndDone", fq._last_one(s)), "OneAndDone", trees=TREES)["report"])
+add("predict_importance_two_and_churned", lambda s: flows.predict_classifier(
+    fe.predict_dataset("TwoAndChurned", fq._first_two(s), fq._sample_only(s)), "TwoAndChurned", trees=TREES)["importance"])
 
 
 # ---------------------------------------------------------------- streams
-def _streamed(s, build):
-    """Store the order features, then stream those files to the end of the input."""
-    base = s.scratch()
-    s.features.write.parquet(f"{base}/orders")
-    stream = build(st.read_order_stream(s.spark, f"{base}/orders"))
+def _streamed(s, build, slices=4, delay_days=20):
+    """Store the order features as they might arrive - each order up to ``delay_days``
+    late, in ``slices`` files by time of arrival - and stream them file by file."""
+    base, at = s.scratch(), F.unix_timestamp("PlacedDateTime")
+    late = F.floor(uniform("OrderNumber", seed=3) * (delay_days * 86_400))
+    arrival = s.stored.withColumn("_arrival", at + late)
+    low, high = arrival.agg(F.min("_arrival"), F.max("_arrival")).first()
+    part = F.coalesce(F.floor((F.col("_arrival") - (low or 0)) / (((high or 0) - (low or 0)) / slices + 1)), F.lit(0))
+    for i in range(slices):
+        arrival.filter(part == i).drop("_arrival").coalesce(1).write.mode("append").parquet(f"{base}/orders")
+    st.clock_row(s.stored, st.LATENESS).write.mode("append").parquet(f"{base}/orders")
+    stream = build(st.read_order_stream(s.spark, f"{base}/orders", files_per_trigger=1))
     return s.spark.read.parquet(st.run_available(stream, f"{base}/out", f"{base}/checkpoint"))
 
 

@@ -1,6 +1,7 @@
 """Queries: cleaning, order features, attribution."""
 
 from ..operators import attribution as at, cleaning as cl, customers as cu, orders as od
+from ..plans import flows
 from ..sources import shop_views as views
 from ..sources.tables import write_report_csv, write_tables
 from . import oracle_views as v
@@ -28,8 +29,8 @@ add("coerce_ids",
 
 def _written(s):
     folder = s.scratch()
-    paths = write_tables({"order_df_retention": s.features}, folder)
-    return s.spark.read.parquet(paths["order_df_retention"])
+    paths = write_tables({"order_feature_table": s.features}, folder)
+    return s.spark.read.parquet(paths["order_feature_table"])
 
 
 FEATURE_FLOATS = MONEY + " AvgItemQuantity ShipDelayHours RushFeeAndShipPrice"
@@ -127,6 +128,25 @@ add("customer_attribution_pct",
     "select CustomerId, " + ", ".join(f"avg({c}::int) as Pct{c}" for c in PCT_FLAGS + v.ADS + v.INDICATORS)
     + " from feat left join attr using (OrderNumber) group by CustomerId",
     " ".join(f"Pct{c}" for c in PCT_FLAGS + v.ADS + v.INDICATORS))
+_SHARES = [f"Pct{c}" for c in v.ADS + v.INDICATORS]
+
+
+def _summary_attribution(mode):
+    return lambda s: flows.customer_summary_attribution(s.stored_summary, s.stored, s.attribution, mode).select(
+        "CustomerId", "TotalOrders", "LifetimeValue", "LikelyChurned", *_SHARES)
+
+
+def _summary_attribution_sql(attributed):
+    return ("select CustomerId, TotalOrders, LifetimeValue, LikelyChurned, " + ", ".join(_SHARES) + " from summary left join (select CustomerId, "
+            + ", ".join(f"avg({c}::int) as Pct{c}" for c in v.ADS + v.INDICATORS)
+            + f" from feat left join ({attributed}) a using (OrderNumber) group by CustomerId) using (CustomerId)")
+
+
+add("customer_summary_attribution", _summary_attribution("fanout"), _summary_attribution_sql("select * from attr"),
+    " ".join(["LifetimeValue", *_SHARES]))
+add("customer_summary_attribution_max", _summary_attribution("max"), _summary_attribution_sql(
+    "select OrderNumber, " + ", ".join(f"max({c}) as {c}" for c in v.INDICATORS + v.ADS)
+    + " from attr where OrderNumber is not null group by OrderNumber"), " ".join(["LifetimeValue", *_SHARES]))
 add("collapse_sessions", lambda s: at.collapse_sessions(s.raw("bigquery_events")), "select * from sess")
 add("collapse_sessions_strict", lambda s: at.collapse_sessions_strict(s.raw("bigquery_events")),
     "select * from sess_strict")

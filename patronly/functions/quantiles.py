@@ -16,7 +16,8 @@ def exact_quantiles(df: DataFrame, columns: dict[str, list[float]], by=(),
 
     Returns rows (``by`` columns, ``feature``, ``p``, ``quantile``). First a sketch
     brackets each quantile between two values that surely enclose it; then one
-    pass counts the rows below the bracket and the distinct values inside it.
+    pass counts the rows below the bracket and the distinct values inside it; a bracket
+    that should not hold its rank is an error, never a wrong number.
     Only the inside - about ``10 / accuracy`` of the rows, equal values counted
     once - is ordered. A group of up to ``accuracy`` rows is its own bracket.
     """
@@ -61,22 +62,25 @@ def exact_quantiles(df: DataFrame, columns: dict[str, list[float]], by=(),
     lower = F.max(F.when(holds(floor), F.col("value")))
     upper = F.max(F.when(holds(ceil), F.col("value")))
     picked = counts.withColumn("upto", upto).groupBy(*keys).agg(lower.alias("lo"), upper.alias("hi"))
+    held = F.col("lo").isNotNull() & F.col("hi").isNotNull()
+    missed = F.raise_error(F.lit("a quantile lies outside its bracket: raise the accuracy")).cast("double")
     return picked.select(
         *by, "feature", "p",
-        (F.col("lo") + (F.col("hi") - F.col("lo")) * (place - floor)).alias("quantile"))
+        F.when(held, F.col("lo") + (F.col("hi") - F.col("lo")) * (place - floor)).otherwise(missed).alias("quantile"))
 
 
-def running_totals(df: DataFrame, order: str, columns: list[str], slices: int = 256,
-                   descending: bool = False) -> DataFrame:
+def running_totals(df: DataFrame, order: str, columns: list[str],
+                   descending: bool = False, slice_rows: int = 50_000) -> DataFrame:
     """Adds ``Upto_<column>``: the total of all rows up to and including this one in
     the order of a numeric column with distinct values.
 
     The order column is cut into slices of like size; each slice runs its own
-    window, starting from the totals of the slices before it (a table of at most
-    ``slices`` rows). Raise ``slices`` with the number of rows.
+    window, starting from the totals of the slices before it. There is one slice per
+    ``slice_rows`` rows, so a slice does not grow with the table.
     """
+    slices = max(2, -(-df.count() // slice_rows))
     edges = df.select(F.percentile_approx(
-        F.col(order).cast("double"), [i / slices for i in range(1, slices)], 10_000)).first()[0] or []
+        F.col(order).cast("double"), [i / slices for i in range(1, slices)], max(10_000, 10 * slices))).first()[0] or []
     splits = [float("-inf"), *sorted(set(edges)), float("inf")]
     sliced = Bucketizer(splits=splits, inputCol="_x", outputCol="_slice").transform(
         df.withColumn("_x", F.col(order).cast("double")))

@@ -8,19 +8,23 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SALTS = 16
 SMALL_ROWS = 100_000
+SMALL_BYTES = 16 << 20
 HOT_ROWS = 1_000_000
 
 
-def is_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> bool:
-    """Whether a table has at most ``max_rows`` rows (stops counting beyond)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def is_small(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> bool:
+    """Whether a table has at most ``max_rows`` rows (stops counting beyond) and, written
+    out as text, at most ``max_bytes`` bytes."""
+    row = df.limit(max_rows + 1).select(F.octet_length(F.to_json(F.struct("*"))).alias("b")).agg(
+        F.count("*").alias("n"), F.sum("b").alias("b")).first()
+    return row["n"] <= max_rows and (row["b"] or 0) <= max_bytes
 
 
 def salted_join(fact: DataFrame, dimension: DataFrame, fact_key: str, dimension_key: str,
                 how: str = "left", salts: int = SALTS, max_rows: int = SMALL_ROWS) -> DataFrame:
     """Join a fact table to a dimension whose key may be hot (or null) in the fact.
 
-    A dimension counted at ``max_rows`` rows or fewer is broadcast. Beyond that, fact
+    A dimension measured at ``max_rows`` rows and a few MB or less is broadcast. Beyond that, fact
     rows of one key spread over ``salts`` partitions and the dimension is repeated
     once per salt, which keeps a third-of-all-rows key (null included) off a single
     task.
@@ -35,15 +39,11 @@ def salted_join(fact: DataFrame, dimension: DataFrame, fact_key: str, dimension_
 
 
 def small_or_self(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """``df`` as an in-plan local table if it has at most ``max_rows`` rows, else ``df``.
-
-    A local table has an exact size, so the join planner's own size check decides
-    about broadcasting it. A larger one stays distributed and joins by shuffle.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    """``df`` as a local table to be broadcast if its measured rows and bytes are small,
+    else ``df``, which stays distributed and joins by shuffle. Only the plan differs."""
+    if not is_small(df, max_rows):
         return df
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    return F.broadcast(df.sparkSession.createDataFrame(df.collect(), df.schema))
 
 
 def along_customer(orders: DataFrame, add: Callable[[DataFrame, Window], DataFrame], depth: int,
@@ -62,9 +62,13 @@ def along_customer(orders: DataFrame, add: Callable[[DataFrame, Window], DataFra
         orders.groupBy(customer).agg(F.count(F.lit(1)).alias("_rows"))
         .filter(F.col("_rows") > hot_rows).select(customer, F.lit(True).alias("_hot"))
     )
-    hour = F.coalesce(F.date_trunc("HOUR", F.col(time)), F.lit("9999-12-31").cast("timestamp"))
-    in_hour = Window.partitionBy(customer, "_hour").orderBy(*order)
     whole = Window.partitionBy(customer).orderBy(*order)
+    if not hot.limit(1).count():
+        return add(orders, whole)
+    # Orders without a time come last; they are cut by order number instead.
+    hour = F.coalesce(F.date_trunc("HOUR", F.col(time)), F.timestamp_seconds(
+        F.lit(253_370_764_800) + F.coalesce(F.floor(F.col(tie) / max(1, hot_rows)), F.lit(0))))
+    in_hour = Window.partitionBy(customer, "_hour").orderBy(*order)
 
     marked = orders.join(F.broadcast(hot), customer, "left").withColumn(
         "_hour", F.when(F.col("_hot"), hour)

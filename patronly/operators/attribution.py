@@ -77,17 +77,18 @@ def customer_attribution_pct(order_rows: DataFrame) -> DataFrame:
 def _most_common(events: DataFrame, key: str, attributes, valid=None) -> DataFrame:
     """Most common value of each attribute per key; ties give the smallest value.
 
-    Values are counted in long form first, so a key holding a large part of the
-    events is already summed up on the map side and no per-key value set has to
-    fit in one aggregate.
+    Events with the same key and values are counted first, then values in long form, so
+    a key holding a large part of the events is summed up on the map side before its rows
+    multiply, and no per-key value set has to fit in one aggregate.
     """
+    counts = events.filter(F.col(key).isNotNull()).groupBy(key, *attributes).agg(F.count(F.lit(1)).alias("_n"))
     pairs = F.explode(F.array(*[
         F.struct(F.lit(i).alias("attribute"), F.col(a).alias("value"))
         for i, a in enumerate(attributes)
     ]))
     counted = (
-        events.filter(F.col(key).isNotNull()).select(key, pairs.alias("p"))
-        .groupBy(key, "p.attribute", "p.value").agg(F.count(F.lit(1)).alias("n"))
+        counts.select(key, "_n", pairs.alias("p"))
+        .groupBy(key, "p.attribute", "p.value").agg(F.sum("_n").alias("n"))
     )
     usable = F.col("value").isNotNull()
     if valid is not None:

@@ -1,4 +1,4 @@
-"""Per-row additive attributions of boosted trees against a background sample.
+"""Per-row additive attributions of boosted trees against a background table.
 
 Each leaf is a box over the features on its path. Whether a row and a background
 row lie inside the box, feature by feature, fixes the Shapley value of every path
@@ -15,8 +15,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .cleaning import sample_n
-
 
 def _leaves(node, boxes: dict, scale: float, out: list) -> None:
     if node.subtreeDepth() == 0:
@@ -45,14 +43,37 @@ def _inside(values: np.ndarray, box) -> np.ndarray:
     return code
 
 
-def leaf_tables(leaves: list, background: np.ndarray):
-    """Per leaf (path features and box, table pattern -> attributions), and the base."""
+def pattern_counts(background: DataFrame, leaves: list, features) -> list[np.ndarray]:
+    """Per leaf, how many rows of the whole background have each pattern: one pass that
+    adds up per task, then one sum. The result is as large as the model's leaf tables."""
+    boxes = [sorted(box.items()) for box, _ in leaves]
+
+    def count(batches):
+        sums = [np.zeros(1 << len(box), np.int64) for box in boxes]
+        for batch in batches:
+            values = batch.to_numpy(dtype=float)
+            for total, box in zip(sums, boxes):
+                total += np.bincount(_inside(values, box), minlength=len(total))
+        for i, total in enumerate(sums):
+            at = np.flatnonzero(total)
+            yield pd.DataFrame({"leaf": i, "pattern": at, "n": total[at]})
+
+    counts = [np.zeros(1 << len(box)) for box in boxes]
+    rows = background.select(*[F.col(f).cast("double").alias(f) for f in features])
+    for r in rows.mapInPandas(count, "leaf int, pattern long, n long").groupBy("leaf", "pattern").agg(F.sum("n").alias("n")).collect():
+        counts[r["leaf"]][r["pattern"]] = r["n"]
+    return counts
+
+
+def leaf_tables(leaves: list, counts: list[np.ndarray]):
+    """Per leaf (path features and box, table pattern -> attributions), and the base, from
+    the counts of each leaf's patterns in the background."""
     tables, base = [], 0.0
-    for boxes, value in leaves:
+    for (boxes, value), count in zip(leaves, counts):
         box = sorted(boxes.items())
         d = len(box)
         full = (1 << d) - 1
-        weight = np.bincount(_inside(background, box), minlength=1 << d) / len(background)
+        weight = count / max(1, count.sum())
         base += value * weight[full]
         if d == 0:
             continue
@@ -75,14 +96,15 @@ def leaf_tables(leaves: list, background: np.ndarray):
     return tables, base
 
 
-def shap_values(model, df: DataFrame, background: DataFrame, features, key: str = "CustomerId",
-                background_rows: int = 100, seed: int = 42) -> DataFrame:
-    """Key, features, one ``Attr_<feature>`` each, and Base. Base plus the attributions
-    of a row is its margin."""
+def shap_values(model, df: DataFrame, background: DataFrame, features, key: str = "CustomerId") -> DataFrame:
+    """Key, features, one ``Attr_<feature>`` each, and Base. Base, the mean margin of the
+    whole background, plus the attributions of a row is its margin.
+
+    What is broadcast has leaves x 2**depth x depth numbers: a matter of the model alone.
+    """
     features = list(features)
-    sample = sample_n(background.select(key, *features), background_rows, key, seed)
-    reference = sample.select(*features).toPandas().to_numpy(dtype=float)
-    tables, base = leaf_tables(model_leaves(model), reference)
+    leaves = model_leaves(model)
+    tables, base = leaf_tables(leaves, pattern_counts(background, leaves, features))
     shared = df.sparkSession.sparkContext.broadcast(tables)
 
     def attribute(batches):

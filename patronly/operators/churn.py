@@ -170,13 +170,15 @@ def likely_churned(profile: DataFrame, active: int = ACTIVE_DAYS, quiet: int = Q
         (days > active) & (F.col("ExceededCadence") | quiet_too_long)))
 
 
-def n_and_churned(profile: DataFrame) -> DataFrame:
+# Label -> (fewest, most) orders of a churned customer with that label.
+CHURNED_AFTER = {"OneAndDone": (1, 1), "ThreeOrFewerAndChurned": (0, 3), "TwoAndChurned": (2, 2)}
+
+
+def n_and_churned(profile: DataFrame, labels: dict[str, tuple[int, int]] = CHURNED_AFTER) -> DataFrame:
+    """One flag per label: churned after a number of orders in its range. Any other n is
+    ``{"FiveAndChurned": (5, 5)}``."""
     total, churned = F.col("TotalOrders"), F.col("LikelyChurned")
-    return profile.withColumns({
-        "OneAndDone": (total == 1) & churned,
-        "ThreeOrFewerAndChurned": (total <= 3) & churned,
-        "TwoAndChurned": (total == 2) & churned,
-    })
+    return profile.withColumns({name: total.between(*ends) & churned for name, ends in labels.items()})
 
 
 PATTERNS = ["AnnualPattern", "HolidayPattern", "SummerPattern", "ElectionPattern",

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, NumericType, StringType
 
 from ..functions.columns import as_int, true_or_false, uniform
+from ..functions.numbering import number_rows
 from ..functions.quantiles import exact_quantiles
-from ..functions.skew import SMALL_ROWS, salted_join
+from ..functions.skew import salted_join
 
 
 # ---------------------------------------------------------------- column transforms
@@ -116,12 +117,11 @@ def _levels(df: DataFrame, column: str) -> DataFrame:
         F.col("level").isNotNull()).distinct()
 
 
-def one_hot_drop_first(df: DataFrame, columns, max_levels: int = 1000) -> DataFrame:
-    """One 0/1 column per level but the alphabetically first."""
+def one_hot_drop_first(df: DataFrame, columns) -> DataFrame:
+    """One 0/1 column per level but the alphabetically first. The levels are the columns of
+    the result, so the driver has to know them; ``label_encode`` suits very many levels."""
     for c in columns:
-        levels = [r["level"] for r in _levels(df, c).limit(max_levels + 1).collect()]
-        if len(levels) > max_levels:
-            raise ValueError(f"{c} has over {max_levels} levels: not a category")
+        levels = [r["level"] for r in _levels(df, c).collect()]
         text = F.col(c).cast("string")
         df = df.withColumns({
             f"{c}_{level}": true_or_false(text == level).cast("int") for level in sorted(levels)[1:]
@@ -130,15 +130,8 @@ def one_hot_drop_first(df: DataFrame, columns, max_levels: int = 1000) -> DataFr
 
 
 def _codes(df: DataFrame, column: str) -> DataFrame:
-    """(level, code) in alphabetical order from 0."""
-    levels = _levels(df, column)
-    few = levels.limit(SMALL_ROWS + 1).collect()
-    if len(few) <= SMALL_ROWS:
-        rows = [(text, i) for i, text in enumerate(sorted(r["level"] for r in few))]
-    else:
-        # Too many for one task: number a distributed sort by partition offsets.
-        rows = levels.orderBy("level").rdd.zipWithIndex().map(lambda p: (p[0]["level"], p[1]))
-    return df.sparkSession.createDataFrame(rows, "level string, code int")
+    """(level, code) in alphabetical order from 0, numbered inside sorted partitions."""
+    return number_rows(_levels(df, column), ["level"], "code").select("level", F.col("code").cast("int").alias("code"))
 
 
 def _with_code(df: DataFrame, column: str, missing: int | None) -> DataFrame:
@@ -189,12 +182,18 @@ def fixed_category_codes(df: DataFrame, column: str, categories, default: str) -
 def stratified_split(df: DataFrame, label: str, fraction: float = 0.2, seed: int = 42,
                      key: str = "CustomerId") -> DataFrame:
     """Adds IsTest: the ``fraction`` of each class with the smallest key hashes."""
+    return _by_class_share(df, label, [fraction], "_part", seed, key).withColumn("IsTest", F.col("_part") == 0).drop("_part")
+
+
+def _by_class_share(df: DataFrame, label: str, shares: list[float], name: str, seed: int, key: str) -> DataFrame:
+    """Adds ``name``: how many of the quantiles ``shares`` of its class's key hashes a row
+    has passed. The quantiles are exact; there are classes x shares of them."""
     hashed = df.withColumn("_u", uniform(key, seed=seed)).withColumn("_class", F.col(label).cast("string"))
-    cuts = exact_quantiles(hashed, {"_u": [fraction]}, by=["_class"]).collect()
-    limit = F.lit(None).cast("double")
-    for row in cuts:
-        limit = F.when(F.col("_class").eqNullSafe(F.lit(row["_class"])), F.lit(row["quantile"])).otherwise(limit)
-    return hashed.withColumn("IsTest", true_or_false(F.col("_u") < limit)).drop("_u", "_class")
+    passed = F.lit(0)
+    for row in exact_quantiles(hashed, {"_u": shares}, by=["_class"]).collect():
+        mine = F.col("_class").eqNullSafe(F.lit(row["_class"])) & (F.col("_u") >= row["quantile"])
+        passed = passed + mine.cast("int")
+    return hashed.withColumn(name, passed).drop("_u", "_class")
 
 
 def random_split(df: DataFrame, fraction: float = 0.2, seed: int = 42,
@@ -202,9 +201,11 @@ def random_split(df: DataFrame, fraction: float = 0.2, seed: int = 42,
     return df.withColumn("IsTest", uniform(key, seed=seed) < fraction)
 
 
-def stratified_folds(df: DataFrame, k: int = 5, seed: int = 42, key: str = "CustomerId") -> DataFrame:
-    """Adds Fold 0..k-1 by key hash; large classes split evenly."""
-    return df.withColumn("Fold", F.floor(uniform(key, seed=seed) * k).cast("int"))
+def stratified_folds(df: DataFrame, label: str, k: int = 5, seed: int = 42, key: str = "CustomerId") -> DataFrame:
+    """Adds Fold 0..k-1: each class, ordered by key hash, is cut into k parts whose sizes
+    differ by at most one row. The cuts are the class's k-quantiles of the hash, so no
+    class has to meet in one task."""
+    return _by_class_share(df, label, [i / k for i in range(1, k)], "Fold", seed, key)
 
 
 def class_weights(df: DataFrame, label: str, mode: str = "positive") -> DataFrame:

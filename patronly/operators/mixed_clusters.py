@@ -26,6 +26,7 @@ class Prototypes:
     centres: list[tuple[list[float], list[str]]]
     sizes: list[int] = field(default_factory=list)
     costs: list[float] = field(default_factory=list)
+    converged: bool = False
 
     def distances(self) -> Column:
         """Array of the squared numeric distance plus gamma per differing category, one
@@ -60,24 +61,65 @@ def _default_gamma(df: DataFrame, numeric) -> float:
 
 
 def _start(df: DataFrame, numeric, categorical, k: int, seed: int, key: str):
-    """k seeded rows with distinct values, in key-hash order."""
+    """k seeded rows with distinct values, in key-hash order.
+
+    A cut on the hash first leaves about 100 k candidates; only if those hold fewer than k
+    different rows are all rows compared.
+    """
     columns = [*[F.col(c).cast("double").alias(c) for c in numeric],
                *[F.col(c).cast("string").alias(c) for c in categorical]]
-    distinct = df.groupBy(*columns).agg(F.min(key_digest(key, seed=seed)).alias("_d"))
-    rows = distinct.orderBy("_d").limit(k).collect()
+    digest, share = key_digest(key, seed=seed), min(1.0, 100 * k / max(1, df.count()))
+    rows = []
+    for candidates in [df.filter(digest < format(int(share * 16 ** 8), "08x"))] * (share < 1) + [df]:
+        distinct = candidates.groupBy(*columns).agg(F.min(digest).alias("_d"))
+        rows = distinct.orderBy("_d").limit(k).collect()
+        if len(rows) == k:
+            break
     return [([r[c] for c in numeric], [r[c] for c in categorical]) for r in rows]
 
 
+def _huang_start(df: DataFrame, numeric, categorical, gamma: float, k: int, seed: int, key: str):
+    """Numbers drawn around the means; categories drawn column by column as often as they
+    occur (the values of hash-picked rows), then replaced by those of the nearest row."""
+    share = min(1.0, 100.0 * k * max(1, len(categorical)) / max(1, df.count()))
+    digest = key_digest(key, seed=seed)
+    some = df if share == 1 else df.filter(digest < format(int(share * 16 ** 8), "08x"))
+    rows = some.select(digest.alias("_d"), *[F.col(c).cast("string").alias(c) for c in categorical]).orderBy("_d").limit(
+        k * max(1, len(categorical))).collect()
+    if not rows:
+        return []
+    stats = df.agg(*[F.avg(c).alias(f"m_{c}") for c in numeric], *[F.stddev_pop(c).alias(f"s_{c}") for c in numeric]).first()
+    draws = np.random.default_rng(seed).standard_normal((k, len(numeric)))
+    numbers = [[(stats[f"m_{c}"] or 0.0) + (stats[f"s_{c}"] or 0.0) * float(z) for c, z in zip(numeric, row)] for row in draws]
+    names = [[rows[(i * len(categorical) + j) % len(rows)][c] for j, c in enumerate(categorical)] for i in range(k)]
+    if categorical:
+        kinds = F.struct(*[F.col(c).cast("string").alias(c) for c in categorical])
+        far = Prototypes([], categorical, gamma, [([], n) for n in names]).distances()
+        found = df.agg(*[F.min(F.struct(far[i].alias("d"), kinds.alias("r")))["r"].alias(f"r{i}") for i in range(k)]).first()
+        names = [[found[f"r{i}"][c] for c in categorical] for i in range(k)]
+    return list(zip(numbers, names))
+
+
 def kprototypes(df: DataFrame, numeric, categorical, k: int = 4, gamma: float | None = None,
-                seed: int = 42, rounds: int = 20, key: str = "CustomerId",
-                tolerance: float = 1e-9) -> Prototypes:
+                seed: int = 42, rounds: int = 100, key: str = "CustomerId",
+                tolerance: float = 1e-9, starts: int = 1, start: str = "huang") -> Prototypes:
     """Fit ``k`` mixed centres: means of numbers, most common categories.
 
-    ``df`` should be a materialised table without nulls in the used columns.
+    Rounds go on until the cost no longer falls; ``converged`` says whether that came
+    before ``rounds`` were over. The first centres are drawn as Huang proposes, or are
+    different rows (``start="rows"``). Of several ``starts`` from different rows the cheapest
+    result counts. ``df`` should be a materialised table without nulls in the used columns.
     """
     numeric, categorical = list(numeric), list(categorical)
     gamma = _default_gamma(df, numeric) if gamma is None else gamma
-    model = Prototypes(numeric, categorical, gamma, _start(df, numeric, categorical, k, seed, key))
+    first = [_huang_start(df, numeric, categorical, gamma, k, seed + i, key) if start == "huang"
+             else _start(df, numeric, categorical, k, seed + i, key) for i in range(starts)]
+    models = [_fit_once(df, Prototypes(numeric, categorical, gamma, centres), rounds, tolerance) for centres in first]
+    return min(models, key=lambda m: m.costs[-1] if m.costs else 0.0)
+
+
+def _fit_once(df: DataFrame, model: Prototypes, rounds: int, tolerance: float) -> Prototypes:
+    numeric, categorical = model.numeric, model.categorical
     for _ in range(rounds):
         found = _round(model.assign(df), numeric, categorical)
         model.costs.append(sum(r["cost"] for r in found if r["attribute"] == 0))
@@ -90,6 +132,7 @@ def kprototypes(df: DataFrame, numeric, categorical, k: int = 4, gamma: float |
                             [mine[j]["mode"] for j in range(len(categorical))]) if n else old)
         model.sizes = sizes
         if len(model.costs) > 1 and model.costs[-2] - model.costs[-1] <= tolerance * max(1.0, model.costs[-1]):
+            model.converged = True
             break
         model.centres = centres
     return model
@@ -104,10 +147,11 @@ def _round(assigned: DataFrame, numeric, categorical) -> list:
              for j, c in enumerate(categorical)] or [
         F.struct(F.lit(0).alias("attribute"), F.lit(None).cast("string").alias("value"))]
     sums = {"cost": F.col("Distance"), **{f"s_{c}": F.col(c).cast("double") for c in numeric}}
+    first = F.col("p.attribute") == 0  # numbers are summed once, not once per category
     counted = (
         assigned.select("Cluster", *[v.alias(n) for n, v in sums.items()], F.explode(F.array(*pairs)).alias("p"))
         .groupBy("Cluster", "p.attribute", "p.value")
-        .agg(F.count(F.lit(1)).alias("n"), *[F.sum(n).alias(n) for n in sums])
+        .agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.when(first, F.col(n))).alias(n) for n in sums])
     )
     best = F.min(F.struct(-F.col("n"), F.col("value").alias("value")))["value"]
     return counted.groupBy("Cluster", "attribute").agg(
@@ -176,13 +220,13 @@ def _ward(points: np.ndarray, weights: np.ndarray, k: int) -> list[int]:
 
 
 def hierarchical_segments(df: DataFrame, numeric, categorical, k: int = 5, micro: int = 60,
-                          seed: int = 42, key: str = "CustomerId", rounds: int = 5):
+                          seed: int = 42, key: str = "CustomerId", rounds: int = 100):
     """Hierarchy over all rows: many small mixed clusters, merged bottom-up.
 
     Returns (rows with Cluster 1..k, the fitted micro clusters, function giving the
     merge for another k). Merges for a smaller k join groups of a larger one.
     """
-    model = kprototypes(df, numeric, categorical, micro, seed=seed, rounds=rounds, key=key)
+    model = kprototypes(df, numeric, categorical, micro, seed=seed, rounds=rounds, key=key, start="rows")
     live = [i for i, n in enumerate(model.sizes) if n]
     levels = [sorted({model.centres[i][1][j] for i in live}) for j in range(len(categorical))]
     # A category level is a corner at distance gamma from every other level.

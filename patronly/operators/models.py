@@ -8,6 +8,7 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LogisticRegression,
 )
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
@@ -110,18 +111,28 @@ def _labelled(df: DataFrame, label: str) -> DataFrame:
 
 def decision_tree(df: DataFrame, features, label: str, depth: int = 4, min_leaf: int = 20,
                   seed: int = 42):
-    """Fit a tree; returns (model, rows with LeafID and Predicted)."""
+    """Fit a tree to a true/false label; returns (model, rows with LeafID and Predicted).
+
+    The tree is a regression on 0 and 1: for two classes the variance gives the same splits
+    as the Gini impurity, and leaves keep their shares, where a classification tree would
+    merge sibling leaves that predict the same class.
+    """
     rows = assembled(_labelled(df, label), features)
-    model = DecisionTreeClassifier(maxDepth=depth, minInstancesPerNode=min_leaf, seed=seed,
-                                   leafCol="LeafID").fit(rows)
+    model = DecisionTreeRegressor(maxDepth=depth, minInstancesPerNode=min_leaf, seed=seed,
+                                  leafCol="LeafID").fit(rows)
     scored = model.transform(rows).withColumns({
-        "LeafID": F.col("LeafID").cast("int"), "Predicted": F.col("prediction").cast("int")})
-    return model, scored.drop("features", "label", "rawPrediction", "probability", "prediction")
+        "LeafID": F.col("LeafID").cast("int"), "Predicted": (F.col("prediction") > 0.5).cast("int")})
+    return model, scored.drop("features", "label", "prediction")
 
 
-def explain_clusters_tree(df: DataFrame, features, cluster: str = "Cluster", depth: int = 3):
-    """A shallow tree that predicts the cluster from the features."""
-    return decision_tree(df, features, cluster, depth=depth, min_leaf=1)
+def explain_clusters_tree(df: DataFrame, features, cluster: str = "Cluster", depth: int = 3, seed: int = 42):
+    """A shallow tree that predicts the cluster from the features: (model, rows with LeafID
+    and Predicted). Sibling leaves that predict the same cluster are one leaf."""
+    rows = assembled(_labelled(df, cluster), features)
+    model = DecisionTreeClassifier(maxDepth=depth, seed=seed, leafCol="LeafID").fit(rows)
+    scored = model.transform(rows).withColumns({
+        "LeafID": F.col("LeafID").cast("int"), "Predicted": F.col("prediction").cast("int")})
+    return model, scored.drop("features", "label", "rawPrediction", "probability", "prediction")
 
 
 # ---------------------------------------------------------------- boosting
@@ -167,13 +178,15 @@ def feature_importance(model, features, spark, top: int = 15) -> DataFrame:
 
 def cross_validate(df: DataFrame, features, label: str, k: int = 5, fit=boosted_regularised,
                    seed: int = 42, key: str = "CustomerId", **params) -> DataFrame:
-    """AUC on each of ``k`` held-out folds."""
-    folds = stratified_folds(df, k, seed, key)
+    """AUC on each of ``k`` held-out folds, and their mean as fold -1."""
+    folds = stratified_folds(df, label, k, seed, key)
     rows = []
     for fold in range(k):
         model = fit(folds.filter(F.col("Fold") != fold), features, label, **params)
         auc = roc_auc(score(model, folds.filter(F.col("Fold") == fold), features, label)).first()[0]
         rows.append((fold, auc))
+    known = [auc for _, auc in rows if auc is not None]
+    rows.append((-1, sum(known) / len(known) if known else None))
     return df.sparkSession.createDataFrame(rows, "Fold int, AUC double")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import AFFILIATE
 from ..functions.columns import uniform
+from ..functions.numbering import number_rows
 from ..functions.skew import small_or_self
 from .cleaning import clean_items, sample_n, shipped_before
 
@@ -52,18 +53,20 @@ def jitter_amount(df: DataFrame, columns=AMOUNTS, part: float = 0.1, seed: int =
 
 
 def obfuscate_category(df: DataFrame, column: str, share: float = 0.15, seed: int = 42,
-                       key: str = "OrderNumber", max_values: int = 10_000) -> DataFrame:
-    """Replace about ``share`` of the values by a random observed one (maybe the same)."""
-    values = [r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct()
-              .limit(max_values + 1).collect()]
-    if len(values) > max_values:
-        raise ValueError(f"{column} has over {max_values} values: not a category")
-    if not values:
+                       key: str = "OrderNumber") -> DataFrame:
+    """Replace about ``share`` of the values by a random observed one (maybe the same).
+
+    The observed values are numbered and joined by a drawn number, so they may be many; a
+    row that keeps its value draws a number of its own, below zero, and meets nothing.
+    """
+    values = number_rows(df.select(F.col(column).alias("_value")).filter("_value is not null").distinct(), ["_value"], "_number")
+    count = values.count()
+    if not count:
         return df
-    values.sort()
-    pick = F.floor(_draw(f"{column}/value", seed, key) * len(values)).cast("int") + 1
-    replaced = F.element_at(F.array(*[F.lit(v) for v in values]), pick)
-    return df.withColumn(column, F.when(_draw(column, seed, key) < share, replaced).otherwise(F.col(column)))
+    drawn = F.floor(_draw(f"{column}/value", seed, key) * count)
+    chosen = F.when(_draw(column, seed, key) < share, drawn).otherwise(-1 - drawn)
+    replaced = df.withColumn("_drawn", chosen).join(values, F.col("_drawn") == F.col("_number"), "left")
+    return replaced.withColumn(column, F.coalesce("_value", column)).select(*df.columns)
 
 
 def id_reference(df: DataFrame) -> DataFrame:
@@ -74,7 +77,7 @@ def id_reference(df: DataFrame) -> DataFrame:
 def sample_customers(orders: DataFrame, n: int = 10_000, seed: int = 42) -> DataFrame:
     """All orders of ``n`` customers picked by a seeded hash."""
     customers = orders.select("CustomerId").filter(F.col("CustomerId").isNotNull()).distinct()
-    chosen = small_or_self(sample_n(customers, n, "CustomerId", seed))
+    chosen = small_or_self(sample_n(customers, n, "CustomerId", seed))  # n ids: a broadcast
     return orders.join(chosen, "CustomerId", "left_semi")
 
 

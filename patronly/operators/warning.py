@@ -77,13 +77,15 @@ def rolling_std(orders: DataFrame, columns: dict = ROLLING_STDS, n: int = 3,
     return along_customer(known_customers(orders), _stds(columns, n, least), depth=n - 1)
 
 
+def _rolling(df: DataFrame, window: Window) -> DataFrame:
+    for step in (_means(ROLLING_MEANS, 2), _gaps(2), _stds(ROLLING_STDS, 3, 2)):
+        df = step(df, window)
+    return df
+
+
 def rolling_features(orders: DataFrame) -> DataFrame:
     """All rolling columns over one sort of each customer's orders."""
-    def add(df, w):
-        for step in (_means(ROLLING_MEANS, 2), _gaps(2), _stds(ROLLING_STDS, 3, 2)):
-            df = step(df, w)
-        return df
-    return along_customer(known_customers(orders), add, depth=2)
+    return along_customer(known_customers(orders), _rolling, depth=2)
 
 
 def deviation(current, mean) -> Column:
@@ -116,7 +118,10 @@ def latest_warning(orders: DataFrame, summary: DataFrame, rules: dict = FLAG_RUL
     orders of a customer are needed.
     """
     recent = last_n_orders(repeat_orders(orders, summary), 3)
-    newest = last_n_orders(order_warnings(recent, rules), 1)
+    window = Window.partitionBy("CustomerId").orderBy(
+        F.col("PlacedDateTime").asc_nulls_last(), F.col("OrderNumber").asc_nulls_last())
+    rolled = _rolling(recent, window).withColumn("_later", F.lead(F.lit(1)).over(window))
+    newest = warning_flags(relative_deviation(rolled.filter("_later is null")), rules)
     return newest.select(
         "CustomerId", "OrderNumber", F.col("PlacedDateTime").alias("OrderDate"),
         *DEVIATIONS, *rules,

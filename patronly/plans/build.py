@@ -22,8 +22,8 @@ def build_tables(spark: SparkSession, raw: dict[str, DataFrame], folder: str, wo
     stored = lambda name: spark.read.parquet(os.path.join(folder, name))
     features = orders.order_features(
         raw["raw_order"], raw["raw_order_item"], raw["raw_product_product_option"], words, affiliate)
-    paths = write_tables({"order_df_retention": features}, folder)
-    features = stored("order_df_retention")
+    paths = write_tables({"order_feature_table": features}, folder)
+    features = stored("order_feature_table")
 
     options = {} if now is None else {"now": now}
     paths |= write_tables({summary_name(): churn.customer_summary(features, **options)}, folder)

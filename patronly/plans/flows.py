@@ -59,6 +59,22 @@ def session_table(first_summary: DataFrame, clean: DataFrame, events: DataFrame,
     return chosen.select("CustomerId", "OneAndDone", *SESSION_FEATURES).dropna()
 
 
+def customer_summary_attribution(summary: DataFrame, order_features: DataFrame, order_attribution: DataFrame,
+                                 mode: str = "fanout") -> DataFrame:
+    """The customer summary with the share of orders per flag and ad indicator. ``fanout``
+    weighs an order by its attribution rows, ``max`` counts it once."""
+    shares = attribution.customer_attribution_pct(
+        attribution.attach_attribution(order_features, order_attribution, mode))
+    new = [c for c in shares.columns if c == "CustomerId" or c not in summary.columns]
+    return summary.join(shares.select(*new), "CustomerId", "left")
+
+
+def predict_classifier(table: DataFrame, target: str, **options) -> dict:
+    """Boosted trees on one of the prediction tables (key, target, features)."""
+    columns = [c for c in table.columns if c not in ("CustomerId", target)]
+    return classifier(table, target, columns, **{"threshold": 0.5, **options})
+
+
 def cluster_table(summary: DataFrame) -> DataFrame:
     """All customers with the numeric columns clusterings and linear models use."""
     named = customers.with_report_names(summary)

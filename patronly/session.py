@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -20,14 +22,29 @@ ADAPTIVE = {
 }
 
 
+_SHIPPED: set[str] = set()  # applications that have the package
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the settings results and skew handling depend on to a given session."""
+    """Apply the settings results and skew handling depend on to a given session, and let
+    its Python workers import this package wherever they were started."""
+    ship_package(spark)
     for key, value in {**REQUIRED, **ADAPTIVE}.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send the package's source (about 0.1 MB) to the executors, once per application."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = os.path.dirname(os.path.abspath(__file__))
+        folder = os.path.realpath(tempfile.mkdtemp(prefix="patronly-"))
+        context.addPyFile(shutil.make_archive(os.path.join(folder, "patronly"), "zip", os.path.dirname(package), os.path.basename(package)))
+        _SHIPPED.add(context.applicationId)
+
+
 def local_session(cores: int | str = 8, app: str = "patronly", memory: str = "8g") -> SparkSession:
     """A session for tests and the benchmark; clusters bring their own."""
     builder = (

@@ -56,13 +56,11 @@ def write_tables(tables: dict[str, DataFrame], folder: str, mode: str = "overwri
 
 def write_report_csv(df: DataFrame, path: str, split_by: str | None = None,
                      mode: str = "overwrite") -> str:
-    """Write a report as CSV with a header; ``split_by`` gives one folder per value.
-
-    Reports are bounded tables (buckets, segments), so one file each is enough;
-    an export of order rows keeps its partitions by ``split_by=None`` on the
-    caller's own partitioning.
+    """Write a report as one CSV file with a header; ``split_by`` gives one folder with one
+    file per value. For reports, which are bounded (buckets, segments); order rows are
+    exported as tables.
     """
-    writer = df.write.mode(mode).option("header", True)
+    writer = df.coalesce(1).write.mode(mode).option("header", True)
     if split_by:
         writer = writer.partitionBy(split_by)
     writer.csv(path)

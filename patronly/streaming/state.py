@@ -1,14 +1,14 @@
 """Streaming early warnings and overdue alerts: orders in, signals out.
 
-State per customer is one order or a few totals. One micro-batch is what a trigger
-reads (bounded by the source's files per trigger), so a customer's rows in a batch
-are too.
+Orders wait in their customer's state until the watermark has passed them and are then
+taken in time order, whatever order or trigger they came in. The state of a customer is
+a few totals and the orders of the lateness span; orders later than that are dropped by
+the engine. To flush a finite input, end it with ``clock_row``.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -16,6 +16,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from ..constants import ACTIVE_DAYS, CADENCE_FACTOR
 from ..operators.warning import DEVIATIONS, FLAG_RULES, deviation, warning_flags
 
+LATENESS = "30 days"
 _DAY = 86_400_000_000
 ORDER_INPUT = ["CustomerId", "OrderNumber", "PlacedDateTime", "OrderItemPriceTotal",
                "RushFeeAndShipPrice", "PromoCodeDiscount"]
@@ -27,40 +28,69 @@ def read_order_stream(spark: SparkSession, folder: str, files_per_trigger: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
-def _gap_days(later: pd.Series, earlier: pd.Series) -> pd.Series:
-    return (later - earlier) // _DAY
+# Orders of a known customer and time, and the row that only moves the clock.
+_USEFUL = "PlacedDateTime is not null and (CustomerId is not null or OrderNumber is null)"
+
+
+def clock_row(orders: DataFrame, lateness: str) -> DataFrame:
+    """A row without a customer, ``lateness`` and a second after the newest order: it only moves the
+    watermark up to that order, so that a finite input is emitted to its end."""
+    moved = orders.agg(F.max("PlacedDateTime").alias("at")).select(
+        (F.col("at") + F.expr(f"interval {lateness}") + F.expr("interval 1 second")).alias("at"))
+    return moved.select(*[
+        (F.col("at") if f.name == "PlacedDateTime" else F.lit(None)).cast(f.dataType).alias(f.name) for f in orders.schema])
+
+
+def _micros(times: pd.Series) -> np.ndarray:
+    return times.astype("datetime64[us]").astype("int64").to_numpy()
+
+
+def _watermark(state) -> int:
+    """Orders before this time (microseconds) are complete."""
+    return state.getCurrentWatermarkMs() * 1000
+
+
+def _wake(state, at: int) -> None:
+    """Call again as soon as the watermark is past ``at`` (microseconds)."""
+    state.setTimeoutTimestamp(max(at // 1000 + 1, state.getCurrentWatermarkMs() + 1))
 
 
 VALUES = ["OrderItemPriceTotal", "RushFeeAndShipPrice", "PromoCodeDiscount"]
-_WARNING_STATE = "price double, fees double, discount double, at long, gap double"
+_WARNING_STATE = ("at array<long>, number array<long>, " + ", ".join(f"v{i} array<double>" for i in range(len(VALUES)))
+                  + ", done int, closed long")
 
 
 def _follow(key, batches, state):
-    """Pair each order with the one before it, carrying the newest order in the state."""
-    rows = pd.concat(list(batches), ignore_index=True)
-    rows["at"] = rows["PlacedDateTime"].astype("datetime64[us]").astype("int64")
-    rows = rows.sort_values(["at", "OrderNumber"], kind="stable", ignore_index=True)
+    """Emit the orders the watermark has passed, each with the order before it. The state
+    holds the last two emitted orders (``done`` of them), then those that wait; what comes
+    before ``closed``, the time up to which orders were emitted, is too late."""
+    if pd.isna(key[0]):
+        return
+    parts, done, closed = [], 0, 0
     if state.exists:
-        price, fees, discount, at, gap = state.get
-        seed = pd.DataFrame([{**dict(zip(VALUES, (price, fees, discount))), "at": at}])
-        joined = pd.concat([seed, rows], ignore_index=True)
-    else:
-        gap, joined = None, rows
-    gaps = _gap_days(joined["at"], joined["at"].shift(1)).astype("float64")
-    if state.exists:
-        gaps.iloc[0] = gap if gap is not None else float("nan")
-    result = joined[["OrderNumber", "PlacedDateTime", *VALUES]].copy()
-    for column in VALUES:
-        result[f"Prev_{column}"] = joined[column].astype("float64").shift(1)
-    result["DaysSincePrevOrder"], result["PrevGap"] = gaps, gaps.shift(1)
-    if state.exists:
-        result = result.iloc[1:]
-    result.insert(0, "CustomerId", key[0])
-    newest = joined.iloc[-1]
-    known = lambda v: None if pd.isna(v) else float(v)
-    state.update((*[known(newest[c]) for c in VALUES], int(newest["at"]), known(gaps.iloc[-1])))
-    result["OrderNumber"] = result["OrderNumber"].astype("int64")
-    yield result
+        *columns, done, closed = state.get
+        parts.append(pd.DataFrame({c: list(v) for c, v in zip(["at", "OrderNumber", *VALUES], columns)}).assign(old=range(len(columns[0]))))
+    for batch in batches:
+        new = batch[["OrderNumber", *VALUES]].assign(at=_micros(batch["PlacedDateTime"]), old=2 ** 40)
+        parts.append(new[new["at"] >= closed])
+    rows = pd.concat([p.astype({c: "float64" for c in VALUES}) for p in parts], ignore_index=True)
+    rows["waits"] = rows["old"] >= done
+    rows = rows.sort_values(["waits", "at", "OrderNumber"], kind="stable", ignore_index=True)
+    ready = int((~rows["waits"] | (rows["at"] < _watermark(state))).sum())
+    if ready > done:
+        gaps = (rows["at"] - rows["at"].shift(1)) // _DAY
+        result = pd.DataFrame({"CustomerId": key[0], "OrderNumber": rows["OrderNumber"].astype("int64"),
+                               "PlacedDateTime": pd.to_datetime(rows["at"], unit="us")})
+        for column in VALUES:
+            result[column], result[f"Prev_{column}"] = rows[column], rows[column].shift(1)
+        result["DaysSincePrevOrder"], result["PrevGap"] = gaps, gaps.shift(1)
+        order = ["CustomerId", "OrderNumber", "PlacedDateTime", *VALUES, *[f"Prev_{c}" for c in VALUES], "DaysSincePrevOrder", "PrevGap"]
+        yield result[order].iloc[done:ready]
+    left = rows.iloc[max(0, ready - 2):]
+    known = lambda c: [None if pd.isna(v) else float(v) for v in left[c]]
+    state.update(([int(v) for v in left["at"]], [int(v) for v in left["OrderNumber"]], *[known(c) for c in VALUES], min(ready, 2), _watermark(state)))
+    if len(rows) > ready:
+        _wake(state, int(rows["at"].iloc[ready]))
 
 
 _FOLLOWED = ("CustomerId long, OrderNumber long, PlacedDateTime timestamp, "
@@ -75,13 +105,12 @@ def _pair_mean(now, before):
         .otherwise((F.col(now) + F.col(before)) / 2)
 
 
-def stream_early_warning(orders: DataFrame, lateness: str = "30 days", rules: dict = FLAG_RULES) -> DataFrame:
-    """Deviations and flags for each arriving order; orders older than the watermark
-    are dropped. Python only lines orders up, the arithmetic is column expressions."""
+def stream_early_warning(orders: DataFrame, lateness: str = LATENESS, rules: dict = FLAG_RULES) -> DataFrame:
+    """Deviations and flags for each order once the watermark has passed it; orders that
+    come later than ``lateness`` are dropped. Python only lines orders up, the arithmetic
+    is column expressions."""
     followed = (
-        orders.filter(F.col("CustomerId").isNotNull() & F.col("PlacedDateTime").isNotNull())
-        .select(*ORDER_INPUT).withWatermark("PlacedDateTime", lateness)
-        .groupBy("CustomerId")
+        orders.filter(_USEFUL).select(*ORDER_INPUT).withWatermark("PlacedDateTime", lateness).groupBy("CustomerId")
         .applyInPandasWithState(_follow, _FOLLOWED, _WARNING_STATE, "append",
                                 GroupStateTimeout.EventTimeTimeout)
     )
@@ -101,58 +130,69 @@ def stream_early_warning(orders: DataFrame, lateness: str = "30 days", rules: di
 
 # ---------------------------------------------------------------- overdue
 _ALERT = "CustomerId long, LastOrderDate timestamp, OverdueSince timestamp, MeanDays double"
-_OVERDUE_STATE = "orders long, days long, last long, alerted boolean"
+_OVERDUE_STATE = "orders long, days long, last long, alerted boolean, waiting array<long>, closed long"
 
 
 def _overdue(factor: float, active: int):
-    def limit(orders, days):
-        """Whole days of silence that make a customer overdue; none before two orders."""
-        if orders < 2:
-            return None
-        return max(math.floor(factor * days / (orders - 1)) + 1, active + 1)
-
-    def alert(key, last, silence, mean):
-        stamp = lambda micros: pd.Timestamp(micros, unit="us")
-        return pd.DataFrame([(key[0], stamp(last), stamp(last + silence * _DAY), mean)],
-                            columns=["CustomerId", "LastOrderDate", "OverdueSince", "MeanDays"])
+    def limits(orders, days):
+        """Whole days of silence that make a customer overdue; none (a huge number) before
+        two orders."""
+        mean = days / np.maximum(orders - 1, 1)
+        return np.where(orders < 2, 2 ** 40, np.maximum(np.floor(factor * mean) + 1, active + 1)).astype("int64")
 
     def step(key, batches, state):
-        orders, days, last, alerted = state.get if state.exists else (0, 0, None, False)
-        if state.hasTimedOut:
-            silence = limit(orders, days)
-            yield alert(key, last, silence, days / (orders - 1))
-            state.update((orders, days, last, True))
+        if pd.isna(key[0]):
             return
-        times = pd.concat([b["PlacedDateTime"] for b in batches]).astype("datetime64[us]").astype("int64")
-        for at in sorted(times):
-            if last is not None:
-                silence = limit(orders, days)
-                gap = max(0, (at - last) // _DAY)
-                if silence is not None and gap >= silence and not alerted:
-                    yield alert(key, last, silence, days / (orders - 1))
-                days += gap
-            orders, last, alerted = orders + 1, max(at, last or at), False
-        state.update((orders, int(days), int(last), False))
-        silence = limit(orders, days)
-        if silence is not None:
-            due = (last + silence * _DAY) // 1000 - 1
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        orders, days, last, alerted, waiting, closed = state.get if state.exists else (0, 0, None, False, [], 0)
+        times = np.sort(np.concatenate([np.asarray(waiting, "int64"), *[_micros(b["PlacedDateTime"]) for b in batches]]))
+        times = times[times >= closed]
+        now = _watermark(state)
+        ready, waiting = times[times < now], times[times >= now]
+        ends, silences, means, starts = [], [], [], []
+        if len(ready):
+            before = ready if last is None else np.append(last, ready)
+            gaps = np.diff(before) // _DAY
+            # totals as they were when each silence began
+            first = 1 if last is None else orders
+            count = first + np.arange(len(gaps))
+            total = days + np.append(0, np.cumsum(gaps)[:-1]) if len(gaps) else gaps
+            silence = limits(count, total)
+            over = gaps >= silence
+            if alerted and last is not None and len(over):
+                over[0] = False
+            starts, silences, means = before[:-1][over], silence[over], (total / np.maximum(count - 1, 1))[over]
+            days, orders, last, alerted = int(days + gaps.sum()), int(orders + len(ready)), int(ready[-1]), False
+        if last is not None:
+            silence = int(limits(np.array([orders]), np.array([days]))[0])
+            due = last + silence * _DAY if silence < 2 ** 40 else None
+            if due is not None and not alerted and due < now and not (len(waiting) and waiting[0] < due):
+                starts, silences, means = np.append(starts, last), np.append(silences, silence), np.append(means, days / (orders - 1))
+                alerted = True
+        if len(starts):
+            starts, silences = np.asarray(starts, "int64"), np.asarray(silences, "int64")
+            yield pd.DataFrame({"CustomerId": key[0], "LastOrderDate": pd.to_datetime(starts, unit="us"),
+                                "OverdueSince": pd.to_datetime(starts + silences * _DAY, unit="us"), "MeanDays": means})
+        state.update((orders, days, last, alerted, [int(t) for t in waiting], now))
+        wakes = [int(waiting[0])] if len(waiting) else []
+        if last is not None and due is not None and not alerted:
+            wakes.append(due)
+        if wakes:
+            _wake(state, min(wakes))
 
     return step
 
 
-def stream_overdue(orders: DataFrame, lateness: str = "0 days", factor: float = CADENCE_FACTOR,
+def stream_overdue(orders: DataFrame, lateness: str = LATENESS, factor: float = CADENCE_FACTOR,
                    active: int = ACTIVE_DAYS) -> DataFrame:
     """An alert when a customer has been silent for more than ``factor`` times the own
     mean pause and more than ``active`` days, by the event-time clock of the stream.
 
-    An alert is also given for a silence that ended inside the same batch, so the
-    alerts do not depend on how the input is cut into batches.
+    An alert is also given for a silence that has ended already when it is seen, so the
+    alerts depend neither on how the input is cut into batches nor, within ``lateness``,
+    on the order it comes in.
     """
     return (
-        orders.filter(F.col("CustomerId").isNotNull() & F.col("PlacedDateTime").isNotNull())
-        .select("CustomerId", "PlacedDateTime").withWatermark("PlacedDateTime", lateness)
-        .groupBy("CustomerId")
+        orders.filter(_USEFUL).select("CustomerId", "PlacedDateTime").withWatermark("PlacedDateTime", lateness).groupBy("CustomerId")
         .applyInPandasWithState(_overdue(factor, active), _ALERT, _OVERDUE_STATE, "append",
                                 GroupStateTimeout.EventTimeTimeout)
     )

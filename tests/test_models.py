@@ -67,6 +67,9 @@ def test_tree_and_logistic(planted):
     model, scored = mo.decision_tree(planted, ["x", "y"], "churned")
     assert min(r["count"] for r in scored.groupBy("LeafID").count().collect()) >= 20
     assert model.depth <= 4
+    # leaves stay apart although the same class leads in all of them
+    mostly = planted.withColumn("churned", F.col("churned") | (F.col("x") < 0.2) | (F.col("y") > 0.3))
+    assert mo.decision_tree(mostly, ["x", "y"], "churned")[1].select("LeafID").distinct().count() > 2
     fit = mo.logistic_churn(planted, ["x", "y"], "churned")
     data = fe.class_weights(planted, "churned", "balanced").toPandas()
     p = 1 / (1 + np.exp(-(data[["x", "y"]].to_numpy() @ fit.coefficients.toArray() + fit.intercept)))
@@ -82,7 +85,7 @@ def test_boosting_attributions_add_up(planted):
     scored = mo.score(model, test, ["x", "y"], "churned")
     assert me.roc_auc(scored).first()[0] > 0.8
     assert sum(r["Importance"] for r in mo.feature_importance(model, ["x", "y"], planted.sparkSession).collect()) == pytest.approx(1)
-    values = ab.shap_values(model, test, train, ["x", "y"], background_rows=50)
+    values = ab.shap_values(model, test, train, ["x", "y"])
     joined = values.join(scored.select("CustomerId", "margin"), "CustomerId").toPandas()
     assert np.allclose(joined["Base"] + joined["Attr_x"] + joined["Attr_y"], joined["margin"], atol=1e-9)
     assert {r["Feature"]: r["MeanAbs"] for r in ab.shap_summary(values, ["x", "y"]).collect()}["x"] > \
@@ -102,7 +105,8 @@ def test_attributions_match_brute_force():
     for order in permutations(range(3)):
         for i, f in enumerate(order):
             expected[f] += (game(order[:i + 1]) - game(order[:i])) / 6
-    tables, base = ab.leaf_tables(leaves, background)
+    counts = [np.bincount(ab._inside(background, sorted(box.items())), minlength=1 << len(box)) for box, _ in leaves]
+    tables, base = ab.leaf_tables(leaves, counts)
     got = np.zeros((1, 3))
     for box, table in tables:
         got[:, [f for f, _ in box]] += table[ab._inside(x[None, :], box)]
@@ -125,38 +129,58 @@ def test_export_hides_ids_and_repeats(order_rows, spark):
 
 
 @pytest.fixture(scope="module")
-def arriving(order_rows, tmp_path_factory):
+def arriving(order_rows):
     rng = random.Random(6)
     start = datetime(2019, 1, 1)
     data = [{"CustomerId": rng.randrange(12), "OrderItemPriceTotal": float(rng.randrange(90)),
              "PlacedDateTime": str(start + timedelta(days=6 * i, hours=rng.randrange(24)))} for i in range(120)]
-    table = featured(order_rows(*data))
-    folder = str(tmp_path_factory.mktemp("orders"))
-    for part in range(3):  # one file per period, so the stream sees time in order
-        table.filter((F.col("OrderNumber") - 1) % 120 >= part * 40).filter(
-            (F.col("OrderNumber") - 1) % 120 < (part + 1) * 40).coalesce(1).write.mode("append").parquet(folder)
-    return table, folder
-
-
-def test_stream_warnings_equal_batch(spark, arriving, tmp_path):
-    table, folder = arriving
-    stream = st.stream_early_warning(st.read_order_stream(spark, folder, files_per_trigger=1))
-    out = spark.read.parquet(st.run_available(stream, str(tmp_path / "out"), str(tmp_path / "state")))
+    return featured(order_rows(*data)).cache()
+
+
+def streamed(spark, build, table, parts, folder, lateness=st.LATENESS):
+    """Stream the parts (conditions on the order number) one file per trigger, then the clock."""
+    for part in parts:
+        table.filter(part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    st.clock_row(table, lateness).write.mode("append").parquet(f"{folder}/in")
+    stream = build(st.read_order_stream(spark, f"{folder}/in", files_per_trigger=1), lateness)
+    return spark.read.parquet(st.run_available(stream, f"{folder}/out", f"{folder}/state"))
+
+
+# In time order; and with every fifth order up to 25 orders (150 days) late.
+IN_ORDER = [f"(OrderNumber - 1) div 40 = {i}" for i in range(3)]
+LATE = [f"(case when OrderNumber % 5 = 0 then OrderNumber + 24 else OrderNumber end - 1) div 25 = {i}" for i in range(6)]
+
+
+@pytest.mark.parametrize("parts, lateness", [(IN_ORDER, "30 days"), (LATE, "200 days"), (["true"], "30 days")])
+def test_stream_warnings_equal_batch(spark, arriving, tmp_path, parts, lateness):
+    out = streamed(spark, st.stream_early_warning, arriving, parts, str(tmp_path), lateness)
+    columns = ["OrderNumber", *wa.DEVIATIONS, *wa.FLAG_RULES]
+    got, expected = rows(out, *columns), rows(wa.order_warnings(arriving), *columns)
+    assert len(got) == len(expected) == 120
+    for a, b in zip(got, expected):
+        assert a == pytest.approx(b)
+
+
+def test_stream_drops_only_what_is_later_than_the_watermark(spark, arriving, tmp_path):
+    """Orders come six days apart. When the third file comes the watermark stands 30 days
+    before order 90: order 1 is too late, order 88 is not."""
+    parts = ["OrderNumber between 2 and 87 or OrderNumber in (89, 90)", "OrderNumber between 91 and 100",
+             "OrderNumber in (1, 88) or OrderNumber > 100"]
+    out = streamed(spark, st.stream_early_warning, arriving, parts, str(tmp_path))
     columns = ["OrderNumber", *wa.DEVIATIONS, *wa.FLAG_RULES]
-    got, expected = rows(out, *columns), rows(wa.order_warnings(table), *columns)
-    assert len(got) == len(expected)
+    got, expected = rows(out, *columns), rows(wa.order_warnings(arriving.filter("OrderNumber > 1")), *columns)
+    assert {r[0] for r in got} == set(range(2, 121))
     for a, b in zip(got, expected):
         assert a == pytest.approx(b)
 
 
-def test_stream_alerts_equal_batch_cadence(spark, arriving, tmp_path):
-    table, folder = arriving
-    stream = st.stream_overdue(st.read_order_stream(spark, folder, files_per_trigger=1))
-    out = spark.read.parquet(st.run_available(stream, str(tmp_path / "out"), str(tmp_path / "state")))
-    last = ch.churn_profile(table).filter("ExceededCadence and DaysSinceLastOrder > 35").select("CustomerId", "LastOrderDate")
+@pytest.mark.parametrize("parts, lateness", [(IN_ORDER, "30 days"), (LATE, "200 days"), (["true"], "30 days")])
+def test_stream_alerts_equal_batch_cadence(spark, arriving, tmp_path, parts, lateness):
+    out = streamed(spark, st.stream_overdue, arriving, parts, str(tmp_path), lateness)
+    last = ch.churn_profile(arriving).filter("ExceededCadence and DaysSinceLastOrder > 35").select("CustomerId", "LastOrderDate")
     alerts = rows(out, "CustomerId", "LastOrderDate")
     assert len(alerts) == len(set(alerts))
-    final = table.groupBy("CustomerId").agg(F.max("PlacedDateTime").alias("LastOrderDate"))
+    final = arriving.groupBy("CustomerId").agg(F.max("PlacedDateTime").alias("LastOrderDate"))
     assert rows(out.join(final, ["CustomerId", "LastOrderDate"]), "CustomerId") == rows(last, "CustomerId")
 
 
@@ -165,7 +189,7 @@ def test_build_stores_every_table(spark, order_rows, tmp_path):
            "raw_order_item": spark.createDataFrame([(1, 1, 1.0, 0)], "OrderNumber long, ProductProductOptionId long, Quantity double, IsDeleted int"),
            "raw_product_product_option": spark.createDataFrame([(1, "Sticker")], "Id long, Name string")}
     paths = build_tables(spark, raw, str(tmp_path / "tables"))
-    assert set(paths) == {"order_df_retention", "churn_save", "customer_summary", "customer_summary_first_order",
+    assert set(paths) == {"order_feature_table", "churn_save", "customer_summary", "customer_summary_first_order",
                           "customer_summary_first_2_orders", "customer_summary_last_order", "product_type_df"}
     assert spark.read.parquet(paths["product_type_df"]).count() == 1
     assert rows(spark.read.parquet(paths["customer_summary_first_order"]), "CustomerId", "TotalOrders") == [(1, 1), (2, 1)]

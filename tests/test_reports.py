@@ -78,7 +78,7 @@ def test_running_totals_across_slices(spark):
     data = [(float(x), x % 7) for x in range(500)]
     df = spark.createDataFrame(data, "x double, n long").repartition(5)
     for down in (False, True):
-        got = {r["x"]: r["Upto_n"] for r in running_totals(df, "x", ["n"], slices=9, descending=down).collect()}
+        got = {r["x"]: r["Upto_n"] for r in running_totals(df, "x", ["n"], slice_rows=60, descending=down).collect()}
         assert all(got[x] == sum(m for y, m in data if (y >= x if down else y <= x)) for x, _ in data[::37])
 
 
@@ -133,8 +133,7 @@ def test_encoders(spark):
     assert rows(fe.fixed_category_codes(df, "t", ["b", "z"], "z"), "CustomerId", "t") == [(1, 0), (2, 1), (3, 1)]
 
 
-def test_many_levels_are_numbered_without_one_task(spark, monkeypatch):
-    monkeypatch.setattr(fe, "SMALL_ROWS", 10)
+def test_many_levels_are_numbered_without_one_task(spark):
     df = spark.range(300).select(F.col("id").alias("CustomerId"), F.format_string("%03d", "id").alias("t"))
     assert rows(fe.label_encode(df, ["t"]).filter("CustomerId <> t"), "CustomerId") == []
 

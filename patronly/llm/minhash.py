@@ -16,7 +16,7 @@ from .text import BASES, mix, span_hashes, window_hashes, word_hashes
 
 SHINGLE = 5
 CHUNK = 512  # documents whose signatures are computed together
-BLOCK = 768  # documents of a bucket that are compared with another such block at once
+BLOCK = 512  # documents of a bucket that are compared with another such block at once
 _STEP = np.uint64(0xD1B54A32D192ED03)
 
 

@@ -21,6 +21,9 @@ ADAPTIVE = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+# Rows that go to a Python worker at once: whole texts may be long, workers small.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
 
 _SHIPPED: set[str] = set()  # applications that have the package
 
@@ -29,7 +32,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Apply the settings results and skew handling depend on to a given session, and let
     its Python workers import this package wherever they were started."""
     ship_package(spark)
-    for key, value in {**REQUIRED, **ADAPTIVE}.items():
+    for key, value in {**REQUIRED, **ADAPTIVE, **BATCHES}.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     return spark

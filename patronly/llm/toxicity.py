@@ -27,9 +27,19 @@ IDENTITY_TERMS = {
 }
 
 
+STEMS = (5, 7)
+
+
 def words_of(text: Column) -> Column:
-    """Lower-case runs of letters of a text; null counts as empty."""
-    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+")
+    """The different lower-case runs of letters of a text, and the beginnings of longer
+    ones (5 and 7 letters and a star), which stand for inflected forms; null counts as empty."""
+    words = F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"))
+    return F.array_distinct(F.concat(words, *[_stems(words, n) for n in STEMS]))
+
+
+def _stems(words: Column, n: int) -> Column:
+    longer = F.filter(words, lambda w: F.char_length(w) > n)
+    return F.transform(longer, lambda w: F.concat(F.left(w, F.lit(n)), F.lit("*")))
 
 
 def telling_words(labelled: DataFrame, size: int = 2000, least: int = 3, evidence: float = 12.0) -> list[str]:
@@ -43,7 +53,7 @@ def telling_words(labelled: DataFrame, size: int = 2000, least: int = 3, evidenc
     n, k = float(total["n"] or 0), float(total["k"] or 0)
     if not 0 < k < n:
         return []
-    word = (labelled.select("label", F.explode(F.array_distinct("words")).alias("word")).filter("word <> ''")
+    word = (labelled.select("label", F.explode("words").alias("word")).filter("word <> ''")
             .groupBy("word").agg(F.count("*").alias("a"), F.sum("label").alias("b")).filter(F.col("a") >= least))
     a, b = F.col("a"), F.col("b")
 
@@ -81,7 +91,7 @@ def _sample(labelled: DataFrame, fit_rows: int) -> list:
 
 
 def fit(labelled: DataFrame, terms: dict[str, list[str]] = IDENTITY_TERMS, fit_rows: int = 20_000,
-        fairness: float = 10.0, ridge: float = 2e-4, rounds: int = 500) -> Model | None:
+        fairness: float = 10.0, ridge: float = 2e-5, rounds: int = 500) -> Model | None:
     """Fit on rows (doc_id, label, words).
 
     Word statistics cover all rows; the weights are fitted on at most ``fit_rows`` rows
@@ -166,4 +176,4 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc
     marks = labels_of(labels, id_col, label_col).filter(usable)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return materialize(texts.join(marks, F.col("doc_id") == F.col("label_id"))
-                       .select("doc_id", "label", F.array_distinct(words_of(F.col("text"))).alias("words")))
+                       .select("doc_id", "label", words_of(F.col("text")).alias("words")))

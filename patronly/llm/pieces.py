@@ -105,7 +105,7 @@ def build(model: Model):
     tokenizer = Tokenizer(core)
     steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
     if model.squeeze:
-        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex("^ | $"), "")]
+        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex(r"\A | \z"), "")]
     if model.dummy_prefix:
         steps.append(normalizers.Prepend(" "))
     if model.escape:
@@ -139,7 +139,9 @@ class Codec:
         # segments are normalised and split already
         self.core = Tokenizer(full.model)
         self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.pattern = _segments(self.model)
+        # the library would strip the space that starts a segment if it adds none itself
+        alone = self.model.dummy_prefix or not self.model.squeeze
+        self.pattern = _segments(self.model) if alone else re.compile(r"(?s).+")
         self.threads = threads
         self.known: dict[str, array] = {}
         self.before: dict[str, array] = {}

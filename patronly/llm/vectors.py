@@ -9,11 +9,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.numbering import number_rows
 from ..session import materialize
 from .graph import components
 
 BITS = 64
 BLOCK = 512  # vectors of one component compared at once
+STRETCH = 4096  # sorted rows that one task slides its window over
 
 
 def usable_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -74,10 +76,16 @@ def _hashed(vectors: DataFrame, passes: list[int], seed: int) -> DataFrame:
 
 def _window_links(hashed: DataFrame, window: int, cosine: float, parts: int) -> DataFrame:
     """Verified links between neighbours in sorted order. Of the links found in a batch
-    only a spanning star per group is returned, at most one link per vector."""
+    only a spanning star per group is returned, at most one link per vector.
+
+    The sorted rows are numbered and cut into stretches; the first ``window`` rows of each
+    also go to the end of the one before, so that no border hides a pair."""
     kind = hashed.schema["vec_id"].dataType.simpleString()
-    ordered = hashed.repartitionByRange(parts, "pass", "label", "size", "key", "vec_id").sortWithinPartitions(
-        "pass", "label", "size", "key", "vec_id")
+    length = max(STRETCH, window)
+    numbered = number_rows(hashed, ["pass", "label", "size", "key", "vec_id"], "_number", parts)
+    own = F.floor(F.col("_number") / length)
+    before = F.when((own > 0) & (F.col("_number") % length < window), F.array(own, own - 1)).otherwise(F.array(own))
+    ordered = numbered.withColumn("stretch", F.explode(before)).repartition(parts, "stretch").sortWithinPartitions("stretch", "_number")
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tail = None
@@ -87,7 +95,8 @@ def _window_links(hashed: DataFrame, window: int, cosine: float, parts: int) ->
             if len(rows) < 2:
                 continue
             unit = _matrix(rows["vector"])
-            change = (rows[["pass", "label", "size"]].to_numpy()[1:] != rows[["pass", "label", "size"]].to_numpy()[:-1]).any(axis=1)
+            same = rows[["stretch", "pass", "label", "size"]].to_numpy()
+            change = (same[1:] != same[:-1]).any(axis=1)
             group = np.concatenate(([0], np.cumsum(change)))
             left, right = [], []
             for s in range(1, min(window, len(rows) - 1) + 1):

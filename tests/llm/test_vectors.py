@@ -74,3 +74,13 @@ def test_edges(spark):
 def test_more_rows_ask_for_more_passes():
     few, many = (vectors.passes_needed(n, 48, 0.93, 1e-5) for n in (1_000, 1_000_000))
     assert 4 <= few < many
+
+
+def test_more_partitions_than_rows_in_a_window(spark):
+    rows = clusters(4, 40, 5, 0.5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "150")
+    try:
+        assert result(vectors.near_vectors(table(spark, rows))) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

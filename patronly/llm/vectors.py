@@ -1,4 +1,4 @@
-"""Near-duplicate vectors: sorted projection passes, verified pairs, united groups."""
+"""Near-duplicate vectors: projection passes, runs compared whole, united groups."""
 
 from __future__ import annotations
 
@@ -9,13 +9,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.numbering import number_rows
 from ..session import materialize
 from .graph import components
 
 BITS = 64
-BLOCK = 512  # vectors of one component compared at once
-STRETCH = 4096  # sorted rows that one task slides its window over
+BLOCK = 512  # vectors of one component or run compared at once
+MOVED = 1000  # comparisons that cost as much as hashing and moving one vector
 
 
 def usable_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -29,16 +28,19 @@ def usable_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "e
                                    F.coalesce(good, F.lit(False)).alias("usable")))
 
 
-def passes_needed(rows: int, window: int, cosine: float, miss: float) -> int:
-    """Passes after which a pair at exactly ``cosine`` is still unseen with chance ``miss``.
-
-    Two such vectors agree in a projection's sign with chance 1 - angle/pi. They are within
-    the window if they agree in about log2(rows / window) leading bits.
-    """
+def passes_for(bits: float, cosine: float, miss: float) -> int:
+    """Passes after which a pair at exactly ``cosine`` has agreed in the first ``bits`` signs
+    of no pass with chance ``miss``: two such vectors agree in a projection's sign with
+    chance 1 - angle/pi, wherever the other vectors lie."""
     agree = 1 - math.acos(cosine) / math.pi
-    bits = max(0.0, math.log2(max(1.0, rows / window)))
     hit = min(agree ** bits, 1 - 1e-9)
-    return max(4, math.ceil(math.log(miss) / math.log(1 - hit)))
+    return max(1, math.ceil(math.log(miss) / math.log(1 - hit)))
+
+
+def passes_needed(rows: int, window: int, cosine: float, miss: float) -> int:
+    """Passes for runs of about ``window`` rows if vectors spread evenly over directions:
+    these agree in about log2(rows / window) leading bits."""
+    return max(4, passes_for(max(0.0, math.log2(max(1.0, rows / window))), cosine, miss))
 
 
 def _matrix(column: pd.Series, size: int | None = None) -> np.ndarray:
@@ -51,10 +53,12 @@ def _matrix(column: pd.Series, size: int | None = None) -> np.ndarray:
     return out / np.sqrt((out * out).sum(axis=1, keepdims=True))
 
 
-def _hashed(vectors: DataFrame, passes: list[int], seed: int) -> DataFrame:
-    """One row per vector and pass with the signs of 64 random projections as one number,
-    first projection first, so that the order of numbers is the order of sign strings."""
+def _hashed(vectors: DataFrame, passes: list[int], bits: int, seed: int, whole: bool) -> DataFrame:
+    """One row per vector and pass with the signs of the first ``bits`` of 64 random
+    projections as one number, first projection first; with ``whole`` also the vector."""
     kind = vectors.schema["vec_id"].dataType.simpleString()
+    fields = {f.name: f.dataType.simpleString() for f in vectors.schema}
+    carried = ["vec_id", "vector"] if whole else []
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         planes: dict[tuple[int, int], np.ndarray] = {}
@@ -64,60 +68,100 @@ def _hashed(vectors: DataFrame, passes: list[int], seed: int) -> DataFrame:
                 for p in passes:
                     if (p, size) not in planes:
                         planes[p, size] = np.random.default_rng([seed, p, size]).standard_normal((size, BITS))
-                    bits = (unit @ planes[p, size] > 0).astype(np.uint8)
-                    key = np.packbits(bits, axis=1).view(">u8")[:, 0].astype(np.uint64).view(np.int64)
+                    signs = (unit @ planes[p, size] > 0).astype(np.uint8)
+                    signs[:, bits:] = 0
+                    key = np.packbits(signs, axis=1).view(">u8")[:, 0].astype(np.uint64).view(np.int64)
                     yield pd.DataFrame({"pass": np.int32(p), "label": same["label"], "size": same["size"], "key": key,
-                                        "vec_id": same["vec_id"], "vector": same["vector"]})
-
-    fields = {f.name: f.dataType.simpleString() for f in vectors.schema}
-    return vectors.mapInPandas(compute, f"pass int, label {fields['label']}, size int, key long, vec_id {kind}, "
-                                        f"vector {fields['vector']}")
-
-
-def _window_links(hashed: DataFrame, window: int, cosine: float, parts: int) -> DataFrame:
-    """Verified links between neighbours in sorted order. Of the links found in a batch
-    only a spanning star per group is returned, at most one link per vector.
+                                        **{c: same[c] for c in carried}})
+
+    kinds = {"vec_id": kind, "vector": fields["vector"]}
+    return vectors.mapInPandas(compute, f"pass int, label {fields['label']}, size int, key long"
+                                        + "".join(f", {c} {kinds[c]}" for c in carried))
+
+
+def _bits_and_passes(vectors: DataFrame, largest: int, window: int, cosine: float, miss: float, seed: int) -> tuple[int, int]:
+    """How many leading bits make a run, and in how many passes.
+
+    Labels that fit a block are compared whole, once. Else the runs of one pass are
+    measured at several lengths: vectors in a cone share more bits than evenly spread
+    ones, so their runs are longer, and more bits with more passes may cost less. The
+    choice only decides about cost; the passes hold the miss for each."""
+    if largest <= BLOCK:
+        return 0, 1
+    least = min(BITS, max(1, round(math.log2(largest / window))))
+    lengths = list(range(least, min(BITS, least + 24) + 1, 3))
+    runs = _hashed(vectors, [0], lengths[-1], seed, False).groupBy("label", "size", "key").agg(F.count("*").alias("n"))
+    # the sign bit of a key is its first projection, so that shifts keep leading bits
+    cut = runs.select("label", "size", "n", F.explode(F.array(*[
+        F.struct(F.lit(b).alias("bits"), F.shiftright("key", BITS - b).alias("lead")) for b in lengths])).alias("cut"))
+    n = F.col("n").cast("double")
+    cost = (cut.groupBy("label", "size", "cut").agg(F.sum("n").alias("n"))
+            .groupBy(F.col("cut.bits").alias("bits"))
+            .agg(F.sum(n * MOVED * (1 + F.ceil(n / BLOCK)) + n * n / 2).alias("cost")).collect())
+    bits = min(cost, key=lambda r: (r["cost"] * passes_for(r["bits"], cosine, miss), r["bits"]))["bits"]
+    return bits, passes_for(bits, cosine, miss)
+
+
+def _star(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest place each of n places is connected to by the links (a, b)."""
+    root = np.arange(n)
+    while True:
+        before = root.copy()
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        root = root[root]
+        if (root == before).all():
+            return root
+
+
+def _run_links(vectors: DataFrame, passes: list[int], bits: int, seed: int, cosine: float) -> DataFrame:
+    """Verified links between all vectors of a run, the rows of one label and size that
+    agree in the leading bits of a pass. A run is cut in blocks of about ``BLOCK`` vectors
+    and every two blocks are compared by one call. Of the links found by a call only a
+    spanning star per group is returned, at most one link per vector."""
+    kind = vectors.schema["vec_id"].dataType.simpleString()
+    run = ["pass", "label", "size", "key"]
+    long = (_hashed(vectors, passes, bits, seed, False).groupBy(*run).agg(F.count("*").alias("_n")).filter(F.col("_n") > BLOCK)
+            .select(*run, F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks")))
+    rows = _hashed(vectors, passes, bits, seed, True).join(long, run, "left").withColumn("blocks", F.coalesce("_blocks", F.lit(1)))
+    cut = rows.withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    pairs = (cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+             .select(*run, "i", "j", "own", "vec_id", "vector"))
 
-    The sorted rows are numbered and cut into stretches; the first ``window`` rows of each
-    also go to the end of the one before, so that no border hides a pair."""
-    kind = hashed.schema["vec_id"].dataType.simpleString()
-    length = max(STRETCH, window)
-    numbered = number_rows(hashed, ["pass", "label", "size", "key", "vec_id"], "_number", parts)
-    own = F.floor(F.col("_number") / length)
-    before = F.when((own > 0) & (F.col("_number") % length < window), F.array(own, own - 1)).otherwise(F.array(own))
-    ordered = numbered.withColumn("stretch", F.explode(before)).repartition(parts, "stretch").sortWithinPartitions("stretch", "_number")
+    def compare(ids: np.ndarray, unit: np.ndarray, first: np.ndarray, second: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        x, y = np.nonzero(unit[first] @ unit[second].T >= cosine)
+        root = _star(first[x], second[y], len(ids))
+        linked = np.flatnonzero(root != np.arange(len(ids)))
+        return ids[linked], ids[root[linked]]
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tail = None
+        def links(rows: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
+            ids, unit, found = rows["vec_id"].to_numpy(), _matrix(rows["vector"]), []
+            own, i, j = (rows[c].to_numpy() for c in ("own", "i", "j"))
+            starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+            for start, end in zip(starts, np.append(starts[1:], len(rows))):
+                if end - start > 1:
+                    part = slice(start, end)
+                    found.append(compare(ids[part], unit[part], np.flatnonzero(own[part] == i[start]), np.flatnonzero(own[part] == j[start])))
+            a, b = (np.concatenate(x) for x in zip(*found)) if found else ((), ())
+            return pd.DataFrame({"a": a, "b": b})
+
+        rest = None
         for batch in batches:
-            rows = batch if tail is None else pd.concat([tail, batch], ignore_index=True)
-            tail = rows.tail(window)
-            if len(rows) < 2:
+            if not len(batch):
                 continue
-            unit = _matrix(rows["vector"])
-            same = rows[["stretch", "pass", "label", "size"]].to_numpy()
-            change = (same[1:] != same[:-1]).any(axis=1)
-            group = np.concatenate(([0], np.cumsum(change)))
-            left, right = [], []
-            for s in range(1, min(window, len(rows) - 1) + 1):
-                found = np.flatnonzero((group[s:] == group[:-s]) & (np.einsum("ij,ij->i", unit[s:], unit[:-s]) >= cosine))
-                left.append(found)
-                right.append(found + s)
-            a, b = np.concatenate(left), np.concatenate(right)
-            root = np.arange(len(rows))
-            while True:
-                before = root.copy()
-                low = np.minimum(root[a], root[b])
-                np.minimum.at(root, a, low)
-                np.minimum.at(root, b, low)
-                root = root[root]
-                if (root == before).all():
-                    break
-            linked = np.flatnonzero(root != np.arange(len(rows)))
-            ids = rows["vec_id"].to_numpy()
-            if len(linked):
-                yield pd.DataFrame({"a": ids[linked], "b": ids[root[linked]]})
-
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            group = rows.groupby([*run, "i", "j"], sort=False, dropna=False).ngroup().to_numpy()
+            done = group != group[-1]
+            if done.any():
+                yield links(rows[done], group[done])
+            rest = rows[~done]
+        if rest is not None:
+            yield links(rest, np.zeros(len(rest)))
+
+    ordered = pairs.repartition(*run, "i", "j").sortWithinPartitions(*run, "i", "j")
     return ordered.mapInPandas(link, f"a {kind}, b {kind}")
 
 
@@ -153,13 +197,16 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
                  passes_per_job: int = 4, seed: int = 11) -> DataFrame:
     """Groups of vectors of one label that are linked by a cosine of ``cosine`` or more.
 
-    Equal vectors of a label first become one vector with a count. Each pass then sorts
-    the vectors by the concatenated signs of random projections and compares each with the
-    next ``window``; links verified in any pass are united to components. The number of
-    passes follows from the size of the largest label and ``miss``, so that a pair at the
-    threshold is found at any size. Within a component every pair is then compared, in
-    blocks, which gives the exact number of links of each vector, those included that no
-    window showed. No pairs leave a task but one link per vector and pass.
+    Equal vectors of a label first become one vector with a count. Each pass then cuts the
+    vectors into runs that agree in the leading signs of random projections, and compares
+    all vectors of a run, in blocks; links verified in any pass are united to components.
+    Runs are meant to hold about ``window`` vectors, but are never cut off: where vectors
+    lie close together they are longer. The number of passes follows from the number of
+    signs and ``miss`` alone, so that a pair at the threshold is missed with that chance
+    at any size and however the vectors lie. Labels of up to 512 different vectors are
+    compared whole. Within a component every pair is then compared, in blocks, which gives
+    the exact number of links of each vector, those included that no run showed. No pairs
+    leave a task but one link per vector, pass and block.
 
     Vectors that are null, empty, zero, without label, or hold null or non-finite
     components, and vectors of another length, link with nothing. Repeated rows are
@@ -172,13 +219,13 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     usable = stored.filter("usable and vec_id is not null")
     vectors = materialize(usable.groupBy("label", "size", "vector").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")))
     largest = vectors.groupBy("label", "size").count().agg(F.max("count")).first()[0] or 0
-    passes = passes or passes_needed(largest, window, cosine, miss)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     links = None
     if largest > 1:
+        bits, enough = _bits_and_passes(vectors, largest, window, cosine, miss, seed)
+        passes = passes or enough
         for first in range(0, passes, passes_per_job):
             numbers = list(range(first, min(passes, first + passes_per_job)))
-            found = materialize(_window_links(_hashed(vectors, numbers, seed), window, cosine, parts).distinct())
+            found = materialize(_run_links(vectors, numbers, bits, seed, cosine).distinct())
             links = found if links is None else links.unionByName(found)
     else:
         links = vectors.select(F.col("vec_id").alias("a"), F.col("vec_id").alias("b")).limit(0)

@@ -84,3 +84,34 @@ def test_more_partitions_than_rows_in_a_window(spark):
         assert result(vectors.near_vectors(table(spark, rows))) == brute(rows)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def cone(seed, base, pairs, shared, size=64):
+    """Vectors of one label with a mutual cosine of about ``shared``, and ``pairs`` more,
+    each at a cosine just above 0.93 to one of them."""
+    rng = np.random.default_rng(seed)
+    axis = np.eye(size)[0]
+    side = rng.standard_normal((base, size))
+    side[:, 0] = 0
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    unit = np.sqrt(shared) * axis + np.sqrt(1 - shared) * side
+    away = rng.standard_normal((pairs, size))
+    away -= (away * unit[:pairs]).sum(axis=1, keepdims=True) * unit[:pairs]
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    near = 0.932 * unit[:pairs] + np.sqrt(1 - 0.932 ** 2) * away
+    return [(n, [float(np.float32(x)) for x in v], 0) for n, v in enumerate(np.concatenate([unit, near]))]
+
+
+def test_pairs_in_a_narrow_label_are_found(spark):
+    rows = cone(5, 2000, 400, 0.8)
+    unit = np.array([r[1] for r in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.93
+    expected = {n: int(row.sum()) - 1 for n, row in enumerate(linked)}
+    assert {r["vec_id"]: r["n_links"] for r in vectors.near_vectors(table(spark, rows)).collect()} == expected
+
+
+def test_any_number_of_signs_holds_the_miss():
+    agree = 1 - np.arccos(0.93) / np.pi
+    assert vectors.passes_for(0, 0.93, 1e-5) == 1
+    assert all((1 - agree ** b) ** vectors.passes_for(b, 0.93, 1e-5) <= 1e-5 for b in range(1, 30))

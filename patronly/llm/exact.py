@@ -12,7 +12,8 @@ from .text import without_white
 DIGEST = ["sha256", "check", "length"]
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 16) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 16,
+                 key_col: str | None = None) -> DataFrame:
     """Groups of texts that are equal once white space is deleted.
 
     Every writing task of the digest table leaves one run. A run is sorted by digest and
@@ -30,15 +31,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     smaller than all others. Repeated rows are copies of each other. Extra columns are
     ignored. An empty table gives an empty result.
 
-    Returns one row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+    Returns one row per input row: doc_id, keep_id, group_size, kept, text_sha256. With
+    ``key_col``, a column that tells rows apart, also key and best: whether the row is the
+    one of its group that stays, the smallest key among equally good ones.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.char_length(text).alias("points"), without_white(text).alias("bare"))
+    key = F.col(key_col) if key_col else F.lit(0)
+    rows = docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), F.char_length(text).alias("points"), without_white(text).alias("bare"))
     rows = materialize(rows.select(
-        "doc_id", "points", F.unhex(F.sha2("bare", 256)).alias("sha256"), F.xxhash64("bare").alias("check"),
+        "doc_id", "key", "points", F.unhex(F.sha2("bare", 256)).alias("sha256"), F.xxhash64("bare").alias("check"),
         F.octet_length("bare").alias("length"), F.spark_partition_id().alias("run")))
 
-    best = F.struct((-F.col("points")).alias("fewest"), F.col("doc_id"))
+    best = F.struct((-F.col("points")).alias("fewest"), F.col("doc_id"), F.col("key"))
     runs = (rows.withColumn("best", best).groupBy("run", *DIGEST)
             .agg(F.min("best").alias("best"), F.count("*").alias("group_size")))
     count = (rows.agg(F.max("run")).first()[0] or 0) + 1
@@ -47,21 +51,23 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         merged = (merged.withColumn("run", F.floor(F.col("run") / fan_in)).groupBy("run", *DIGEST)
                   .agg(F.min("best").alias("best"), F.sum("group_size").alias("group_size")))
 
-    winners = merged.select(*DIGEST, F.col("best.doc_id").alias("keep_id"), "group_size")
+    winners = merged.select(*DIGEST, F.col("best.doc_id").alias("keep_id"), F.col("best.key").alias("keep_key"), "group_size")
     entries = runs.select("run", *DIGEST).join(winners, DIGEST)
-    return rows.join(entries, ["run", *DIGEST]).select(
+    found = rows.join(entries, ["run", *DIGEST])
+    keyed = [F.col("key"), (F.col("key") == F.col("keep_key")).alias("best")] if key_col else []
+    return found.select(
         "doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"),
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha256")).alias("text_sha256"))
+        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha256")).alias("text_sha256"), *keyed)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose row stays, with their columns; of repeated rows of one id one.
+    """The one best row of every group, with its columns. Rows are told apart by a key of
+    their own, so that an id (or no id) on several texts stays with each text that does.
 
-    Only the ids to be dropped are joined: they are few, and Spark broadcasts them if they
-    are small by its own measure.
+    The table is stored once with the keys. Only the keys to be dropped are joined: they
+    are few, and Spark broadcasts them if they are small by its own measure.
     """
-    groups = exact_groups(docs, id_col, text_col)
-    dropped = groups.filter("not kept").select(F.col("doc_id").alias("_dropped_id")).distinct()
-    kept = docs.join(dropped, docs[id_col].eqNullSafe(dropped["_dropped_id"]), "left_anti")
-    repeated = groups.filter("kept and group_size > 1").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return kept.dropDuplicates([id_col]) if repeated else kept
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = materialize(docs.withColumn("_row_key", F.monotonically_increasing_id()))
+    dropped = exact_groups(keyed, id_col, text_col, key_col="_row_key").filter("not best").select(F.col("key").alias("_dropped_key"))
+    return keyed.join(dropped, F.col("_row_key") == F.col("_dropped_key"), "left_anti").select(*columns)

@@ -45,3 +45,12 @@ def test_dedup_keeps_one_row_per_group_and_all_columns(spark):
     best = {b[1] for b in brute([r[:2] for r in edge_rows()])}
     assert sorted(map(repr, (r["doc_id"] for r in kept.collect()))) == sorted(map(repr, best))
     assert exact_dedup(empty(spark)).count() == 0
+
+
+def test_dedup_drops_rows_not_ids(spark):
+    rows = [(1, "longer  text", "en", "a"), (2, "longer text", "en", "a"), (2, "its own", "en", "a"), (None, "longer text", "en", "a"),
+            (None, "alone", "en", "a"), (None, "too", "en", "a"), (None, "too", "en", "a"), (3, "x", "en", "a"), (3, "y", "en", "a"),
+            (4, "z", "en", "a"), (4, "z", "en", "a")]
+    kept = exact_dedup(documents(spark, rows))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted(
+        [(1, "longer  text"), (2, "its own"), (None, "alone"), (None, "too"), (3, "x"), (3, "y"), (4, "z")], key=repr)

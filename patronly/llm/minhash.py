@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.numbering import number_rows
 from ..session import materialize
 from .graph import components
 from .text import BASES, mix, span_hashes, window_hashes, word_hashes
@@ -248,34 +249,28 @@ def _crossing_links(members: DataFrame, texts: DataFrame, kind: str, threshold:
     return ordered.mapInPandas(run, f"a {kind}, b {kind}")
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8,
-                 bands: int = 20, rows: int = 4) -> DataFrame:
-    """Classes of texts connected by a probability Jaccard of ``threshold`` or more over
-    five-word shingles weighted by their counts.
-
-    Texts with the same words form one text at once. Signatures of ``bands`` x ``rows``
-    registers are banded; a pair at 0.8 shares no band with a chance below 3 in 100,000.
-    First every member of a bucket is compared with the bucket's smallest id, which leaves
-    most buckets in one class, however large; such pairs are rejected only if their sketches
-    agree in less than threshold - 0.3 of the registers (over six standard errors) or by the
-    exact similarity of their whole texts. Then, in buckets where classes still meet, the
-    documents of different classes are compared exactly, in blocks.
+def words_digest(text_col: str):
+    """The digest of ``_signature_table`` for a text with words."""
+    return F.unhex(F.sha2(F.trim(F.regexp_replace(F.col(text_col), r"[\x20\x09-\x0D]+", " ")), 256))
 
-    Null, empty and blank texts are classes of their own, as are rows with a null id.
-    Repeated rows share a class. Extra columns are ignored; an empty table gives no rows.
 
-    Returns one row per input row: doc_id, class_id (the smallest id of the class), kept.
-    """
+def _keyed_classes(docs: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, bands: int = 20, rows: int = 4) -> DataFrame:
+    """One row per input row: doc_id, digest of the words, class_id, kept. Each text with
+    words of its own is numbered in the order of (its smallest id, digest), and the
+    numbers stand for the texts (as doc_id) until the classes are known."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = source.schema["doc_id"].dataType.simpleString()
-    stored = _signature_table(source, kind, bands, rows)
-    sketches = materialize(stored.filter("digest is not null and doc_id is not null").groupBy("digest").agg(
-        F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
+    stored = _signature_table(source, source.schema["doc_id"].dataType.simpleString(), bands, rows)
+    sketches = number_rows(stored.filter("digest is not null and doc_id is not null").groupBy("digest").agg(
+        F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), ["id", "digest"], "doc_id")
+    kind = "bigint"
     keys = sketches.select("doc_id", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).filter("centre < last")
     members = materialize(keys.join(buckets.select("key", "centre"), "key"))
-    some = members.select(F.col("doc_id").alias("_id")).distinct()
-    texts = materialize(source.join(some, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"]))
+    some = members.select("doc_id").distinct().join(sketches.select("doc_id", "id", F.col("digest").alias("_digest")), "doc_id")
+    # the text must be the one of the digest: an id may stand on several
+    texts = materialize(source.select(F.col("doc_id").alias("_id"), "text", words_digest("text").alias("digest"))
+                        .join(some, (F.col("_id") == F.col("id")) & (F.col("digest") == F.col("_digest")))
+                        .select("doc_id", "text").dropDuplicates(["doc_id"]))
 
     stars = members.filter("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
     links = materialize(_verified(_promising(stars, sketches, kind, threshold - 0.3), texts, kind, threshold))
@@ -288,14 +283,43 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     more = materialize(_crossing_links(open_rows, texts, kind, threshold).distinct())
     # the links of the stars are already summed up in their classes
     classes = components(classes.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    roots = sketches.select(F.col("doc_id").alias("root"), F.col("id").alias("class_id"), F.col("digest").alias("root_digest"))
     same = (sketches.select("digest", "doc_id").join(classes, F.col("doc_id") == F.col("node"), "left")
-            .select(F.col("digest").alias("_digest"), F.coalesce("root", "doc_id").alias("class_id")))
+            .select(F.col("digest").alias("_digest"), F.coalesce("root", "doc_id").alias("root")).join(roots, "root").drop("root"))
+    smallest = F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("digest").eqNullSafe(F.col("root_digest"))
     return (stored.select("doc_id", "digest").join(same, F.col("digest") == F.col("_digest"), "left")
-            .select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
-            .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id"))))
+            .withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")))
+            .withColumn("kept", F.col("doc_id").isNull() | F.col("digest").isNull() | smallest)
+            .select("doc_id", "digest", "class_id", "kept"))
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8,
+                 bands: int = 20, rows: int = 4) -> DataFrame:
+    """Classes of texts connected by a probability Jaccard of ``threshold`` or more over
+    five-word shingles weighted by their counts.
+
+    Texts with the same words form one text at once. Signatures of ``bands`` x ``rows``
+    registers are banded; a pair at 0.8 shares no band with a chance below 3 in 100,000.
+    First every member of a bucket is compared with the bucket's smallest id, which leaves
+    most buckets in one class, however large; such pairs are rejected only if their sketches
+    agree in less than threshold - 0.3 of the registers (over six standard errors) or by the
+    exact similarity of their whole texts. Then, in buckets where classes still meet, the
+    documents of different classes are compared exactly, in blocks.
+
+    Null, empty and blank texts are classes of their own, as are rows with a null id.
+    Repeated rows share a class. Extra columns are ignored; an empty table gives no rows.
+
+    An id that stands on several texts stands for each of them on its own.
+
+    Returns one row per input row: doc_id, class_id (the smallest id of the class), kept
+    (of texts of one class that share the smallest id, one).
+    """
+    return _keyed_classes(docs, id_col, text_col, threshold, bands, rows).select("doc_id", "class_id", "kept")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents with the smallest id of their class, with their columns."""
-    dropped = near_classes(docs, id_col, text_col, **options).filter("not kept").select(F.col("doc_id").alias("_dropped_id")).distinct()
-    return docs.join(dropped, docs[id_col].eqNullSafe(dropped["_dropped_id"]), "left_anti")
+    """The documents with the smallest id of their class, with their columns. Dropped are
+    texts of an id, not ids."""
+    dropped = _keyed_classes(docs, id_col, text_col, **options).filter("not kept").select(
+        F.col("doc_id").alias("_dropped_id"), F.col("digest").alias("_dropped_digest")).distinct()
+    return docs.join(dropped, (docs[id_col] == dropped["_dropped_id"]) & (words_digest(text_col) == dropped["_dropped_digest"]), "left_anti")

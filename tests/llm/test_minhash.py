@@ -87,3 +87,12 @@ def test_probability_jaccard_is_exact_and_estimated():
         assert (table[0] == table[1]).mean() == pytest.approx(exact, abs=0.04)
         # drawn to any time, the registers are the same
         assert (minhash.signatures(sets[:1], 64) == minhash.signatures(sets, 64)[:1]).all()
+
+
+def test_an_id_on_two_texts_loses_only_the_near_copy(spark):
+    base = [f"w{i}" for i in range(60)]
+    first, near = " ".join(base), " ".join(base[:-1] + ["other"])
+    other = " \t" + "\n".join(f"v{i}" for i in range(60)) + " "
+    rows = [(1, first, "en", "a"), (2, near, "en", "a"), (2, other, "en", "a"), (3, other + " end", "en", "a"), (None, near, "en", "a")]
+    kept = minhash.near_dedup(documents(spark, rows))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(1, first), (2, other), (None, near)], key=repr)

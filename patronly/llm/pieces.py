@@ -166,8 +166,11 @@ class Codec:
                 self.wrong.add(segment)
 
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], bool]]:
-        """Ids of each text, and whether all its segments agree with the library."""
-        cut = [self.pattern.findall(self.normalise(t)) for t in texts]
+        """Ids of each text, and whether the library normalises the whole text to the same
+        string and gives the same ids for all its segments."""
+        normal = [self.normalise(t) for t in texts]
+        same = [n == self.library.normalize(t) for t, n in zip(texts, normal)]
+        cut = [self.pattern.findall(n) for n in normal]
         if len(self.known) > CACHE:
             self.before, self.known = self.known, {}
         new = {s for segments in cut for s in segments} - self.known.keys()
@@ -175,9 +178,9 @@ class Codec:
         self.known.update((s, self.before[s]) for s in again)
         if new := new - again:
             self._learn(list(new))
-        for segments in cut:
+        for segments, equal in zip(cut, same):
             ids = list(chain.from_iterable(map(self.known.__getitem__, segments)))
-            yield ids, not self.wrong or self.wrong.isdisjoint(segments)
+            yield ids, equal and (not self.wrong or self.wrong.isdisjoint(segments))
 
     def decode(self, ids) -> str:
         data = b"".join(map(self.bytes.__getitem__, ids))
@@ -214,7 +217,8 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str,
     Returns the ``keep`` columns and ids array<int>, n_tokens, parity (the SentencePiece
     library gives the same ids) and round_trip (decoding gives the text back; a model that
     normalises may lose white space or the like). A null text has null ids and zero
-    tokens; an empty one has no ids; both count as right. Parity is checked for every
+    tokens; an empty one has no ids; both count as right. For parity the library normalises
+    every whole text, which must give the rebuilt normaliser's string, and encodes every
     distinct segment of the texts: as no piece spans two segments (read off the model; else
     the segment is the whole text), the parts decide about the whole. Texts are encoded in
     groups of about a million characters by ``threads`` threads. Repeated rows each get

@@ -75,3 +75,13 @@ def test_odd_texts_agree():
     for text in TEXTS + ["<s>", "</s> <unk>", "<0x41>", "\x00\x01", "á", "🙂 🙂", "\r\n", "   x", "x   "]:
         ids, same = next(codec.encode([text]))
         assert ids == library.encode(text) and same, text
+
+
+def test_a_different_normaliser_breaks_parity():
+    with open(PIECE_MODEL, "rb") as file:
+        codec = pieces.Codec(file.read(), 1)
+    texts = ["Hello  World", " été\n", "", " ", "plain"]
+    assert all(same for _, same in codec.encode(texts))
+    right = codec.normalise
+    codec.normalise = lambda text: right(text.lower())
+    assert [same for _, same in codec.encode(texts)] == [False, True, True, True, True]

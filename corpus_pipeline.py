@@ -5,7 +5,7 @@ returns a table with the columns of documents; the last returns tokens. ``run``
 each stage's table to the shared folder and reads it back for the next.
 
 Defined for all stages: null and empty texts do not crash (language identification
-rejects texts without a letter), repeated rows of one id become one row at exact dedup,
+rejects texts without a letter), repeated rows of one text become one row at exact dedup,
 columns beyond those of documents are carried along, an empty table stays empty.
 """
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import prepare
-from . import chat, exact, language, minhash, mixture, pieces, quality, substring, toxicity, vectors
+from . import chat, exact, language, minhash, mixture, pieces, prefixes, quality, repair, shards, substring, toxicity, vectors
 from .text import held_out, may_learn
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,94 @@ def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     done = pieces.encode(table(spark, folder, "documents"), PIECE_MODEL)
     # the ids as text, in order: what a reader needs to compare them with any other encoder's
     return done.select("doc_id", "n_tokens", F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), "parity", "round_trip")
+
+
+def _hilbert_sql(dims=("lang", "source", "n_chars"), count: int = 16, bits: int = 4) -> str:
+    """op13 as DuckDB SQL: cells by running counts, the curve by its two tables, one window."""
+    digits, states = shards.curve_tables(len(dims))
+    wide = 1 << len(dims)
+    cells = ", ".join(f"""c{i} as (select v, ((2 * (sum(n) over (order by v nulls first) - n) + n - 1) * {1 << bits}
+      // (2 * sum(n) over ()))::int as cell{i} from (select {c} as v, count(*) as n from documents group by 1))""" for i, c in enumerate(dims))
+    joins = " ".join(f"join c{i} on d.{c} is not distinct from c{i}.v" for i, c in enumerate(dims))
+    corners = ", ".join("(" + " + ".join(f"((cell{d} >> {level}) & 1) * {1 << d}" for d in range(len(dims))) + ")"
+                        for level in reversed(range(bits)))
+    start = "{'h': 0::bigint, 's': 0, 'c': 0}"
+    return f"""
+with {cells},
+p as (select d.doc_id, coalesce(d.text, '') as text, [{corners}] as corners from documents d {joins}),
+k as (select doc_id, text, list_reduce(list_prepend({start}, list_transform(corners, lambda x: {{'h': 0::bigint, 's': 0, 'c': x}})),
+       lambda a, b: {{'h': a.h * {wide} + {digits}[a.s * {wide} + b.c + 1], 's': {states}[a.s * {wide} + b.c + 1], 'c': 0}}).h as h from p),
+z as (select doc_id, text, h, octet_length(encode(text)) + 1 as size from k),
+o as (select *, sum(size) over (order by h, doc_id rows between unbounded preceding and current row) - size as before,
+      row_number() over (order by h, doc_id) as number, sum(size) over () as total from z),
+s as (select *, ((2 * before + size) * {count} // (2 * total))::int as shard from o),
+t(i, c) as (select i, list_reduce(list_prepend(i, range(8)), lambda c, x: xor(c >> 1, 3988292384 * (c & 1))) from range(256) r(i)),
+crc_table as (select list(c order by i) as crc from t)
+select doc_id, size, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(size - 1),
+         lambda i: ('0x' || substr(hex(encode(text)), 2 * i + 1, 2))::bigint)), lambda a, b: xor(a >> 8, crc[xor(a & 255, b) + 1]))) as text_crc32,
+  'bytes' as law, shard, number - min(number) over (partition by shard) as slot, null::int as grown_shard
+from s, crc_table"""
+
+
+@query("op13_hilbert_shards", _hilbert_sql())
+def op13_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
+    placed = shards.hilbert_shards(table(spark, folder, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
+def damaged(messages: DataFrame) -> DataFrame:
+    """Contract of op11: rows dropped (they only announce their conversation), emptied,
+    stripped of sentence ends, repeated or given the role user, by a digest of their id."""
+    text_of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    code = F.crc32(F.concat(text_of("conv_id"), F.lit(":"), text_of("turn")).cast("binary")) % 20
+    text, role = text_of("text"), text_of("role")
+    return messages.select(
+        "conv_id", "turn", F.when(code == 4, "user").otherwise(role).alias("role"),
+        F.when(code <= 1, "").when(code == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        (code != 0).alias("present"), F.explode(F.when(code == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"))
+
+
+@query("op11_repair_conversations")
+def op11_repair_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    messages = damaged(table(spark, folder, "conversations").select("conv_id", "turn", "role", "text"))
+    return repair.repair_report(messages, present="present").drop("n_turns")
+
+
+def rebuilt(lists: DataFrame) -> DataFrame:
+    """Contract of op12: the first crc32(conv_id) % 4 turns of conversation c - c % 20, then
+    the conversation's own turns after as many."""
+    heads = lists.filter("conv_id % 20 = 0").select(F.col("conv_id").alias("_head"), F.slice("turns", 1, 3).alias("_top"))
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4).cast("int")
+    own = F.slice("turns", h + 1, F.greatest(F.size("turns") - h, F.lit(0)))
+    top = F.slice(F.coalesce("_top", F.slice("turns", 1, 0)), F.lit(1), h)
+    return lists.join(heads, F.col("conv_id") - F.col("conv_id") % 20 == F.col("_head"), "left").select(
+        "conv_id", F.concat(top, own).alias("turns"))
+
+
+#: crc32 of a column's decimal text in DuckDB SQL, one nested fold per byte and bit.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(length({0}::varchar)),
+  lambda i: ascii(substr({0}::varchar, i + 1, 1))::bigint)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda c, x: xor(c >> 1, 3988292384 * (c & 1)))))"""
+
+
+@query("op12_prefix_trie", f"""
+with own as (select conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} order by turn nulls first, role, text) as turns
+             from conversations where conv_id is not null group by conv_id),
+h as (select conv_id, turns, {_CRC32.format('conv_id')} % 4 as h from own),
+c as (select h.conv_id, list_concat(coalesce(list_slice(b.turns, 1, h.h), []), list_slice(h.turns, h.h + 1, len(h.turns))) as turns
+      from h left join own b on b.conv_id = h.conv_id - h.conv_id % 20),
+p as (select conv_id, len(turns) as n, d, list_slice(turns, 1, d) as prefix from (select *, unnest(range(len(turns) + 1)) as d from c)),
+node as (select prefix, d, min(conv_id) as conv_id, count(*) as n_convs,
+           sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (n = d), '')) as ends_sha256,
+           case when d = 0 then 0 else len(regexp_extract_all(prefix[d].t, '[^\\x20\\x09-\\x0D]+')) end as words
+         from p group by prefix, d),
+kids as (select list_slice(prefix, 1, d - 1) as parent, count(*) as n_children from node where d > 0 group by 1),
+full_node as (select node.*, coalesce(n_children, 0) as n_children from node left join kids on parent = prefix),
+below as (select list_slice(prefix, 1, a) as top, n_convs, n_children, words from (select *, unnest(range(d + 1)) as a from full_node)),
+sums as (select top, sum((n_children = 0)::int)::bigint as n_leaves, sum((n_convs - 1) * words)::bigint as saved_tokens from below group by top)
+select f.conv_id, f.d as depth, u.conv_id as parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256
+from full_node f join sums on top = f.prefix left join node u on f.d > 0 and u.prefix = list_slice(f.prefix, 1, f.d - 1)""")
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    lists = prefixes.turn_lists(table(spark, folder, "conversations"))
+    return prefixes.prefix_trie(rebuilt(lists))

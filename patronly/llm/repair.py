@@ -31,6 +31,16 @@ LEGAL = ("su", "ua", "au")   # initials that may follow each other
 COST = {"K": 0, "R": 2, "D": 3, "I": 2}
 TRUNCATED = 1                # added if a truncated row is not deleted
 NAMES = {"u": "user", "a": "assistant"}
+# What a top can still read: 0 all of S, 1 pairs (at least one), 2 and 5 an answer and pairs,
+# 3 pairs or nothing. EXTRA[y, x]: by how much at most finishing from y costs more than from
+# x, whatever comes: an unreadable system row is deleted, a missing turn or pair inserted.
+WAITS = {0: "start", 1: "pair", 2: "answer", 5: "answer", 3: "more"}
+EXTRA = {
+    ("start", "start"): 0, ("start", "pair"): 0, ("start", "answer"): 2, ("start", "more"): 0,
+    ("pair", "start"): 4, ("pair", "pair"): 0, ("pair", "answer"): 2, ("pair", "more"): 4,
+    ("answer", "start"): 5, ("answer", "pair"): 2, ("answer", "answer"): 0, ("answer", "more"): 2,
+    ("more", "start"): 3, ("more", "pair"): 0, ("more", "answer"): 2, ("more", "more"): 0,
+}
 
 BOTTOM = (0, None)
 
@@ -82,6 +92,7 @@ def _inserted(tops: dict) -> dict:
 @lru_cache(1 << 14)
 def _advance(tops: tuple, initial: str, fault: str) -> tuple[tuple, int, str]:
     """One row further: the new tops, what all of them cost, and the audit they agree on.
+    Tops that another beats whatever comes are given up.
 
     Costs and audits in the tops are what goes beyond that. A conversation therefore holds
     only the rows that are still open, and the same few tops come again and again.
@@ -95,6 +106,8 @@ def _advance(tops: tuple, initial: str, fault: str) -> tuple[tuple, int, str]:
                 target = _shift(stack, token)
                 if target is not None:
                     _merge(after, target, (cost + COST[letter] + extra, audit + letter))
+    after = {x: found for x, found in after.items()
+             if not any(found[0] > cost + EXTRA[WAITS[y[0]], WAITS[x[0]]] for y, (cost, _) in after.items())}
     least = min(cost for cost, _ in after.values())
     agreed = os.path.commonprefix([audit for _, audit in after.values()])
     rest = sorted(((stack, (cost - least, audit[len(agreed):])) for stack, (cost, audit) in after.items()), key=repr)

@@ -65,9 +65,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     their own, so that an id (or no id) on several texts stays with each text that does.
 
     The table is stored once with the keys. Only the keys to be dropped are joined: they
-    are few, and Spark broadcasts them if they are small by its own measure.
+    are few, and Spark broadcasts them if they are small by its own measure. Columns of any
+    name pass through; nulls, repeated rows and empty tables as in ``exact_groups``.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = materialize(docs.withColumn("_row_key", F.monotonically_increasing_id()))
-    dropped = exact_groups(keyed, id_col, text_col, key_col="_row_key").filter("not best").select(F.col("key").alias("_dropped_key"))
-    return keyed.join(dropped, F.col("_row_key") == F.col("_dropped_key"), "left_anti").select(*columns)
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    keyed = materialize(docs.toDF(*names).withColumn("_row_key", F.monotonically_increasing_id()))
+    own = dict(zip(docs.columns, names))
+    dropped = exact_groups(keyed, own[id_col], own[text_col], key_col="_row_key").filter("not best").select(F.col("key").alias("_dropped_key"))
+    kept = keyed.join(dropped, F.col("_row_key") == F.col("_dropped_key"), "left_anti")
+    return kept.select(*[F.col(n).alias(c) for c, n in own.items()])

@@ -12,6 +12,7 @@ from .text import mix
 
 UNKNOWN = "und"
 PIECE = 1 << 16  # characters scored at once; longer texts are summed piece by piece
+ENTRIES = 1 << 20  # products of counts and log-probabilities made at once
 
 _LETTER: np.ndarray | None = None
 
@@ -64,6 +65,36 @@ def _text_counts(text: str, sizes: tuple[int, ...], buckets: int) -> Iterator[np
         yield np.concatenate([gram_buckets(part[max(0, repeated - n + 1):], (n,), buckets) for n in sizes])
 
 
+def _log_sums(texts, logs: np.ndarray, sizes: tuple[int, ...], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per text the summed log-probabilities of its n-grams, and whether it has any.
+
+    The n-grams of many texts form one sparse matrix, kept as its entries in the order of
+    texts (an n-gram that comes twice is two entries of one). It is multiplied with the
+    table of log-probabilities in blocks of ``ENTRIES`` products.
+    """
+    totals, seen = np.zeros((len(texts), logs.shape[1])), np.zeros(len(texts), bool)
+    rows, found, held = [], [], 0
+
+    def multiply():
+        if rows:
+            starts = np.concatenate(([0], np.cumsum([len(f) for f in found])))[:-1]
+            np.add.at(totals, rows, np.add.reduceat(logs[np.concatenate(found)], starts, axis=0, dtype=np.float64))
+            rows.clear()
+            found.clear()
+
+    for i, text in enumerate(texts):
+        for grams in _text_counts(text or "", sizes, buckets):
+            rows.append(i)
+            found.append(grams)
+            held += len(grams)
+            seen[i] = True
+            if held * logs.shape[1] > ENTRIES:
+                multiply()
+                held = 0
+    multiply()
+    return totals, seen
+
+
 class Model:
     """Log-probabilities of the buckets per language, in blocks of at most
     ``block`` languages, so that one broadcast holds block x buckets numbers."""
@@ -78,7 +109,8 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", si
 
     Tasks add up n-gram counts per label and bucket and Spark sums them, so what reaches
     the driver is languages x buckets numbers, whatever the number of rows. Rows with a
-    null or empty text or a null label teach nothing. No rows give a model without labels.
+    text without letters (null and empty ones included) or a null label teach nothing, nor
+    do they count for a label's share. No rows give a model without labels.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"))
     rows = rows.filter("label is not null and text is not null")
@@ -88,10 +120,12 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", si
         texts: dict[str, int] = {}
         for batch in batches:
             for text, label in zip(batch["text"], batch["label"]):
-                total = sums.setdefault(label, np.zeros(buckets, np.int64))
-                texts[label] = texts.get(label, 0) + 1
-                for found in _text_counts(text, sizes, buckets):
-                    total += np.bincount(found, minlength=buckets)
+                for n, found in enumerate(_text_counts(text, sizes, buckets)):
+                    if not n:  # a text that gives no n-gram teaches nothing, its label neither
+                        texts[label] = texts.get(label, 0) + 1
+                    if label not in sums:
+                        sums[label] = np.zeros(buckets, np.int64)
+                    sums[label] += np.bincount(found, minlength=buckets)
                 if len(sums) > block:
                     yield from flush(sums, texts)
         yield from flush(sums, texts)
@@ -135,7 +169,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
 
     A text that is null or has no letter gets ``und`` and 0; so does every text if
     nothing was learned. Equal likelihoods go to the label that sorts first. Texts of
-    any length are scored whole, piece by piece. Other columns than ``keep`` go.
+    any length are scored whole, piece by piece. Repeated rows each get a row; other columns
+    than ``keep`` go; an empty table gives an empty result.
     """
     rows = docs.select(*keep, F.col(text_col).alias("_text"), F.lit(-1).alias("_best"),
                        F.lit(float("-inf")).alias("_most"), F.lit(float("-inf")).alias("_all"))
@@ -146,18 +181,14 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
             logs, priors = table.value
             for batch in batches:
                 best, most, every = (batch[c].to_numpy(copy=True) for c in ("_best", "_most", "_all"))
-                for i, text in enumerate(batch["_text"]):
-                    total, seen = priors.copy(), False
-                    for found in _text_counts(text or "", sizes, buckets):
-                        counts = np.bincount(found, minlength=buckets)
-                        at = np.flatnonzero(counts)
-                        total += counts[at].astype(np.float64) @ logs[at].astype(np.float64)
-                        seen = True
-                    if seen:
-                        top = int(total.argmax())
-                        every[i] = np.logaddexp(every[i], np.logaddexp.reduce(total))
-                        if total[top] > most[i]:
-                            best[i], most[i] = number * step + top, total[top]
+                totals, seen = _log_sums(batch["_text"], logs, sizes, buckets)
+                totals, at = totals[seen] + priors, np.arange(int(seen.sum()))
+                top = totals.argmax(axis=1)
+                here, whole = totals[at, top], np.logaddexp.reduce(totals, axis=1)
+                better = here > most[seen]
+                best[seen] = np.where(better, number * step + top, best[seen])
+                most[seen] = np.where(better, here, most[seen])
+                every[seen] = np.logaddexp(every[seen], whole)
                 yield batch.assign(_best=best, _most=most, _all=every)
         return score
 

@@ -11,13 +11,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numbering import number_rows
 from ..session import materialize
+from .shards import running_before
 
 WORD = r"[^\x20\x09-\x0D]+"
-SLICE_ROWS = 10_000   # documents per slice of a source, the unit of running totals
 CHUNK = 4_096         # slots made from one row at a time
 
-# Primes, used as multipliers of the permutations.
-PRIMES = [1_000_000_007, 1_000_000_009, 998_244_353, 2_147_483_647, 2_305_843_009_213_693_951]
+ROUNDS = 32           # of the shuffle behind a permutation
 
 
 def word_count(text: Column) -> Column:
@@ -50,67 +49,95 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     return sources.withColumn("target", F.least(F.col("weight") * level, cap))
 
 
-def _hash_share(*columns) -> Column:
-    """A number from 0 (included) to 1 (excluded) that depends on the columns only."""
-    return F.shiftrightunsigned(F.xxhash64(*columns), 11) * F.lit(2.0 ** -53)
+def _permuted(k: Column, n: Column, *key) -> Column:
+    """Where a pseudorandom permutation of 0..n-1, chosen by ``key``, sends ``k``.
 
+    A swap-or-not shuffle: each round pairs every number x with (shift - x) modulo n and
+    swaps a pair or not, by a hash of the pair's larger number, so each round permutes.
+    """
+    def step(x, round_no):
+        other = F.pmod(F.pmod(F.xxhash64(*key, round_no), n) + n - x, n)
+        swap = F.xxhash64(*key, round_no, F.greatest(x, other)).bitwiseAND(F.lit(1)) == 1
+        return F.when(swap, other).otherwise(x)
 
-def _permuted(k: Column, n: Column, *key) -> Column:
-    """Where a pseudorandom permutation of 0..n-1 sends ``k``: k * prime + shift modulo n,
-    prime and shift chosen by ``key``. A prime that does not divide n permutes."""
-    numbers = F.array(*[F.lit(p).cast("long") for p in PRIMES])
-    drawn = numbers[F.pmod(F.xxhash64(*key, F.lit("prime")), F.lit(len(PRIMES))).cast("int")]
-    prime = F.when(n % drawn == 0, F.lit(PRIMES[-1])).otherwise(drawn)
-    shift = F.pmod(F.xxhash64(*key, F.lit("shift")), F.lit(1 << 40))
-    product = k.cast("decimal(16,0)") * prime.cast("decimal(20,0)") + shift.cast("decimal(16,0)")
-    return (product % n.cast("decimal(16,0)")).cast("long")
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), k.cast("long"), step)
 
 
-def place_documents(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, share, most, seed) -> DataFrame:
+def place_documents(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, share, most, seed,
+                    key_col: str | None = None) -> DataFrame:
     """Stored rows (row, doc_id, size, source columns, start): where each document starts
-    among its source's words. Running totals go over slices of about ten thousand
-    documents and then over the slices, so a hot source is no single task."""
+    among its source's words. Documents follow each other by a hash of id and text, so the
+    order does not depend on how the input is split; only rows alike in both are told apart
+    by where they stand. Running totals go over slices of consecutive rows and then over
+    the slices, so a hot source is no single task."""
+    text = F.col(text_col)
     sizes = materialize(docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-        .withColumn("row", F.monotonically_increasing_id()))
-    sources = source_targets(sizes, weights, share, most)
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"),
+        F.xxhash64(F.lit(seed), F.col(id_col), text).alias("order"), (F.col(key_col) if key_col else F.monotonically_increasing_id()).alias("row")))
+    placed = materialize(running_before(sizes, [F.col("source").asc_nulls_last(), "order", "row"], "size", "before"))
+    sources = source_targets(placed, weights, share, most).alias("s")
+    first = placed.groupBy("source").agg(F.min("before").alias("first")).alias("f")
     # Spark broadcasts the table of sources if it is small; else it splits a hot source
-    joined = sizes.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-    order = _hash_share(F.lit(seed), "row", "doc_id")
-    rows = materialize(joined.select("d.*", "source_no", "source_size", "target", order.alias("order"),
-                                     F.floor(order * F.ceil(F.col("n_docs") / SLICE_ROWS)).alias("slice")))
-    before = Window.partitionBy("source_no").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (rows.groupBy("source_no", "slice").agg(F.sum("size").alias("n"))
-              .select("source_no", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("slice_start")))
-    inside = Window.partitionBy("source_no", "slice").orderBy("order", "row").rowsBetween(Window.unboundedPreceding, -1)
+    known = sources.join(first, F.col("s.source").eqNullSafe(F.col("f.source"))).select("s.*", "first")
     return materialize(
-        rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .join(starts, ["source_no", "slice"]).withColumn("start", F.col("slice_start") + F.col("inside"))
-        .select("row", "doc_id", "size", "source_no", "source_size", "target", "start"))
+        placed.alias("d").join(known.alias("k"), F.col("d.source").eqNullSafe(F.col("k.source")))
+        .select("row", "doc_id", "size", "source_no", "source_size", "target", (F.col("before") - F.col("first")).alias("start")))
+
+
+def shard_draws(sources: DataFrame, total: int, shards: int, shard_slots: int, seed: int) -> DataFrame:
+    """(source_no, shard, first, n): how many slots of each shard go to each source, and
+    the number of the first of them among the source's slots.
+
+    ``sources`` has source_no, slots and upto (the slots of the sources before). Every slot
+    of every shard draws a source in proportion to its slots, so the counts of a shard are
+    one multinomial draw. A source's slots run through the shards in order. What it draws
+    beyond its slots is left out, and what it has left goes to one more, last shard, so
+    that totals are exact; that shard and the ones left short differ from the others by
+    about the square root of the number of slots.
+    """
+    spark, wide = sources.sparkSession, F.lit(max(1, total))
+    # cells of like width on the line of all slots: a draw meets the sources of its cell only
+    cells = max(1, sources.count())
+    cell = lambda x: F.floor(x * F.lit(cells) / wide)
+    spread = sources.select("source_no", "slots", "upto", F.explode(F.sequence(
+        cell(F.col("upto")), cell(F.col("upto") + F.col("slots") - 1))).alias("cell"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    draws = (spark.range(0, shards * shard_slots, 1, parts).select(
+        F.floor(F.col("id") / shard_slots).alias("shard"), F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), "id"), wide).alias("x"))
+        .withColumn("own", cell(F.col("x"))))
+    met = draws.join(spread, F.col("own") == F.col("cell")).filter((F.col("x") >= F.col("upto")) & (F.col("x") < F.col("upto") + F.col("slots")))
+    counts = materialize(met.groupBy("source_no", "slots", "shard").agg(F.count("*").alias("n")))
+    before = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    drawn = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    used = counts.groupBy(F.col("source_no").alias("_no")).agg(F.sum("n").alias("_used"))
+    rest = (sources.join(used, F.col("source_no") == F.col("_no"), "left").withColumn("first", F.coalesce("_used", F.lit(0)))
+            .withColumn("n", F.col("slots") - F.col("first")).filter("n > 0"))
+    cut = drawn.withColumn("n", F.least(F.col("n"), F.col("slots") - F.col("first"))).filter("n > 0")
+    return cut.select("source_no", "shard", "first", "n").unionByName(
+        rest.select("source_no", F.lit(shards).cast("long").alias("shard"), "first", "n"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = 1024,
-        shard_slots: int = 1024, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+        shard_slots: int = 1024, seed: int = 7, key_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Mix documents so that each source gives its target number of words.
 
     Returns (documents, spans). ``documents`` has one row per input row: row, doc_id, size,
-    source_size, target. ``spans`` has what the mix takes: shard, slot, source_no, pass,
-    row, doc_id, from_word, n_words.
+    source_size, target. ``spans`` has what the mix takes: shard, slot (among its source's),
+    source_no, pass, row, doc_id, place (in its block), from_word, n_words.
 
     A source of S words and a target of t (rounded) takes all its blocks t div S times and
     then the first blocks of one more permutation, the last one cut, so that it gives
-    exactly t words. The short block at a source's end comes last in its pass. Slots are
-    dealt to output shards by a hash, which makes a source's counts over the shards one
-    multinomial draw whose total is fixed. A document is taken at most ``most`` times,
-    rounded up. Everything depends on hashes of stored row numbers: a rerun over the same
-    files, or a retried task, gives the same mix.
+    exactly t words. The short block at a source's end comes last in its pass. How many
+    slots of a source a shard holds is drawn per shard (``shard_draws``). A document is taken
+    at most ``most`` times, rounded up. Everything depends on hashes of ids, texts and slot
+    numbers: a rerun, a retried task or another split of the input gives the same mix.
 
     Null and empty texts have size 0 and are not taken; a null source is a source of its
     own, the last; repeated rows are documents of their own; extra columns are ignored;
-    an empty table gives empty results.
+    an empty table gives empty results. ``row`` tells rows apart: ``key_col``, if given.
     """
-    placed = place_documents(docs, id_col, text_col, source_col, weights, share, most, seed)
+    placed = place_documents(docs, id_col, text_col, source_col, weights, share, most, seed, key_col)
     b, size, start = F.lit(block), F.col("size"), F.col("start")
     spans = (placed.filter("size > 0")
              .withColumn("block", F.explode(F.sequence(F.floor(start / b), F.floor((start + size - 1) / b))))
@@ -126,34 +153,58 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                .withColumn("passes", F.floor(F.col("take") / words))
                .withColumn("rest", F.col("take") - F.col("passes") * words)
                .withColumn("slots", F.col("passes") * F.col("blocks") + F.ceil(F.col("rest") / b)).filter("slots > 0"))
-    sources = materialize(sources)
-    shards = max(1, -(-(sources.agg(F.sum("slots")).first()[0] or 0) // shard_slots))
-    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK)))
-    number = F.sequence(F.col("chunk") * CHUNK, F.least(F.col("slots"), (F.col("chunk") + 1) * CHUNK) - 1)
-    slots = (sources.withColumn("chunk", chunk).repartition("source_no", "chunk").withColumn("slot", F.explode(number))
+    sources = materialize(running_before(sources, ["source_no"], "slots", "upto").drop("number"))
+    total = sources.agg(F.sum("slots")).first()[0] or 0
+    shards = max(1, total // shard_slots)
+    draws = shard_draws(sources.select("source_no", "slots", "upto"), total, shards, shard_slots, seed).alias("d")
+    mine = draws.join(sources.alias("s"), F.col("d.source_no") == F.col("s.source_no")).select("s.*", "shard", "first", "n")
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK)))
+    number = F.sequence(F.col("first") + F.col("chunk") * CHUNK, F.col("first") + F.least(F.col("n"), (F.col("chunk") + 1) * CHUNK) - 1)
+    slots = (mine.withColumn("chunk", chunk).repartition("source_no", "shard", "chunk").withColumn("slot", F.explode(number))
              .withColumn("pass", F.floor(F.col("slot") / F.col("blocks")))
              .withColumn("k", F.col("slot") % F.col("blocks"))
              .withColumn("block", F.when(F.col("k") < F.col("full"), _permuted(
-                 F.col("k"), F.greatest(F.col("full"), F.lit(1)), F.lit(seed), "source_no", "pass")).otherwise(F.col("k")))
+                 F.col("k"), F.greatest(F.col("full"), F.lit(1)), F.lit(seed), F.col("source_no"), F.col("pass"))).otherwise(F.col("k")))
              .withColumn("cut", F.when(F.col("pass") < F.col("passes"), b)
                          .otherwise(F.least(b, F.col("rest") - F.col("k") * b)))
-             .withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "source_no", "slot"), F.lit(shards)))
              .select("source_no", "block", "shard", "slot", "pass", "cut"))
     taken = slots.join(spans, ["source_no", "block"]).withColumn(
         "n_words", F.least(F.col("n"), F.col("cut") - F.col("place"))).filter("n_words > 0")
     return (placed.select("row", "doc_id", "size", "source_size", "target"),
-            taken.select("shard", "slot", "source_no", "pass", "row", "doc_id", "from_word", "n_words"))
+            taken.select("shard", "slot", "source_no", "pass", "row", "doc_id", "place", "from_word", "n_words"))
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
-    """Per input row: doc_id, size, source_size, target and the words the mix takes."""
+    """Per input row: doc_id, size, source_size, target, the words the mix takes, and to how
+    many output shards they go."""
     rows, spans = mix(docs, **options)
-    taken = spans.groupBy(F.col("row").alias("_row")).agg(F.sum("n_words").alias("taken"))
+    taken = (spans.groupBy("row", "shard").agg(F.sum("n_words").alias("n"))
+             .groupBy(F.col("row").alias("_row")).agg(F.sum("n").alias("taken"), F.count("*").alias("n_shards")))
+    none = F.lit(0)
     return rows.join(taken, F.col("row") == F.col("_row"), "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", none).cast("long").alias("taken"),
+        F.coalesce("n_shards", none).cast("long").alias("n_shards"))
 
 
-def mixed_documents(docs: DataFrame, text_col: str = "text", source_col: str = "source",
+def mixed_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The mix as it is written: one row (shard, source_no, slot, words, text) per slot, a
+    block of at most ``block`` words joined by one space, in an order by hash in its shard.
+    Partition by shard to write it. Cases as in ``mix``."""
+    source_col = options.pop("source_col", "source")
+    stored = materialize(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+                         .withColumn("_key", F.monotonically_increasing_id()))
+    _, spans = mix(stored, "_id", "text", "source", key_col="_key", **options)
+    words = F.regexp_extract_all(F.col("text"), F.lit(f"({WORD})"))
+    parts = spans.join(stored.select("_key", "text"), F.col("row") == F.col("_key")).select(
+        "shard", "source_no", "slot", F.struct("place", "n_words", F.array_join(F.slice(
+            words, (F.col("from_word") + 1).cast("int"), F.col("n_words").cast("int")), " ").alias("text")).alias("part"))
+    whole = parts.groupBy("shard", "source_no", "slot").agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    return whole.select("shard", "source_no", "slot", F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["n_words"]).alias("words"),
+                        F.array_join(F.transform("parts", lambda p: p["text"]), " ").alias("text")).sortWithinPartitions(
+        "shard", F.xxhash64("source_no", "slot"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                     count_col: str | None = "n_chars", **options) -> DataFrame:
     """The mix as documents, with the columns of the input: one row per document and pass
     that takes any of its words. A document taken whole keeps its text as it is; of a
@@ -162,9 +213,10 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", source_col: str = "
     columns = docs.columns
     stored = materialize(docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(columns)])
                          .withColumn("_key", F.monotonically_increasing_id()))
-    text, source = f"_c{columns.index(text_col)}", f"_c{columns.index(source_col)}"
-    _, spans = mix(stored, "_key", text, source, **options)
-    parts = spans.groupBy(F.col("doc_id").alias("_id"), "pass").agg(
+    own = {c: f"_c{i}" for i, c in enumerate(columns)}
+    text = own[text_col]
+    _, spans = mix(stored, own[id_col], text, own[source_col], key_col="_key", **options)
+    parts = spans.groupBy(F.col("row").alias("_id"), "pass").agg(
         F.sum("n_words").alias("_n"), F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("_parts"))
     words = F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"))
     some = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice(

@@ -6,17 +6,20 @@ import hashlib
 import os
 import re
 import struct
-from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
 MARK = "▁"  # stands for a space inside pieces
-CHUNK_CHARS = 1 << 20
-CACHE = 300_000  # segments remembered per Python worker, and as many from before
+GROUP_BYTES = 4 << 20  # of texts encoded together
+JOINED = 100           # short segments encoded as one text
+AT_ONCE = 200          # such texts given to a library at once
+ROWS_OUT = 1_000       # rows that leave a worker at once
 
 # Fixed values of the model file: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -112,20 +115,15 @@ def build(model: Model):
         steps.append(normalizers.Replace(" ", MARK))
     tokenizer.normalizer = normalizers.Sequence(steps)
     if model.splittable():
-        tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(_segments(model).pattern), "removed", invert=True)
+        tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "removed", invert=True)
     strip = [decoders.Strip(" ", 1, 0)] if model.dummy_prefix else []
     tokenizer.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *strip])
     return tokenizer
 
 
-def _segments(model: Model) -> re.Pattern:
-    """Words with the marks before them, or the whole text if pieces can span words."""
-    return re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if model.splittable() else r"(?s).+")
-
-
 class Codec:
     """Encodes and decodes with the rebuilt tokenizer and checks it against the
-    SentencePiece library, segment by segment; segments seen before are remembered."""
+    SentencePiece library. It remembers nothing between calls."""
 
     def __init__(self, data: bytes, threads: int):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
@@ -140,12 +138,9 @@ class Codec:
         self.core = Tokenizer(full.model)
         self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
         # the library would strip the space that starts a segment if it adds none itself
-        alone = self.model.dummy_prefix or not self.model.squeeze
-        self.pattern = _segments(self.model) if alone else re.compile(r"(?s).+")
+        self.alone = self.model.splittable() and (self.model.dummy_prefix or not self.model.squeeze)
         self.threads = threads
-        self.known: dict[str, array] = {}
-        self.before: dict[str, array] = {}
-        self.wrong: set[str] = set()
+        self.marked = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
         self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else
                       b" \xe2\x81\x87 " if kind == UNKNOWN else p.replace(MARK, " ").encode()
                       for p, _, kind in self.model.pieces]
@@ -157,30 +152,88 @@ class Codec:
             text = " " + text
         return text.replace(" ", MARK) if self.model.escape else text
 
-    def _learn(self, segments: list[str]) -> None:
-        found = [e.ids for e in self.core.encode_batch_fast(segments, add_special_tokens=False)]
-        plain = [s.replace(MARK, " ")[1:] if self.model.dummy_prefix and s[0] == MARK else s.replace(MARK, " ") for s in segments]
-        for segment, mine, theirs in zip(segments, found, self.library.encode(plain, num_threads=self.threads)):
-            self.known[segment] = array("i", mine)
-            if mine != theirs:
-                self.wrong.add(segment)
+    def _segments(self, normal: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Where each text starts among the segments of all, which distinct segment stands
+        there, and the distinct segments: words with the marks before them, or whole texts
+        where pieces can span words."""
+        texts = pa.array(normal, pa.large_string())
+        if not self.alone:
+            found = texts.dictionary_encode()
+            some = np.array([t != "" for t in normal], bool)
+            starts = np.concatenate(([0], some.cumsum()))
+            return starts, found.indices.to_numpy()[some], found.dictionary.to_pylist()
+        cut = next((c for c in map(chr, range(1, 32)) if not any(c in t for t in normal)), None)
+        if cut:
+            words = pc.split_pattern(pc.replace_substring_regex(texts, f"([^{MARK}]){MARK}", rf"\1{cut}{MARK}"), cut)
+        else:  # the texts hold every character that could stand between segments
+            pattern = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+            words = pa.array([pattern.findall(t) or [""] for t in normal], pa.large_list(pa.large_string()))
+        found = words.flatten().dictionary_encode()
+        return words.offsets.to_numpy(), found.indices.to_numpy(), found.dictionary.to_pylist()
+
+    def _plain(self, text: str) -> str:
+        """The text the library is given so that it sees these segments."""
+        text = text.replace(MARK, " ") if self.model.escape else text
+        return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
+
+    def _both(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The ids by the rebuilt tokenizer and by the library, a few texts at a time."""
+        for start in range(0, len(texts), AT_ONCE):
+            part = texts[start:start + AT_ONCE]
+            mine = self.core.encode_batch_fast(part, add_special_tokens=False)
+            theirs = self.library.encode([self._plain(t) for t in part], num_threads=self.threads)
+            for a, b in zip(mine, theirs):
+                yield np.array(a.ids, np.int32), np.array(b, np.int32)
+
+    def _learn(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first, size, ids, right) of the distinct segments: where the ids of each stand.
+
+        Segments with one mark are encoded ``JOINED`` at a time as one text: no piece reaches
+        over a mark, so a segment's ids begin where a piece with a mark stands. If the number
+        of marks is not that of the segments, or the library differs, each is encoded alone.
+        """
+        first, size = np.zeros(len(segments), np.int64), np.zeros(len(segments), np.int64)
+        ids, total, right, single = [], 0, np.ones(len(segments), bool), np.ones(len(segments), bool)
+        some = self.alone and self.model.kind == BPE
+        joined = [i for i, s in enumerate(segments) if some and len(s) > 1 and s[0] == MARK != s[1]]
+        groups = [joined[i:i + JOINED] for i in range(0, len(joined), JOINED)]
+        for group, (mine, theirs) in zip(groups, self._both(["".join([segments[i] for i in g]) for g in groups])):
+            starts = np.flatnonzero(self.marked[mine])
+            if len(starts) == len(group) and np.array_equal(mine, theirs):
+                single[group] = False
+                first[group], size[group] = total + starts, np.diff(starts, append=len(mine))
+                ids.append(mine)
+                total += len(mine)
+        rest = [i for i in np.flatnonzero(single) if segments[i]]
+        for i, (mine, theirs) in zip(rest, self._both([segments[i] for i in rest])):
+            first[i], size[i], right[i] = total, len(mine), np.array_equal(mine, theirs)
+            ids.append(mine)
+            total += len(mine)
+        return first, size, np.concatenate(ids) if ids else np.zeros(0, np.int32), right
+
+    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, ids, same): the ids of all texts after one another, where each text's
+        start, and whether the library normalises the whole text to the same string and
+        gives the same ids for all its segments. Each distinct segment is encoded once."""
+        normal = [self.normalise(t) for t in texts]
+        same = np.array([n == self.library.normalize(t) for t, n in zip(texts, normal)], bool)
+        starts, segment, distinct = self._segments(normal)
+        first, size, ids, right = self._learn(distinct)
+        length = size[segment]
+        ends = np.concatenate(([0], length.cumsum()))
+        picked = ids[np.repeat(first[segment] - ends[:-1], length) + np.arange(ends[-1])]
+        wrong = np.concatenate(([0], (~right[segment]).cumsum()))
+        return ends[starts], picked, same & (wrong[starts[1:]] == wrong[starts[:-1]])
 
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], bool]]:
-        """Ids of each text, and whether the library normalises the whole text to the same
-        string and gives the same ids for all its segments."""
-        normal = [self.normalise(t) for t in texts]
-        same = [n == self.library.normalize(t) for t, n in zip(texts, normal)]
-        cut = [self.pattern.findall(n) for n in normal]
-        if len(self.known) > CACHE:
-            self.before, self.known = self.known, {}
-        new = {s for segments in cut for s in segments} - self.known.keys()
-        again = new & self.before.keys()
-        self.known.update((s, self.before[s]) for s in again)
-        if new := new - again:
-            self._learn(list(new))
-        for segments, equal in zip(cut, same):
-            ids = list(chain.from_iterable(map(self.known.__getitem__, segments)))
-            yield ids, equal and (not self.wrong or self.wrong.isdisjoint(segments))
+        """The same, text by text."""
+        starts, ids, same = self.encode_batch(texts)
+        for a, b, s in zip(starts[:-1], starts[1:], same):
+            yield ids[a:b].tolist(), bool(s)
+
+    def comes_back(self, texts: list[str], starts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """For each text, whether its ids decode to it."""
+        return np.array([self.decode(ids[a:b].tolist()) == t for t, a, b in zip(texts, starts[:-1], starts[1:])], bool)
 
     def decode(self, ids) -> str:
         data = b"".join(map(self.bytes.__getitem__, ids))
@@ -193,7 +246,7 @@ _CODECS: dict[bytes, Codec] = {}
 
 
 def _codec(data: bytes, threads: int) -> Codec:
-    """The worker's codec: tasks that follow each other share what it remembers."""
+    """The worker's codec, read once for all its tasks."""
     key = hashlib.sha256(data).digest() + bytes([threads])
     if key not in _CODECS:
         _CODECS.clear()
@@ -211,6 +264,25 @@ def _kinds(df: DataFrame, columns) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
 
+def _text_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows again, in tables of about ``GROUP_BYTES`` of texts (column ``_text``), or one
+    row where a text alone is longer."""
+    held, size = [], 0
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column("_text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        start = 0
+        while start < len(batch):
+            end = start + max(int(not size), int(np.searchsorted(size + lengths[start:].cumsum(), GROUP_BYTES, "right")))
+            held.append(batch.slice(start, end - start))
+            size += int(lengths[start:end].sum())
+            if end < len(batch):
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+            start = end
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def encode(docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), threads: int = 2) -> DataFrame:
     """Encode every whole text, decode it again and compare.
 
@@ -221,26 +293,29 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str,
     every whole text, which must give the rebuilt normaliser's string, and encodes every
     distinct segment of the texts: as no piece spans two segments (read off the model; else
     the segment is the whole text), the parts decide about the whole. Texts are encoded in
-    groups of about a million characters by ``threads`` threads. Repeated rows each get
-    a row; other columns go.
+    groups of a few million bytes, each distinct segment of a group once, by ``threads``
+    threads; a worker holds one group. Repeated rows each get a row; other columns go; an
+    empty table gives an empty result.
     """
     model = _broadcast(docs, path)
-    rows = docs.select(*keep, F.col(text_col).alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("_text"))
+    out = StructType([*[docs.schema[c] for c in keep], StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", LongType()),
+                      StructField("parity", BooleanType()), StructField("round_trip", BooleanType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model.value, threads)
-        for batch in batches:
-            lengths = batch["_text"].str.len().fillna(0).to_numpy(float)
-            group = (lengths.cumsum() // CHUNK_CHARS).astype(int)
-            for _, part in batch.groupby(group):
-                texts = list(part["_text"])
-                done = list(codec.encode([t or "" for t in texts]))
-                yield part.drop(columns="_text").assign(
-                    ids=[None if t is None else np.array(ids, np.int32) for t, (ids, _) in zip(texts, done)],
-                    n_tokens=[len(ids) for ids, _ in done], parity=[same for _, same in done],
-                    round_trip=[codec.decode(ids) == (t or "") for t, (ids, _) in zip(texts, done)])
-
-    return rows.mapInPandas(run, f"{_kinds(rows, keep)}, ids array<int>, n_tokens long, parity boolean, round_trip boolean")
+        for group in _text_groups(batches):
+            column = group.column("_text")
+            texts = [t or "" for t in column.to_pylist()]
+            starts, ids, same = codec.encode_batch(texts)
+            back = codec.comes_back(texts, starts, ids)
+            null = pc.is_null(column).to_numpy()
+            lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32), mask=np.append(null, False)), pa.array(ids))
+            kept = [group.column(c) for c in range(len(keep))]
+            done = pa.Table.from_arrays([*kept, lists, pa.array(np.diff(starts)), pa.array(same), pa.array(back)], names=out.names)
+            yield from done.to_batches(max_chunksize=ROWS_OUT)
+
+    return rows.mapInArrow(run, out)
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

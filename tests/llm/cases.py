@@ -6,7 +6,8 @@ import zlib
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-CLASHING = ["score", "kept", "label", "run", "digest", "block", "words", "size", "row", "pass", "known", "root"]
+CLASHING = ["score", "kept", "label", "run", "digest", "block", "words", "size", "row", "pass", "known", "root",
+            "_row_key", "_dropped_key", "_key", "_id", "_c0", "_text", "_known", "_words", "_best", "key", "order", "shard", "slot", "before"]
 LONG = " ".join(f"word{i % 9973}x{i % 31}" for i in range(60_000))
 
 

@@ -52,6 +52,13 @@ def test_language_scores_equal_brute_force_in_blocks_and_pieces(spark, monkeypat
         assert row["score"] == pytest.approx(np.exp(scores[best] - total), rel=1e-4)
 
 
+def test_texts_without_letters_teach_no_language(spark):
+    train = [(1, "hello there", "en"), (2, "bonjour", "fr")] + [(10 + i, t, "xx") for i, t in enumerate(["", " ", "123 !", None] * 7)]
+    model = language.fit(documents(spark, [(i, t, lang, "s") for i, t, lang in train] + [(3, "--", "en", "s")]))
+    assert model.names == ["en", "fr"]
+    assert np.allclose(model.blocks[0].value[1], np.log([1, 1]))
+
+
 def test_language_edges(spark):
     docs = documents(spark, edge_rows())
     model = language.fit(docs)
@@ -136,6 +143,69 @@ def test_naming_a_group_says_nothing(spark):
     assert abs(scores[1] - scores[2]) < 0.05 and scores[3] > 0.5 > scores[1]
 
 
+def test_swaps_are_made_in_the_text(spark):
+    """Stems of a term go and come with it: all features are taken again after a swap."""
+    docs = documents(spark, [(1, "Muslim women vote. Muslims", "en", "s"), (2, "nobody is named", "en", "s")])
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    terms = {"faith": ["believers", "muslim", "muslims"], "gender": ["people", "women"]}
+    found = {(tuple(r["gone"]), tuple(r["come"])): r["n"] for r in
+             toxicity.counterfactuals(toxicity.labelled_rows(docs, labels, F.lit(True)), terms).collect()}
+    # a swap to the other form leaves musli*; the only term of its group swaps with itself
+    assert found == {
+        (("musli*", "muslim"), ("belie*", "believe*", "believers")): 1, (("muslim",), ("muslims",)): 1,
+        (("women",), ("peopl*", "people")): 1, ((), ()): 1, (("musli*", "muslims"), ("belie*", "believe*", "believers")): 1, (("muslims",), ("muslim",)): 1}
+
+
+def test_score_hardly_moves_when_a_term_is_swapped(spark):
+    rows = [(i, f"{'those muslims are fools' if i % 4 == 0 else 'the garden is green'} {chr(97 + i % 26) * 3}", int(i % 4 == 0)) for i in range(200)]
+    rows += [(200 + i, f"the tree is {'tall' if i % 2 else 'old'} {chr(97 + i % 26) * 4}", 0) for i in range(60)]
+    docs = documents(spark, [(i, t, "en", "s") for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    labelled = toxicity.labelled_rows(docs, labels, F.lit(True))
+    asked = documents(spark, [(1, "muslims vote", "en", "s"), (2, "believers vote", "en", "s"), (3, "jews vote", "en", "s"), (4, "those fools", "en", "s")])
+
+    def scores(model):
+        return {r["doc_id"]: np.log(r["score"] / (1 - r["score"])) for r in toxicity.predict(asked, model).collect()}
+
+    fair, plain = scores(toxicity.fit(labelled)), scores(toxicity.fit(labelled, fairness=0.0))
+    assert abs(fair[1] - fair[2]) < 0.2 < abs(plain[1] - plain[2]) and fair[4] > max(fair[1], fair[2])
+
+
+def test_fit_equals_dense_minimiser(spark):
+    """Features, swaps and objective written out with dense tables, minimised by plain steps."""
+    draw = np.random.default_rng(4)
+    listed = ["muslim", "women", "fools", "trees", "gardens", "green", "quiet"]
+    rows = []
+    for i in range(300):
+        words = [w for w in listed if draw.random() < 0.4]
+        toxic = int(("fools" in words) != (draw.random() < 0.1))
+        rows.append((i, " ".join(words) + (". calm women" if i % 7 == 0 else ""), toxic))
+    docs = documents(spark, [(i, t, "en", "s") for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    terms = {"faith": ["believers", "muslim"], "gender": ["people", "women", "men"]}
+    labelled = toxicity.labelled_rows(docs, labels, F.lit(True))
+    model = toxicity.fit(labelled, terms, fairness=2.0, ridge=0.01, rounds=2000)
+
+    def dense(text):
+        words = text.replace(".", " ").split()
+        own = {*words, *(w[:n] + "*" for n in (5, 7) for w in words if len(w) > n)}
+        return np.array([float(v in own) for v in model.vocabulary])
+
+    x, y, pairs = np.array([dense(t) for _, t, _ in rows]), np.array([r[2] for r in rows], float), []
+    for _, t, _ in rows:
+        for sentence in t.split("."):
+            for term, others in (("muslim", ("believers", "muslim")), ("women", ("people", "men")), ("men", ("people", "women"))):
+                if term in sentence.split():
+                    pairs += [dense(sentence) - dense(" ".join(o if w == term else w for w in sentence.split())) for o in others]
+    pairs = np.array(pairs)
+    w, bias = np.zeros(x.shape[1]), 0.0
+    for _ in range(20_000):
+        error = (1 / (1 + np.exp(-(x @ w + bias))) - y) / len(y)
+        w = w - 0.1 * (x.T @ error + 0.01 * w + 2 * 2.0 * pairs.T @ (pairs @ w) / len(pairs))
+        bias -= 0.1 * error.sum()
+    assert np.allclose(model.weights, w, atol=0.02) and abs(model.bias - bias) < 0.02
+
+
 def test_toxicity_edges(spark):
     docs = documents(spark, edge_rows())
     labels = spark.createDataFrame([(1, 1), (7, 0), (3, None), (None, 1), (10, 0), (10, 0)], "doc_id long, toxic int")

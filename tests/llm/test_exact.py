@@ -54,3 +54,9 @@ def test_dedup_drops_rows_not_ids(spark):
     kept = exact_dedup(documents(spark, rows))
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted(
         [(1, "longer  text"), (2, "its own"), (None, "alone"), (None, "too"), (3, "x"), (3, "y"), (4, "z")], key=repr)
+
+
+def test_columns_of_any_name_pass_through(spark):
+    docs = documents(spark, [(1, "a", "en", "s"), (2, "b", "en", "s")])
+    kept = {r["doc_id"]: r.asDict() for r in exact_dedup(docs).collect()}
+    assert kept == {r["doc_id"]: r.asDict() for r in docs.collect()}

@@ -4,7 +4,7 @@ import pytest
 from cases import SMALL, documents, edge_rows, empty
 from pyspark.sql import functions as F
 
-from patronly.llm import mixture
+from patronly.llm import mixture, shards
 
 
 def brute_targets(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
@@ -48,10 +48,12 @@ def test_targets_are_met_exactly_and_reruns_agree(spark):
     taken = mixture.taken_words(docs, block=64)
     check(rows, taken.collect())
     assert sorted(map(tuple, taken.collect())) == first
+    again = mixture.taken_words(docs.repartition(3, "n_chars"), block=64)  # another split of the same rows
+    assert sorted(map(tuple, again.collect())) == first
 
 
 def test_hot_source_over_many_slices(spark, monkeypatch):
-    monkeypatch.setattr(mixture, "SLICE_ROWS", 7)
+    monkeypatch.setattr(shards, "SLICE_ROWS", 7)
     monkeypatch.setattr(mixture, "CHUNK", 5)
     rows = [(i, "w " * (i % 13), "en", "hot" if i % 3 else f"s{i % 4}") for i in range(300)]
     check(rows, mixture.taken_words(documents(spark, rows), block=10).collect())
@@ -73,12 +75,56 @@ def test_permutations_permute(spark, n):
     assert sorted(r["p"] for r in out.collect()) == list(range(n))
 
 
-def test_shard_counts_are_one_draw(spark):
-    rows = [(i, "w " * 50, "en", f"s{i % 3}") for i in range(200)]
+def test_shards_are_multinomial_draws_with_exact_totals(spark):
+    rows = [(i, "w " * 50, "en", f"s{i % 3}") for i in range(400)]
     _, spans = mixture.mix(documents(spark, rows), block=10, shard_slots=100)
-    slots = spans.select("shard", "slot", "source_no").distinct()
-    per_shard = [r["count"] for r in slots.groupBy("shard").count().collect()]
-    assert len(per_shard) > 5 and 60 < min(per_shard) and max(per_shard) < 140
+    slots = {(r["source_no"], r["slot"]): r["shard"] for r in spans.select("shard", "slot", "source_no").distinct().collect()}
+    numbers, shard_of = {}, {}
+    for (source, slot), shard in slots.items():
+        numbers.setdefault(source, []).append(slot)
+        shard_of.setdefault(source, []).append((slot, shard))
+    share = {s: len(n) / len(slots) for s, n in numbers.items()}
+    last = max(slots.values())
+    for s, own in numbers.items():
+        assert sorted(own) == list(range(len(own)))  # every slot once
+        order = [shard for _, shard in sorted(shard_of[s])]
+        assert order == sorted(order)  # a source's slots run through the shards
+        counts = [order.count(j) for j in range(last - 2)]
+        spread = (100 * share[s] * (1 - share[s])) ** 0.5
+        assert len(set(counts)) > 3 and all(abs(c - 100 * share[s]) < 5 * spread for c in counts)
+    assert all(list(slots.values()).count(j) == 100 for j in range(last - 5))
+
+
+def test_draws_find_their_source_among_many(spark):
+    listed, upto = [], 0
+    for i in range(60):
+        n = 5000 if i == 30 else 1 + i % 3
+        listed.append((i, n, upto))
+        upto += n
+    sources = spark.createDataFrame(listed, "source_no long, slots long, upto long")
+    draws = mixture.shard_draws(sources, upto, 40, 100, 3).collect()
+    slots = {i: [] for i, _, _ in listed}
+    for r in draws:
+        slots[r["source_no"]] += range(r["first"], r["first"] + r["n"])
+    assert {i: sorted(x) for i, x in slots.items()} == {i: list(range(n)) for i, n, _ in listed}
+    assert {r["shard"] for r in draws if r["source_no"] == 30} >= set(range(40))
+
+
+def test_blocks_hold_the_taken_words_of_their_slots(spark):
+    rows = [(i, " ".join(f"d{i}w{j}" for j in range(3 * i)), "en", f"s{i % 2}") for i in range(60)]
+    docs = documents(spark, rows)
+    blocks = mixture.mixed_blocks(docs, block=16, shard_slots=20).collect()
+    assert len({(r["source_no"], r["slot"]) for r in blocks}) == len(blocks) and len({r["shard"] for r in blocks}) > 3
+    got = {}
+    for r in blocks:
+        words = r["text"].split(" ")
+        assert len(words) == r["words"] <= 16
+        for w in words:
+            i = int(w[1:].split("w")[0])
+            assert i % 2 == r["source_no"]
+            got[i] = got.get(i, 0) + 1
+    taken = {r["doc_id"]: r["taken"] for r in mixture.taken_words(docs, block=16, shard_slots=20).collect()}
+    assert got == {i: n for i, n in taken.items() if n}
 
 
 def test_mixed_documents_hold_the_taken_words(spark):
@@ -93,6 +139,4 @@ def test_mixed_documents_hold_the_taken_words(spark):
         assert places == sorted(set(places)) and r["n_chars"] == len(r["text"])
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + len(words)
     taken = {r["doc_id"]: r["taken"] for r in mixture.taken_words(docs, block=16).collect()}
-    # the stage numbers stored rows anew, so only the totals per source must agree
-    for s in range(2):
-        assert sum(n for i, n in got.items() if i % 2 == s) == sum(n for i, n in taken.items() if i % 2 == s)
+    assert got == {i: n for i, n in taken.items() if n}

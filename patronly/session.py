@@ -21,8 +21,8 @@ ADAPTIVE = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
-# Rows that go to a Python worker at once: whole texts may be long, workers small.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+# What goes to a Python worker at once: whole texts may be long, workers small.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 _SHIPPED: set[str] = set()  # applications that have the package
@@ -44,6 +44,8 @@ def ship_package(spark: SparkSession) -> None:
     if context.applicationId not in _SHIPPED:
         package = os.path.dirname(os.path.abspath(__file__))
         folder = os.path.realpath(tempfile.mkdtemp(prefix="patronly-"))
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"file://{folder}")
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)  # served from there until then
         context.addPyFile(shutil.make_archive(os.path.join(folder, "patronly"), "zip", os.path.dirname(package), os.path.basename(package)))
         _SHIPPED.add(context.applicationId)
 

@@ -20,11 +20,13 @@ _FITTED: dict = {}
 
 
 def _once(s, name, fit):
-    """A model that several queries of one application describe is fitted once per folder."""
+    """A model that several queries of one application describe is fitted once for the files
+    that lie in the folder; other files, or files written anew, are fitted again."""
     key = (s.spark.sparkContext.applicationId, s.folder, name)
-    if key not in _FITTED:
-        _FITTED[key] = fit()
-    return _FITTED[key]
+    state = s.file_state()
+    if _FITTED.get(key, (None,))[0] != state:
+        _FITTED[key] = state, fit()
+    return _FITTED[key][1]
 
 
 def _scaled(s):
@@ -236,7 +238,23 @@ def _shap(s):
 
 add("shap_values", _shap)
 add("shap_summary", lambda s: ab.shap_summary(_shap(s), flows.CLUSTER_FEATURES))
-add("shap_dependence", lambda s: ab.shap_dependence(materialize(_shap(s)), flows.CLUSTER_FEATURES))
+
+
+def _interactions(s):
+    def compute():
+        model, train, test = _regularised(s)
+        return materialize(ab.shap_interactions(model, test, train, flows.CLUSTER_FEATURES))
+    return _once(s, "interactions", compute)
+
+
+def _dependence(s):
+    partners = {r["Feature"]: r["Partner"] for r in ab.interaction_partners(_interactions(s)).collect()}
+    return ab.shap_dependence(materialize(_shap(s)), flows.CLUSTER_FEATURES, partners)
+
+
+add("shap_interactions", _interactions)
+add("shap_partners", lambda s: ab.interaction_partners(_interactions(s)))
+add("shap_dependence", _dependence)
 add("cross_validate", _validated)
 
 
@@ -357,18 +375,158 @@ def _check_shap(s):
 
 _TESTED = f"from cluster_data where {fq.u('CustomerId', 42)} < 0.2 and " + " and ".join(f"{c} is not null" for c in flows.CLUSTER_FEATURES)
 add("check_shap_values", _check_shap, f"select count(*) as rows, 0::bigint as not_additive, true as base_is_mean {_TESTED}")
-add("check_shap_dependence", lambda s: ab.shap_dependence(materialize(_shap(s)), flows.CLUSTER_FEATURES).groupBy("Feature").agg(
-        F.count("*").alias("rows")),
-    "select unnest([" + ", ".join(f"'{c}'" for c in flows.CLUSTER_FEATURES) + f"]) as Feature, (select count(*) {_TESTED}) as rows")
-add("check_boosted_regularised", lambda s: _boosted_regularised(s).agg(
-        F.count("*").alias("rows"), F.count_if(~F.col("score").between(0, 1)).alias("out_of_range")),
-    f"select count(*) as rows, 0::bigint as out_of_range {_TESTED}")
-add("check_feature_importance", lambda s: mo.feature_importance(_regularised(s)[0], flows.CLUSTER_FEATURES, s.spark).agg(
-        F.count("*").alias("features"), (F.abs(F.sum("Importance") - 1) < 1e-6).alias("whole")),
-    "select 4::bigint as features, true as whole")
-add("check_cross_validate", lambda s: _validated(s).agg(
-            F.count("*").alias("folds_and_mean"), F.count_if(~F.col("AUC").between(0, 1) | F.col("AUC").isNull()).alias("unknown")),
-    "select 6::bigint as folds_and_mean, 0::bigint as unknown")
+def _check_dependence(s):
+    """Every row must hold the values of ``shap_values`` and the strongest partner."""
+    values = materialize(_shap(s))
+    long = values.select("CustomerId", F.explode(F.array(*[
+        F.struct(F.lit(f).alias("f"), F.col(f).alias("x"), F.col(f"Attr_{f}").alias("a")) for f in flows.CLUSTER_FEATURES])).alias("v"))
+    strength = (_interactions(s).filter("Feature <> Other").groupBy("Feature", "Other").agg(F.avg(F.abs("Interaction")).alias("m")))
+    best = strength.groupBy(F.col("Feature").alias("_f")).agg(F.max("m").alias("most"))
+    strongest = strength.join(best, F.col("Feature") == F.col("_f")).filter("m = most").select("_f", F.col("Other").alias("_o"))
+    rows = _dependence(s).alias("d").join(
+        long.select(F.col("CustomerId").alias("_k"), F.col("v.f").alias("_w"), F.col("v.x").alias("_v"), F.col("v.a").alias("_a")),
+        (F.col("d.CustomerId") == F.col("_k")) & (F.col("d.Feature") == F.col("_w")))
+    rows = rows.join(long.select(F.col("CustomerId").alias("_c"), F.col("v.f").alias("_p"), F.col("v.x").alias("_x")),
+                     (F.col("d.CustomerId") == F.col("_c")) & (F.col("InteractingFeature") == F.col("_p")))
+    rows = rows.join(strongest, (F.col("d.Feature") == F.col("_f")) & (F.col("InteractingFeature") == F.col("_o")), "left")
+    wrong = (F.col("Value") != F.col("_v")) | (F.abs(F.col("Attribution") - F.col("_a")) > 1e-12) | (F.col("InteractingValue") != F.col("_x"))
+    return rows.groupBy("d.Feature").agg(
+        F.count("*").alias("rows"), F.count_if(wrong).alias("wrong"), F.count_if(F.col("_o").isNull()).alias("not_strongest"))
+
+
+add("check_shap_dependence", _check_dependence,
+    "select unnest([" + ", ".join(f"'{c}'" for c in flows.CLUSTER_FEATURES) + f"]) as Feature, (select count(*) {_TESTED}) as rows, "
+    "0::bigint as wrong, 0::bigint as not_strongest")
+
+
+def _check_interactions(s):
+    """A feature's rows add up to its attribution, and a pair's two halves are equal."""
+    model, train, test = _regularised(s)
+    found = _interactions(s)
+    values = ab.shap_values(model, test, train, flows.CLUSTER_FEATURES)
+    single = values.select(F.col("CustomerId").alias("_c"), F.explode(F.array(*[
+        F.struct(F.lit(f).alias("f"), F.col(f"Attr_{f}").alias("a")) for f in flows.CLUSTER_FEATURES])).alias("v")).select("_c", "v.*")
+    whole = found.groupBy("CustomerId", "Feature").agg(F.sum("Interaction").alias("n"))
+    sums = whole.join(single, (F.col("CustomerId") == F.col("_c")) & (F.col("Feature") == F.col("f")))
+    pair = found.groupBy("CustomerId", F.least("Feature", "Other").alias("a"), F.greatest("Feature", "Other").alias("b")).agg(
+        (F.max("Interaction") - F.min("Interaction")).alias("gap"))
+    return sums.agg(F.count("*").alias("rows"), F.count_if(F.abs(F.col("n") - F.col("a")) > 1e-9).alias("not_additive")).crossJoin(
+        pair.agg(F.count_if(F.col("gap") > 1e-9).alias("not_symmetric"), F.countDistinct("a", "b").alias("pairs")))
+
+
+add("check_shap_interactions", _check_interactions,
+    f"select {len(flows.CLUSTER_FEATURES)} * count(*) as rows, 0::bigint as not_additive, 0::bigint as not_symmetric, "
+    f"{len(flows.CLUSTER_FEATURES) * (len(flows.CLUSTER_FEATURES) + 1) // 2}::bigint as pairs {_TESTED}")
+
+_TRAINED = _TESTED.replace("< 0.2", ">= 0.2")
+
+
+def _best_single(rows, label="LikelyChurned"):
+    """The largest AUC of one feature alone, in either direction."""
+    from ..operators.metrics import roc_auc
+
+    found = [roc_auc(rows.select(F.col(label).cast("int").alias("label"), F.col(f).alias("score"))).first()[0] for f in flows.CLUSTER_FEATURES]
+    return max(max(a, 1 - a) for a in found if a is not None)
+
+
+def _best_single_sql(rows: str) -> str:
+    """The same from mid-ranks: (sum of ranks of churned - n1 (n1 + 1) / 2) / (n1 n0)."""
+    def one(c):
+        return f"""select (sum(case when y = 1 then r end) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y)::double * sum(1 - y)) as a from (
+          select LikelyChurned::int as y, rank() over (order by {c}) + (count(*) over (partition by {c}) - 1) / 2.0 as r {rows})"""
+    return "(select max(greatest(a, 1 - a)) from (" + " union all ".join(map(one, flows.CLUSTER_FEATURES)) + "))"
+
+
+def _check_regularised(s):
+    """At every leaf of a tree the gradient sum, the curvature times the weight and both
+    penalties must cancel; the loss must fall; training AUC must beat any single feature."""
+    from ..operators import boosting as bo, metrics as me
+
+    model, train, test = _regularised(s)
+    p = 1 / (1 + F.exp(-F.col("margin")))
+    sums = []
+    for number in (0, TREES // 2, TREES - 1):
+        leaf = bo.leaf_rows(model, train, number).groupBy("leaf", "weight").agg(
+            F.sum(p - F.col("y")).alias("g"), F.sum(p * (1 - p)).alias("h"))
+        left_over = F.when(F.col("weight") == 0, F.greatest(F.abs("g") - model.params["l1"], F.lit(0.0))).otherwise(
+            F.abs(F.col("g") + (F.col("h") + model.params["l2"]) * F.col("weight") + model.params["l1"] * F.signum("weight")))
+        sums.append(leaf.agg(F.count("*").alias("leaves"), F.count_if(left_over > 1e-6).alias("unsolved")))
+    leaves = sums[0].unionByName(sums[1]).unionByName(sums[2]).agg(F.max("leaves").alias("leaves"), F.sum("unsolved").alias("unsolved"))
+    falls = all(b < a for a, b in zip(model.losses[:-1:10], model.losses[10::10])) and len(model.losses) == TREES + 1
+    auc = me.roc_auc(mo.score(model, train, flows.CLUSTER_FEATURES, "LikelyChurned")).first()[0]
+    single = _best_single(train)
+    scored = _boosted_regularised(s).agg(F.count("*").alias("rows"), F.count_if(~F.col("score").between(0, 1)).alias("out_of_range"))
+    return scored.crossJoin(leaves).select(
+        "rows", "out_of_range", "unsolved", (F.col("leaves") > 1).alias("split"), F.lit(falls).alias("loss_falls"),
+        F.lit(single).alias("best_single"), F.lit(bool(auc > single)).alias("better"))
+
+
+add("check_boosted_regularised", _check_regularised,
+    f"select (select count(*) {_TESTED}) as rows, 0::bigint as out_of_range, 0::bigint as unsolved, true as split, true as loss_falls, "
+    f"{_best_single_sql(_TRAINED)} as best_single, true as better", "best_single")
+
+
+def _check_boosted(s):
+    """Class-weighted boosting (I10) on the same rows: training AUC and weighted loss."""
+    from ..operators import metrics as me
+
+    train, _ = _split(s)
+    weighted = fe.class_weights(train, "LikelyChurned")
+    few, many = (mo.score(mo.boosted_churn(weighted, flows.CLUSTER_FEATURES, "LikelyChurned", trees=n, depth=3),
+                          weighted, flows.CLUSTER_FEATURES, "LikelyChurned") for n in (2, 20))
+
+    def loss(rows):
+        y = F.col("label")
+        return rows.agg(F.sum(F.col("Weight") * -(y * F.log("score") + (1 - y) * F.log(1 - F.col("score"))))).first()[0]
+
+    single, auc = _best_single(train), me.roc_auc(many).first()[0]
+    return many.agg(F.count("*").alias("rows"), F.count_if((F.col("margin") > 0) != (F.col("score") > 0.5)).alias("sign_differs")).select(
+        "rows", "sign_differs", F.lit(bool(loss(many) < loss(few))).alias("loss_falls"), F.lit(single).alias("best_single"),
+        F.lit(bool(auc > single)).alias("better"))
+
+
+add("check_boosted_churn", _check_boosted,
+    f"select (select count(*) {_TRAINED}) as rows, 0::bigint as sign_differs, true as loss_falls, "
+    f"{_best_single_sql(_TRAINED)} as best_single, true as better", "best_single")
+
+
+def _check_importance(s):
+    """Shares of mean gains: they add up, a feature no tree splits on has none, and the first
+    split's gain is the one its gradient sums give."""
+    from ..operators import boosting as bo
+
+    model, train, _ = _regularised(s)
+    table = mo.feature_importance(model, flows.CLUSTER_FEATURES, s.spark)
+    used = sorted({flows.CLUSTER_FEATURES[f] for t in model.trees for f in t.feature if f >= 0})
+    first, p = model.trees[0], model.params
+    rows = bo.leaf_rows(model, train, 0).join(
+        train.select(F.col("CustomerId").alias("_c"), F.col(flows.CLUSTER_FEATURES[first.feature[0]]).alias("_x")), F.col("key") == F.col("_c"))
+    side = rows.groupBy((F.col("_x") <= first.threshold[0]).alias("low")).agg(F.sum(0.5 - F.col("y")).alias("g"), (F.count("*") / 4).alias("h")).collect()
+    score = lambda g, h: max(abs(g) - p["l1"], 0) ** 2 / (h + p["l2"])
+    gain = sum(score(r["g"], r["h"]) for r in side) - score(sum(r["g"] for r in side), sum(r["h"] for r in side))
+    return table.agg(F.count("*").alias("features"), (F.abs(F.sum("Importance") - 1) < 1e-6).alias("whole"),
+                     F.count_if((F.col("Importance") > 0) != F.col("Feature").isin(used)).alias("wrong"),
+                     F.lit(bool(abs(gain - first.gain[0]) < 1e-6 * max(1, gain))).alias("gain_from_sums"))
+
+
+add("check_feature_importance", _check_importance,
+    "select 4::bigint as features, true as whole, 0::bigint as wrong, true as gain_from_sums")
+
+
+def _check_folds(s):
+    """Fold sizes per class from the table of folds, and AUCs that beat a coin."""
+    table, own = _validated(s), F.col("Rows") - F.col("Positives")
+    return table.filter("Fold >= 0").agg(
+        F.count("*").alias("folds"), F.sum("Rows").alias("rows"), F.sum("Positives").alias("positives"),
+        (F.max("Positives") - F.min("Positives") <= 1).alias("even_positives"), (F.max(own) - F.min(own) <= 1).alias("even_negatives"),
+        (F.min("AUC") > 0.5).alias("better_than_chance")).crossJoin(
+        table.agg((F.abs(F.avg(F.when(F.col("Fold") >= 0, F.col("AUC"))) - F.max(F.when(F.col("Fold") < 0, F.col("AUC")))) < 1e-9).alias("mean_right")))
+
+
+_COMPLETE = "from cluster_data where " + " and ".join(f"{c} is not null" for c in flows.CLUSTER_FEATURES)
+add("check_cross_validate", _check_folds,
+    f"select 5::bigint as folds, count(*)::bigint as rows, count(*) filter (LikelyChurned) as positives, true as even_positives, true as even_negatives, "
+    f"true as better_than_chance, true as mean_right {_COMPLETE}")
 add("predict_report", lambda s: flows.predict_classifier(
     fe.predict_dataset("LikelyChurned", s.stored_summary, fq._sample_only(s)), "LikelyChurned", trees=TREES)["report"])
 add("predict_report_one_and_done", lambda s: flows.predict_classifier(
@@ -378,28 +536,31 @@ add("predict_importance_two_and_churned", lambda s: flows.predict_classifier(
 
 
 # ---------------------------------------------------------------- streams
-def _streamed(s, build, slices=4, delay_days=20):
-    """Store the order features as they might arrive - each order up to ``delay_days``
-    late, in ``slices`` files by time of arrival - and stream them file by file."""
+def streamed(s, build, slices=4, delay_days=20, keep_clock=st.LATENESS):
+    """Store the order features as they might arrive - each order up to ``delay_days`` late,
+    slice by slice of the time of arrival - and run the stream again after each slice, as
+    a scheduled job would; what has not been emitted waits in the checkpointed state. The
+    last slice ends with a clock row ``keep_clock`` after the newest order."""
     base, at = s.scratch(), F.unix_timestamp("PlacedDateTime")
     late = F.floor(uniform("OrderNumber", seed=3) * (delay_days * 86_400))
     arrival = s.stored.withColumn("_arrival", at + late)
     low, high = arrival.agg(F.min("_arrival"), F.max("_arrival")).first()
     part = F.coalesce(F.floor((F.col("_arrival") - (low or 0)) / (((high or 0) - (low or 0)) / slices + 1)), F.lit(0))
     for i in range(slices):
-        arrival.filter(part == i).drop("_arrival").coalesce(1).write.mode("append").parquet(f"{base}/orders")
-    st.clock_row(s.stored, st.LATENESS).write.mode("append").parquet(f"{base}/orders")
-    stream = build(st.read_order_stream(s.spark, f"{base}/orders", files_per_trigger=1))
-    return s.spark.read.parquet(st.run_available(stream, f"{base}/out", f"{base}/checkpoint"))
+        arrival.filter(part == i).drop("_arrival").write.mode("append").parquet(f"{base}/orders")
+        if i == slices - 1:
+            st.clock_row(s.stored, keep_clock).write.mode("append").parquet(f"{base}/orders")
+        out = st.run_available(build(st.read_order_stream(s.spark, f"{base}/orders")), f"{base}/out", f"{base}/checkpoint")
+    return s.spark.read.parquet(out)
 
 
 from . import customer_queries as cq  # noqa: E402  (defines the warning blocks)
 
-add("stream_early_warning", lambda s: _streamed(s, st.stream_early_warning),
+add("stream_early_warning", lambda s: streamed(s, st.stream_early_warning),
     f"select CustomerId, OrderNumber, PlacedDateTime as OrderDate, {', '.join(cq.Z)}, {cq.FLAGS} from deviated_all",
     " ".join(cq.Z), "OrderDate")
 # Silence after each order, until the next one or the end of the data.
-add("stream_overdue", lambda s: _streamed(s, st.stream_overdue), """
+add("stream_overdue", lambda s: streamed(s, st.stream_overdue), """
 select CustomerId, LastOrderDate, LastOrderDate + to_days(silence::int) as OverdueSince, MeanDays from (
   select *, greatest(floor(1.5 * MeanDays) + 1, 36) as silence from (
     select CustomerId, PlacedDateTime as LastOrderDate,

@@ -63,6 +63,18 @@ select cast(event_id%4000 as varchar) as param_transaction_id,
   'metro_' || cast(user_id%20 as varchar) as geo_metro
 from events
 """
+BLOCKS["web_visits"] = """
+select event_id as VisitId, user_id * 10 + event_id % 10 as CustomerId,
+  make_timestamp(epoch_us(timestamp '1995-01-01') + (epoch_us(ts) - epoch_us(timestamp '2024-01-01')) * 60) as VisitedAt,
+  case event_type when 'click' then 'cpc' when 'view' then 'organic' when 'signup' then 'email' end as traffic_source_medium,
+  case user_id % 4 when 0 then 'iOS' when 1 then 'Android' when 2 then 'Windows' end as device_operating_system
+from events
+"""
+BLOCKS["promotions"] = """
+select s_suppkey as PromotionId, timestamp '1994-01-01' + to_days((s_suppkey * 37 % 2500)::int) as StartsAt,
+  timestamp '1994-01-01' + to_days((s_suppkey * 37 % 2500 + 1 + s_suppkey % 45)::int) as EndsAt
+from supplier
+"""
 BLOCKS["clean"] = """
 select * from raw_order
 where (IsDeleted is null or IsDeleted <> 1) and AffiliateId = 2 and ShippedDateTime is not null
@@ -303,3 +315,21 @@ BLOCKS["cluster_data"] = """
 select CustomerId, LikelyChurned, TotalOrders, AvgPriceTotal as AvgOrderValue,
   abs(AvgPromoDiscount) as AvgPromoDiscount, PctNormalShipping from summary
 """
+
+
+def as_of(name: str, cutoff: str, suffix: str) -> str:
+    """Adds copies of a block and of all it is made of, over the order features before
+    ``cutoff``; returns the copy's name."""
+    import re
+
+    BLOCKS[f"feat_{suffix}"] = f"select * from feat where PlacedDateTime < timestamp '{cutoff}'"
+    names = list(BLOCKS)
+    moved = {"feat"}
+    for block in names[names.index("feat") + 1:names.index(name) + 1]:
+        if set(re.findall(r"[a-z_]+", BLOCKS[block])) & moved:
+            text = BLOCKS[block]
+            for old in moved:
+                text = re.sub(rf"\b{old}\b", f"{old}_{suffix}", text)
+            BLOCKS[f"{block}_{suffix}"] = text
+            moved.add(block)
+    return f"{name}_{suffix}"

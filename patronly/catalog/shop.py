@@ -28,6 +28,12 @@ class Shop:
     def scratch(self) -> str:
         return shared_folder(self.spark)
 
+    def file_state(self) -> tuple:
+        """Name, time and size of what lies in the folder: changes when a table does."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        files = place.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(place)
+        return tuple(sorted((f.getPath().getName(), f.getModificationTime(), f.getLen()) for f in files))
+
     @property
     def orders(self):
         return self.raw("raw_order")

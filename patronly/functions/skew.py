@@ -38,12 +38,22 @@ def salted_join(fact: DataFrame, dimension: DataFrame, fact_key: str, dimension_
     return left.join(right, condition, how).drop("_salt", "_dim_salt")
 
 
-def small_or_self(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """``df`` as a local table to be broadcast if its measured rows and bytes are small,
-    else ``df``, which stays distributed and joins by shuffle. Only the plan differs."""
-    if not is_small(df, max_rows):
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(df.collect(), df.schema))
+def small_or_self(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES) -> DataFrame:
+    """``df`` as a local table to be broadcast if its rows and bytes are small, else ``df``,
+    which stays distributed and joins by shuffle. Only the plan differs.
+
+    One job: at most ``max_rows`` + 1 rows come to the driver, cut off before that where they
+    are beyond ``max_bytes`` as text, and a table that is small is not computed again.
+    """
+    size = F.octet_length(F.to_json(F.struct("*")))
+    found = df.select(F.struct("*").alias("row"), size.alias("bytes")).limit(max_rows + 1)
+    rows, total = [], 0
+    for r in found.toLocalIterator():
+        rows.append(r["row"])
+        total += r["bytes"] or 0
+        if len(rows) > max_rows or total > max_bytes:
+            return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def along_customer(orders: DataFrame, add: Callable[[DataFrame, Window], DataFrame], depth: int,

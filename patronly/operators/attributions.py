@@ -12,9 +12,11 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .boosting import PenalisedModel
+
 
 def _leaves(node, boxes: dict, scale: float, out: list) -> None:
     if node.subtreeDepth() == 0:
@@ -29,6 +31,8 @@ def _leaves(node, boxes: dict, scale: float, out: list) -> None:
 
 def model_leaves(model) -> list:
     """(feature -> interval (low, high], weighted value) per leaf of a boosted model."""
+    if isinstance(model, PenalisedModel):
+        return model.leaves()
     out: list = []
     for tree, weight in zip(model.trees, model.treeWeights):
         _leaves(tree._call_java("rootNode"), {}, weight, out)
@@ -65,37 +69,74 @@ def pattern_counts(background: DataFrame, leaves: list, features) -> list[np.nda
     return counts
 
 
+def _patterns(d: int, weight: np.ndarray):
+    """All pairs of a row's pattern and a background pattern that decide about a leaf of ``d``
+    path features: (mine, weight, A, B, u, v). A holds the u features only the row has
+    inside the box, B the v features only the background has; every other feature lies
+    inside for both, or the pair can never reach the leaf and is left out."""
+    full = (1 << d) - 1
+    others = np.flatnonzero(weight)
+    mine, other = (x.ravel() for x in np.meshgrid(np.arange(1 << d), others, indexing="ij"))
+    met = (mine | other) == full
+    mine, other = mine[met], other[met]
+    bits = 1 << np.arange(d)
+    a, b = ((x[:, None] & bits) > 0 for x in (mine & ~other, other & ~mine))
+    return mine, weight[other], a, b, a.sum(axis=1), b.sum(axis=1)
+
+
+_FACTORIALS = np.array([float(factorial(n)) for n in range(64)])
+
+
 def leaf_tables(leaves: list, counts: list[np.ndarray]):
     """Per leaf (path features and box, table pattern -> attributions), and the base, from
-    the counts of each leaf's patterns in the background."""
+    the counts of each leaf's patterns in the background. Work and size per leaf grow with
+    4**d for a path of d features, which suits trees of depth 10 at most."""
     tables, base = [], 0.0
     for (boxes, value), count in zip(leaves, counts):
         box = sorted(boxes.items())
         d = len(box)
-        full = (1 << d) - 1
         weight = count / max(1, count.sum())
-        base += value * weight[full]
+        base += value * weight[(1 << d) - 1]
         if d == 0:
             continue
+        mine, w, a, b, u, v = _patterns(d, weight)
+        gain = np.where(u > 0, _FACTORIALS[np.maximum(u - 1, 0)] * _FACTORIALS[v], 0.0) / _FACTORIALS[u + v]
+        loss = np.where(v > 0, _FACTORIALS[u] * _FACTORIALS[np.maximum(v - 1, 0)], 0.0) / _FACTORIALS[u + v]
         table = np.zeros((1 << d, d))
-        for mine in range(1 << d):
-            for other in np.nonzero(weight)[0]:
-                if mine | other != full:
-                    continue
-                only_mine, only_other = mine & ~other, other & ~mine
-                u, v = bin(only_mine).count("1"), bin(only_other).count("1")
-                for j in range(d):
-                    if only_mine >> j & 1:
-                        part = factorial(u - 1) * factorial(v)
-                    elif only_other >> j & 1:
-                        part = -factorial(u) * factorial(v - 1)
-                    else:
-                        continue
-                    table[mine, j] += weight[other] * value * part / factorial(u + v)
+        np.add.at(table, mine, value * w[:, None] * (a * gain[:, None] - b * loss[:, None]))
         tables.append((box, table))
     return tables, base
 
 
+def interaction_tables(leaves: list, counts: list[np.ndarray]):
+    """Per leaf (path features and box, table pattern -> interaction of each pair).
+
+    The game of a leaf pays its value to the coalitions that hold all of A and none of B.
+    Averaged over coalitions as Shapley interaction values are, two features of A, or two
+    of B, interact positively and one of each negatively; the weights are beta integrals.
+    Each of a pair's two cells gets half; the diagonal stays 0.
+    """
+    tables = []
+    for (boxes, value), count in zip(leaves, counts):
+        box = sorted(boxes.items())
+        d = len(box)
+        if d < 2:
+            continue
+        mine, w, a, b, u, v = _patterns(d, count / max(1, count.sum()))
+        below = _FACTORIALS[np.maximum(u + v - 1, 0)]
+
+        def part(x, y, allowed):
+            return np.where(allowed, _FACTORIALS[np.maximum(x, 0)] * _FACTORIALS[np.maximum(y, 0)] / below, 0.0)[:, None, None]
+
+        cell = (part(u - 2, v, u > 1) * (a[:, :, None] & a[:, None, :]) + part(u, v - 2, v > 1) * (b[:, :, None] & b[:, None, :])
+                - part(u - 1, v - 1, (u > 0) & (v > 0)) * ((a[:, :, None] & b[:, None, :]) | (b[:, :, None] & a[:, None, :])))
+        cell[:, np.arange(d), np.arange(d)] = 0.0
+        table = np.zeros((1 << d, d, d))
+        np.add.at(table, mine, 0.5 * value * w[:, None, None] * cell)
+        tables.append((box, table))
+    return tables
+
+
 def shap_values(model, df: DataFrame, background: DataFrame, features, key: str = "CustomerId") -> DataFrame:
     """Key, features, one ``Attr_<feature>`` each, and Base. Base, the mean margin of the
     whole background, plus the attributions of a row is its margin.
@@ -129,20 +170,55 @@ def shap_summary(values: DataFrame, features) -> DataFrame:
     return means.select(F.explode(pairs).alias("p")).select("p.*")
 
 
-def shap_dependence(values: DataFrame, features, interacting: str | None = None,
-                    key: str = "CustomerId") -> DataFrame:
-    """Long table (feature, value, attribution, value of the interacting feature).
+def shap_interactions(model, df: DataFrame, background: DataFrame, features, key: str = "CustomerId") -> DataFrame:
+    """Key, Feature, Other, Interaction: one row per key and ordered pair of features.
 
-    By default a feature is paired with the strongest other feature.
+    Where Feature and Other differ, Interaction is the exact Shapley interaction value,
+    half of the pair's joint effect; where they are the same it is the feature's main
+    effect, what is left of its attribution. A feature's rows add up to its attribution.
+    What is broadcast has leaves x 2**depth x depth**2 numbers.
     """
     features = list(features)
-    if interacting is None:
-        ranked = [r["Feature"] for r in shap_summary(values, features).orderBy(F.desc("MeanAbs"), "Feature").collect()]
-        partner = {f: next((g for g in ranked if g != f), f) for f in features}
-    else:
-        partner = {f: interacting for f in features}
+    leaves = model_leaves(model)
+    counts = pattern_counts(background, leaves, features)
+    shared = df.sparkSession.sparkContext.broadcast((leaf_tables(leaves, counts)[0], interaction_tables(leaves, counts)))
+    n = len(features)
+
+    def attribute(batches):
+        single, double = shared.value
+        for batch in batches:
+            values = batch[features].to_numpy(dtype=float)
+            whole, pairs = np.zeros((len(batch), n)), np.zeros((len(batch), n, n))
+            for box, table in single:
+                whole[:, [f for f, _ in box]] += table[_inside(values, box)]
+            for box, table in double:
+                own = [f for f, _ in box]
+                pairs[:, np.array(own)[:, None], own] += table[_inside(values, box)]
+            at = np.arange(n)
+            pairs[:, at, at] = whole - pairs.sum(axis=2)
+            yield pd.DataFrame({key: np.repeat(batch[key].to_numpy(), n * n), "Feature": np.tile(np.repeat(features, n), len(batch)),
+                                "Other": np.tile(features, n * len(batch)), "Interaction": pairs.ravel()})
+
+    rows = df.select(key, *[F.col(f).cast("double").alias(f) for f in features])
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.mapInPandas(attribute, f"`{key}` {kind}, Feature string, Other string, Interaction double")
+
+
+def interaction_partners(interactions: DataFrame) -> DataFrame:
+    """Feature, Partner, MeanAbs: the other feature with the largest mean absolute
+    interaction (ties: the first by name), one row per feature."""
+    strength = (interactions.filter("Feature <> Other").groupBy("Feature", F.col("Other").alias("Partner"))
+                .agg(F.avg(F.abs("Interaction")).alias("MeanAbs")))
+    best = Window.partitionBy("Feature").orderBy(F.desc("MeanAbs"), "Partner")
+    return strength.withColumn("_rank", F.row_number().over(best)).filter("_rank = 1").drop("_rank")
+
+
+def shap_dependence(values: DataFrame, features, partners: dict[str, str], key: str = "CustomerId") -> DataFrame:
+    """Long table (feature, value, attribution, value of the interacting feature). A feature's
+    partner, by ``interaction_partners``, is the one it interacts with most strongly; a
+    feature without one is shown against itself."""
     rows = F.explode(F.array(*[
         F.struct(F.lit(f).alias("Feature"), F.col(f).alias("Value"), F.col(f"Attr_{f}").alias("Attribution"),
-                 F.lit(partner[f]).alias("InteractingFeature"), F.col(partner[f]).alias("InteractingValue"))
+                 F.lit(partners.get(f, f)).alias("InteractingFeature"), F.col(partners.get(f, f)).alias("InteractingValue"))
         for f in features]))
     return values.select(key, rows.alias("r")).select(key, "r.*")

@@ -211,6 +211,39 @@ def churn_table(orders: DataFrame, **options) -> DataFrame:
     return churn_profile(orders, **options).select(*CHURN_COLUMNS)
 
 
+# The labels that a change report compares.
+REPORTED_LABELS = ["LikelyChurned", "ExceededCadence", "NewCustomerLast90Days", "OneAndDone", "TwoAndChurned"]
+
+
+def label_changes(before: DataFrame, after: DataFrame, labels=tuple(REPORTED_LABELS)) -> DataFrame:
+    """What became of customers between two churn tables: one row per customer who is not as
+    before. ``Change`` is ``entered`` (only in ``after``), ``left`` (only in ``before``) or
+    ``changed``; each label comes twice, with ``Old`` and ``New`` in front, null where the
+    customer was not there. Labels are compared null-safely."""
+    old = before.select(F.col("CustomerId").alias("_old"), *[F.col(c).alias(f"Old{c}") for c in labels])
+    new = after.select(F.col("CustomerId").alias("_new"), *[F.col(c).alias(f"New{c}") for c in labels])
+    both = old.join(new, F.col("_old") == F.col("_new"), "full_outer")
+    same = F.lit(True)
+    for c in labels:
+        same = same & F.col(f"Old{c}").eqNullSafe(F.col(f"New{c}"))
+    change = F.when(F.col("_old").isNull(), "entered").when(F.col("_new").isNull(), "left").when(~same, "changed")
+    return both.withColumn("Change", change).filter(F.col("Change").isNotNull()).select(
+        F.coalesce("_old", "_new").alias("CustomerId"), "Change", *[f"{side}{c}" for c in labels for side in ("Old", "New")])
+
+
+def label_transitions(before: DataFrame, after: DataFrame, label: str = "LikelyChurned") -> DataFrame:
+    """Customers by old and new value of one label (null: not there), all of them."""
+    old = before.select(F.col("CustomerId").alias("_old"), F.col(label).alias("Old"))
+    new = after.select(F.col("CustomerId").alias("_new"), F.col(label).alias("New"))
+    return old.join(new, F.col("_old") == F.col("_new"), "full_outer").groupBy("Old", "New").agg(F.count("*").alias("Customers"))
+
+
+def changed_rows(before: DataFrame, after: DataFrame, labels=tuple(REPORTED_LABELS)) -> DataFrame:
+    """Rows of the second table that the first does not have, repeated rows one by one."""
+    columns = ["CustomerId", *labels]
+    return after.select(columns).exceptAll(before.select(columns))
+
+
 def customer_summary(orders: DataFrame, **options) -> DataFrame:
     """Aggregates, patterns, labels and shares: one row per customer.
 

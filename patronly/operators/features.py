@@ -117,11 +117,17 @@ def _levels(df: DataFrame, column: str) -> DataFrame:
         F.col("level").isNotNull()).distinct()
 
 
-def one_hot_drop_first(df: DataFrame, columns) -> DataFrame:
+MOST_COLUMNS = 2_000  # levels per column that may become columns
+
+
+def one_hot_drop_first(df: DataFrame, columns, most: int = MOST_COLUMNS) -> DataFrame:
     """One 0/1 column per level but the alphabetically first. The levels are the columns of
-    the result, so the driver has to know them; ``label_encode`` suits very many levels."""
+    the result, so the driver has to know them; more than ``most`` levels of a column raise
+    an error (after reading ``most`` + 1 of them): ``label_encode`` suits very many levels."""
     for c in columns:
-        levels = [r["level"] for r in _levels(df, c).collect()]
+        levels = [r["level"] for r in _levels(df, c).limit(most + 1).collect()]
+        if len(levels) > most:
+            raise ValueError(f"column {c!r} has more than {most} levels: encode it with label_encode")
         text = F.col(c).cast("string")
         df = df.withColumns({
             f"{c}_{level}": true_or_false(text == level).cast("int") for level in sorted(levels)[1:]

@@ -34,6 +34,11 @@ RAW_ORDER_AND_ANALYTICS = _schema(
 BIGQUERY_EVENTS = _schema(
     param_transaction_id=StringType(), **{name: StringType() for name in SESSION_ATTRIBUTES}
 )
+WEB_VISITS = _schema(
+    VisitId=LongType(), CustomerId=LongType(), VisitedAt=TimestampType(), traffic_source_medium=StringType(),
+    device_operating_system=StringType(),
+)
+PROMOTIONS = _schema(PromotionId=LongType(), StartsAt=TimestampType(), EndsAt=TimestampType())
 
 SCHEMAS = {
     "raw_order": RAW_ORDER,
@@ -42,4 +47,6 @@ SCHEMAS = {
     "raw_ad_campaigns": RAW_AD_CAMPAIGNS,
     "raw_order_and_analytics": RAW_ORDER_AND_ANALYTICS,
     "bigquery_events": BIGQUERY_EVENTS,
+    "web_visits": WEB_VISITS,
+    "promotions": PROMOTIONS,
 }

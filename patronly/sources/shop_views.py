@@ -143,6 +143,28 @@ def _bigquery_events(spark, folder):
     )
 
 
+# The month of events is stretched to five years of visits, from this time on.
+VISITS_FROM, VISITS_STRETCH = "1995-01-01", 60
+
+
+def _web_visits(spark, folder):
+    event, user = F.col("event_id"), F.col("user_id")
+    since = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit("2024-01-01").cast("timestamp"))
+    return _star(spark, folder, "events").select(
+        event.alias("VisitId"), (user * 10 + event % 10).alias("CustomerId"),
+        F.timestamp_micros(F.unix_micros(F.lit(VISITS_FROM).cast("timestamp")) + since * VISITS_STRETCH).alias("VisitedAt"),
+        _cases(F.col("event_type"), {"click": "cpc", "view": "organic", "signup": "email"}).alias("traffic_source_medium"),
+        _cases(user % 4, {0: "iOS", 1: "Android", 2: "Windows"}).alias("device_operating_system"))
+
+
+def _promotions(spark, folder):
+    key = F.col("s_suppkey")
+    start = F.date_add(F.lit("1994-01-01").cast("date"), (key * 37 % 2500).cast("int"))
+    return _star(spark, folder, "supplier").select(
+        key.alias("PromotionId"), start.cast("timestamp").alias("StartsAt"),
+        F.date_add(start, (1 + key % 45).cast("int")).cast("timestamp").alias("EndsAt"))
+
+
 _BUILDERS = {
     "raw_order": _raw_order,
     "raw_order_item": _raw_order_item,
@@ -150,6 +172,8 @@ _BUILDERS = {
     "raw_ad_campaigns": _raw_ad_campaigns,
     "raw_order_and_analytics": _raw_order_and_analytics,
     "bigquery_events": _bigquery_events,
+    "web_visits": _web_visits,
+    "promotions": _promotions,
 }
 
 

@@ -1,17 +1,21 @@
 """Streaming early warnings and overdue alerts: orders in, signals out.
 
 Orders wait in their customer's state until the watermark has passed them and are then
-taken in time order, whatever order or trigger they came in. The state of a customer is
-a few totals and the orders of the lateness span; orders later than that are dropped by
-the engine. To flush a finite input, end it with ``clock_row``.
+taken in time order, whatever order or trigger they came in. Waiting orders are many
+small entries of a map, by hour and chunk: a trigger adds entries and takes away those
+that are due, and never reads or rewrites the rest, so a customer with very many orders
+is handled hour by hour. Orders later than the lateness are dropped. To flush a finite
+input, end it with ``clock_row``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..constants import ACTIVE_DAYS, CADENCE_FACTOR
 from ..operators.warning import DEVIATIONS, FLAG_RULES, deviation, warning_flags
@@ -45,52 +49,141 @@ def _micros(times: pd.Series) -> np.ndarray:
     return times.astype("datetime64[us]").astype("int64").to_numpy()
 
 
-def _watermark(state) -> int:
-    """Orders before this time (microseconds) are complete."""
-    return state.getCurrentWatermarkMs() * 1000
+_HOUR = 3_600_000_000
+NOBODY = -2 ** 63  # the customer of the row that only moves the clock
+CHUNK = 1_000  # waiting orders of one state entry at most
+VALUES = ["OrderItemPriceTotal", "RushFeeAndShipPrice", "PromoCodeDiscount"]
+
+
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """Map state and timers need the disk-backed state store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def _keyed(orders: DataFrame, columns: list[str], lateness: str):
+    """The useful rows by customer; the clock's row has one of its own and no null number."""
+    rows = orders.filter(_USEFUL).select(*columns).withColumns({
+        "CustomerId": F.coalesce("CustomerId", F.lit(NOBODY)), "OrderNumber": F.coalesce("OrderNumber", F.lit(-1))})
+    return rows.withWatermark("PlacedDateTime", lateness).groupBy("CustomerId")
+
+
+class Waiting:
+    """A customer's waiting orders as state entries: ``orders`` by (hour, chunk), and per
+    hour the number of its chunks and its earliest order. ``values`` are float columns."""
+
+    def __init__(self, handle: StatefulProcessorHandle, values: list[str]):
+        self.values = values
+        self.hours = handle.getMapState("hours", "hour long", "chunks int, least long")
+        self.orders = handle.getMapState("orders", "hour long, chunk int", "at array<long>, number array<long>"
+                                         + "".join(f", v{i} array<double>" for i in range(len(values))))
+
+    def add(self, rows: pd.DataFrame) -> None:
+        """Rows (at, number, values) wait from now on; what waits already is not read."""
+        for hour, part in rows.groupby(rows["at"] // _HOUR):
+            key = (int(hour),)
+            chunks, least = self.hours.getValue(key) if self.hours.containsKey(key) else (0, 2 ** 62)
+            for start in range(0, len(part), CHUNK):
+                piece = part.iloc[start:start + CHUNK]
+                self.orders.updateValue((int(hour), chunks), (
+                    [int(x) for x in piece["at"]], [int(x) for x in piece["number"]], *[[float(x) for x in piece[c]] for c in self.values]))
+                chunks += 1
+            self.hours.updateValue(key, (chunks, min(least, int(part["at"].min()))))
+
+    def take(self, until: int) -> Iterator[pd.DataFrame]:
+        """The orders before ``until`` in order of (time, number), one frame per hour."""
+        due = sorted(k[0] for k, v in self.hours.iterator() if v[1] < until)
+        for hour in due:
+            chunks, _ = self.hours.getValue((hour,))
+            parts = []
+            for i in range(chunks):
+                at, number, *values = self.orders.getValue((hour, i))
+                parts.append(pd.DataFrame({"at": at, "number": number, **dict(zip(self.values, values))}))
+                self.orders.removeKey((hour, i))
+            self.hours.removeKey((hour,))
+            rows = pd.concat(parts, ignore_index=True).sort_values(["at", "number"], kind="stable", ignore_index=True)
+            late = rows["at"] >= until
+            if late.any():
+                self.add(rows[late])
+            yield rows[~late].reset_index(drop=True)
+
+    def earliest(self) -> int | None:
+        return min((v[1] for _, v in self.hours.iterator()), default=None)
+
+
+class InOrder(StatefulProcessor):
+    """Takes a customer's orders in time order once the watermark has passed them.
+
+    Subclasses name their value columns, hold their own state and say what to emit for a
+    frame of orders (``follow``) and when the clock stands at ``now`` (``quiet``, which also
+    gives the next time they want to be called).
+    """
 
+    values: list[str] = []
 
-def _wake(state, at: int) -> None:
-    """Call again as soon as the watermark is past ``at`` (microseconds)."""
-    state.setTimeoutTimestamp(max(at // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = Waiting(handle, self.values)
+        self.closed = handle.getValueState("closed", "at long")
 
+    def follow(self, customer, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        raise NotImplementedError
 
-VALUES = ["OrderItemPriceTotal", "RushFeeAndShipPrice", "PromoCodeDiscount"]
-_WARNING_STATE = ("at array<long>, number array<long>, " + ", ".join(f"v{i} array<double>" for i in range(len(VALUES)))
-                  + ", done int, closed long")
-
-
-def _follow(key, batches, state):
-    """Emit the orders the watermark has passed, each with the order before it. The state
-    holds the last two emitted orders (``done`` of them), then those that wait; what comes
-    before ``closed``, the time up to which orders were emitted, is too late."""
-    if pd.isna(key[0]):
-        return
-    parts, done, closed = [], 0, 0
-    if state.exists:
-        *columns, done, closed = state.get
-        parts.append(pd.DataFrame({c: list(v) for c, v in zip(["at", "OrderNumber", *VALUES], columns)}).assign(old=range(len(columns[0]))))
-    for batch in batches:
-        new = batch[["OrderNumber", *VALUES]].assign(at=_micros(batch["PlacedDateTime"]), old=2 ** 40)
-        parts.append(new[new["at"] >= closed])
-    rows = pd.concat([p.astype({c: "float64" for c in VALUES}) for p in parts], ignore_index=True)
-    rows["waits"] = rows["old"] >= done
-    rows = rows.sort_values(["waits", "at", "OrderNumber"], kind="stable", ignore_index=True)
-    ready = int((~rows["waits"] | (rows["at"] < _watermark(state))).sum())
-    if ready > done:
+    def quiet(self, customer, now: int, waits_until: int | None) -> tuple[list[pd.DataFrame], int | None]:
+        return [], None
+
+    def _advance(self, customer, now: int) -> Iterator[pd.DataFrame]:
+        for rows in self.waiting.take(now):
+            yield from self.follow(customer, rows)
+        waits_until = self.waiting.earliest()
+        found, wake = self.quiet(customer, now, waits_until)
+        yield from found
+        self.closed.update((now,))
+        times = [t for t in (waits_until, wake) if t is not None]
+        if times:
+            self.handle.registerTimer(max(min(times) // 1000 + 1, now // 1000 + 1))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if key[0] == NOBODY:
+            return
+        now, closed = timerValues.getCurrentWatermarkInMs() * 1000, self.closed.get()[0] if self.closed.exists() else 0
+        for batch in rows:
+            new = batch.assign(at=_micros(batch["PlacedDateTime"]), number=batch["OrderNumber"]).astype({c: "float64" for c in self.values})
+            self.waiting.add(new.loc[new["at"] >= closed, ["at", "number", *self.values]])
+        yield from self._advance(key[0], now)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._advance(key[0], timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def close(self) -> None:
+        pass
+
+
+class Follow(InOrder):
+    """Every order with the one before it; the state keeps the last two orders taken."""
+
+    values = VALUES
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.last = handle.getValueState("last", "at array<long>, number array<long>, "
+                                         + ", ".join(f"v{i} array<double>" for i in range(len(VALUES))))
+
+    def follow(self, customer, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        before = pd.DataFrame(dict(zip(["at", "number", *VALUES], self.last.get()))) if self.last.exists() else rows.iloc[:0]
+        done = len(before)
+        rows = pd.concat([before, rows], ignore_index=True) if done else rows
         gaps = (rows["at"] - rows["at"].shift(1)) // _DAY
-        result = pd.DataFrame({"CustomerId": key[0], "OrderNumber": rows["OrderNumber"].astype("int64"),
+        result = pd.DataFrame({"CustomerId": customer, "OrderNumber": rows["number"].astype("int64"),
                                "PlacedDateTime": pd.to_datetime(rows["at"], unit="us")})
         for column in VALUES:
-            result[column], result[f"Prev_{column}"] = rows[column], rows[column].shift(1)
+            result[column] = rows[column]
+        for column in VALUES:
+            result[f"Prev_{column}"] = rows[column].shift(1)
         result["DaysSincePrevOrder"], result["PrevGap"] = gaps, gaps.shift(1)
-        order = ["CustomerId", "OrderNumber", "PlacedDateTime", *VALUES, *[f"Prev_{c}" for c in VALUES], "DaysSincePrevOrder", "PrevGap"]
-        yield result[order].iloc[done:ready]
-    left = rows.iloc[max(0, ready - 2):]
-    known = lambda c: [None if pd.isna(v) else float(v) for v in left[c]]
-    state.update(([int(v) for v in left["at"]], [int(v) for v in left["OrderNumber"]], *[known(c) for c in VALUES], min(ready, 2), _watermark(state)))
-    if len(rows) > ready:
-        _wake(state, int(rows["at"].iloc[ready]))
+        yield result.iloc[done:]
+        left = rows.iloc[-2:]
+        self.last.update(([int(x) for x in left["at"]], [int(x) for x in left["number"]], *[[float(x) for x in left[c]] for c in VALUES]))
 
 
 _FOLLOWED = ("CustomerId long, OrderNumber long, PlacedDateTime timestamp, "
@@ -109,10 +202,10 @@ def stream_early_warning(orders: DataFrame, lateness: str = LATENESS, rules: dic
     """Deviations and flags for each order once the watermark has passed it; orders that
     come later than ``lateness`` are dropped. Python only lines orders up, the arithmetic
     is column expressions."""
+    keep_state_on_disk(orders.sparkSession)
     followed = (
-        orders.filter(_USEFUL).select(*ORDER_INPUT).withWatermark("PlacedDateTime", lateness).groupBy("CustomerId")
-        .applyInPandasWithState(_follow, _FOLLOWED, _WARNING_STATE, "append",
-                                GroupStateTimeout.EventTimeTimeout)
+        _keyed(orders, ORDER_INPUT, lateness)
+        .transformWithStateInPandas(Follow(), _FOLLOWED, "Append", "EventTime")
     )
     rename = lambda c: None if c is None else F.when(~F.isnan(c), F.col(c))
     clean = followed.withColumns({
@@ -130,56 +223,58 @@ def stream_early_warning(orders: DataFrame, lateness: str = LATENESS, rules: dic
 
 # ---------------------------------------------------------------- overdue
 _ALERT = "CustomerId long, LastOrderDate timestamp, OverdueSince timestamp, MeanDays double"
-_OVERDUE_STATE = "orders long, days long, last long, alerted boolean, waiting array<long>, closed long"
 
 
-def _overdue(factor: float, active: int):
-    def limits(orders, days):
+class Overdue(InOrder):
+    """Silences that made a customer overdue. The state keeps the number of orders, the days
+    between the first and the last, the last, and whether its silence was told."""
+
+    def __init__(self, factor: float, active: int):
+        self.factor, self.active = factor, active
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.totals = handle.getValueState("totals", "orders long, days long, last long, alerted boolean")
+
+    def _limits(self, orders, days) -> np.ndarray:
         """Whole days of silence that make a customer overdue; none (a huge number) before
         two orders."""
         mean = days / np.maximum(orders - 1, 1)
-        return np.where(orders < 2, 2 ** 40, np.maximum(np.floor(factor * mean) + 1, active + 1)).astype("int64")
-
-    def step(key, batches, state):
-        if pd.isna(key[0]):
-            return
-        orders, days, last, alerted, waiting, closed = state.get if state.exists else (0, 0, None, False, [], 0)
-        times = np.sort(np.concatenate([np.asarray(waiting, "int64"), *[_micros(b["PlacedDateTime"]) for b in batches]]))
-        times = times[times >= closed]
-        now = _watermark(state)
-        ready, waiting = times[times < now], times[times >= now]
-        ends, silences, means, starts = [], [], [], []
-        if len(ready):
-            before = ready if last is None else np.append(last, ready)
-            gaps = np.diff(before) // _DAY
-            # totals as they were when each silence began
-            first = 1 if last is None else orders
-            count = first + np.arange(len(gaps))
-            total = days + np.append(0, np.cumsum(gaps)[:-1]) if len(gaps) else gaps
-            silence = limits(count, total)
-            over = gaps >= silence
-            if alerted and last is not None and len(over):
-                over[0] = False
-            starts, silences, means = before[:-1][over], silence[over], (total / np.maximum(count - 1, 1))[over]
-            days, orders, last, alerted = int(days + gaps.sum()), int(orders + len(ready)), int(ready[-1]), False
-        if last is not None:
-            silence = int(limits(np.array([orders]), np.array([days]))[0])
-            due = last + silence * _DAY if silence < 2 ** 40 else None
-            if due is not None and not alerted and due < now and not (len(waiting) and waiting[0] < due):
-                starts, silences, means = np.append(starts, last), np.append(silences, silence), np.append(means, days / (orders - 1))
-                alerted = True
-        if len(starts):
-            starts, silences = np.asarray(starts, "int64"), np.asarray(silences, "int64")
-            yield pd.DataFrame({"CustomerId": key[0], "LastOrderDate": pd.to_datetime(starts, unit="us"),
-                                "OverdueSince": pd.to_datetime(starts + silences * _DAY, unit="us"), "MeanDays": means})
-        state.update((orders, days, last, alerted, [int(t) for t in waiting], now))
-        wakes = [int(waiting[0])] if len(waiting) else []
-        if last is not None and due is not None and not alerted:
-            wakes.append(due)
-        if wakes:
-            _wake(state, min(wakes))
-
-    return step
+        return np.where(orders < 2, 2 ** 40, np.maximum(np.floor(self.factor * mean) + 1, self.active + 1)).astype("int64")
+
+    def _alerts(self, customer, starts, silences, means) -> pd.DataFrame:
+        starts, silences = np.asarray(starts, "int64"), np.asarray(silences, "int64")
+        return pd.DataFrame({"CustomerId": customer, "LastOrderDate": pd.to_datetime(starts, unit="us"),
+                             "OverdueSince": pd.to_datetime(starts + silences * _DAY, unit="us"), "MeanDays": means})
+
+    def follow(self, customer, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        orders, days, last, alerted = self.totals.get() if self.totals.exists() else (0, 0, -1, False)
+        times = rows["at"].to_numpy("int64")
+        before = np.append(last, times) if orders else times
+        gaps = np.diff(before) // _DAY
+        # totals as they were when each silence began
+        count = max(orders, 1) + np.arange(len(gaps))
+        total = days + np.append(0, np.cumsum(gaps)[:-1]) if len(gaps) else gaps
+        silence = self._limits(count, total)
+        over = gaps >= silence
+        if alerted and orders and len(over):
+            over[0] = False
+        if over.any():
+            yield self._alerts(customer, before[:-1][over], silence[over], (total / np.maximum(count - 1, 1))[over])
+        self.totals.update((int(orders + len(times)), int(days + gaps.sum()), int(times[-1]), False))
+
+    def quiet(self, customer, now: int, waits_until: int | None) -> tuple[list[pd.DataFrame], int | None]:
+        if not self.totals.exists():
+            return [], None
+        orders, days, last, alerted = self.totals.get()
+        silence = int(self._limits(np.array([orders]), np.array([days]))[0])
+        if alerted or silence >= 2 ** 40:
+            return [], None
+        due = last + silence * _DAY
+        if due < now and (waits_until is None or waits_until >= due):
+            self.totals.update((orders, days, last, True))
+            return [self._alerts(customer, [last], [silence], [days / (orders - 1)])], None
+        return [], due
 
 
 def stream_overdue(orders: DataFrame, lateness: str = LATENESS, factor: float = CADENCE_FACTOR,
@@ -191,10 +286,10 @@ def stream_overdue(orders: DataFrame, lateness: str = LATENESS, factor: float =
     alerts depend neither on how the input is cut into batches nor, within ``lateness``,
     on the order it comes in.
     """
+    keep_state_on_disk(orders.sparkSession)
     return (
-        orders.filter(_USEFUL).select("CustomerId", "PlacedDateTime").withWatermark("PlacedDateTime", lateness).groupBy("CustomerId")
-        .applyInPandasWithState(_overdue(factor, active), _ALERT, _OVERDUE_STATE, "append",
-                                GroupStateTimeout.EventTimeTimeout)
+        _keyed(orders, ["CustomerId", "OrderNumber", "PlacedDateTime"], lateness)
+        .transformWithStateInPandas(Overdue(factor, active), _ALERT, "Append", "EventTime")
     )
 
 

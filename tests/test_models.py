@@ -90,7 +90,9 @@ def test_boosting_attributions_add_up(planted):
     assert np.allclose(joined["Base"] + joined["Attr_x"] + joined["Attr_y"], joined["margin"], atol=1e-9)
     assert {r["Feature"]: r["MeanAbs"] for r in ab.shap_summary(values, ["x", "y"]).collect()}["x"] > \
         {r["Feature"]: r["MeanAbs"] for r in ab.shap_summary(values, ["x", "y"]).collect()}["y"]
-    assert ab.shap_dependence(values, ["x", "y"]).count() == 2 * test.count()
+    table = ab.shap_dependence(values, ["x", "y"], {"x": "y", "y": "x"})
+    assert table.count() == 2 * test.count()
+    assert {(r[0], r[1]) for r in table.select("Feature", "InteractingFeature").distinct().collect()} == {("x", "y"), ("y", "x")}
 
 
 def test_attributions_match_brute_force():

@@ -1,4 +1,4 @@
-"""Near-duplicate vectors: projection passes, runs compared whole, united groups."""
+"""Near-duplicate vectors: sorted projection passes, neighbour windows, united groups."""
 
 from __future__ import annotations
 
@@ -9,11 +9,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.numbering import number_rows
 from ..session import materialize
 from .graph import components
 
 BITS = 64
-BLOCK = 512  # vectors of one component or run compared at once
+BLOCK = 512  # neighbouring vectors, or vectors of one component or run, compared at once
+LEAST_BITS = 2  # signs by which every pass sorts at least
 MOVED = 1000  # comparisons that cost as much as hashing and moving one vector
 
 
@@ -37,12 +39,6 @@ def passes_for(bits: float, cosine: float, miss: float) -> int:
     return max(1, math.ceil(math.log(miss) / math.log(1 - hit)))
 
 
-def passes_needed(rows: int, window: int, cosine: float, miss: float) -> int:
-    """Passes for runs of about ``window`` rows if vectors spread evenly over directions:
-    these agree in about log2(rows / window) leading bits."""
-    return max(4, passes_for(max(0.0, math.log2(max(1.0, rows / window))), cosine, miss))
-
-
 def _matrix(column: pd.Series, size: int | None = None) -> np.ndarray:
     """Unit vectors in double precision; shorter ones are padded with zeros."""
     size = size or max((len(v) for v in column), default=0)
@@ -80,24 +76,24 @@ def _hashed(vectors: DataFrame, passes: list[int], bits: int, seed: int, whole:
 
 
 def _bits_and_passes(vectors: DataFrame, largest: int, window: int, cosine: float, miss: float, seed: int) -> tuple[int, int]:
-    """How many leading bits make a run, and in how many passes.
-
-    Labels that fit a block are compared whole, once. Else the runs of one pass are
-    measured at several lengths: vectors in a cone share more bits than evenly spread
-    ones, so their runs are longer, and more bits with more passes may cost less. The
-    choice only decides about cost; the passes hold the miss for each."""
-    if largest <= BLOCK:
-        return 0, 1
-    least = min(BITS, max(1, round(math.log2(largest / window))))
-    lengths = list(range(least, min(BITS, least + 24) + 1, 3))
-    runs = _hashed(vectors, [0], lengths[-1], seed, False).groupBy("label", "size", "key").agg(F.count("*").alias("n"))
+    """How many leading bits two vectors have to share, and in how many passes.
+
+    A pass finds every pair that shares the bits: those of a short run lie in one window,
+    longer runs are compared whole. The runs of one pass are measured at many lengths:
+    vectors in a cone share more bits than evenly spread ones, so their runs are longer,
+    and more bits with more passes may cost less. The choice only decides about cost; the
+    passes hold the miss for each."""
+    least = max(LEAST_BITS, round(math.log2(max(1, largest / window))))
+    lengths = list(range(least, BITS, 2))
+    runs = _hashed(vectors, [0], BITS, seed, False).groupBy("label", "size", "key").agg(F.count("*").alias("n"))
     # the sign bit of a key is its first projection, so that shifts keep leading bits
     cut = runs.select("label", "size", "n", F.explode(F.array(*[
         F.struct(F.lit(b).alias("bits"), F.shiftright("key", BITS - b).alias("lead")) for b in lengths])).alias("cut"))
     n = F.col("n").cast("double")
+    whole = F.when(n > window, n * MOVED * F.ceil(n / BLOCK) + n * n / 2).otherwise(0.0)
     cost = (cut.groupBy("label", "size", "cut").agg(F.sum("n").alias("n"))
             .groupBy(F.col("cut.bits").alias("bits"))
-            .agg(F.sum(n * MOVED * (1 + F.ceil(n / BLOCK)) + n * n / 2).alias("cost")).collect())
+            .agg(F.sum(n * (MOVED + window) + whole).alias("cost")).collect())
     bits = min(cost, key=lambda r: (r["cost"] * passes_for(r["bits"], cosine, miss), r["bits"]))["bits"]
     return bits, passes_for(bits, cosine, miss)
 
@@ -115,51 +111,84 @@ def _star(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             return root
 
 
-def _run_links(vectors: DataFrame, passes: list[int], bits: int, seed: int, cosine: float) -> DataFrame:
-    """Verified links between all vectors of a run, the rows of one label and size that
-    agree in the leading bits of a pass. A run is cut in blocks of about ``BLOCK`` vectors
-    and every two blocks are compared by one call. Of the links found by a call only a
-    spanning star per group is returned, at most one link per vector."""
-    kind = vectors.schema["vec_id"].dataType.simpleString()
-    run = ["pass", "label", "size", "key"]
-    long = (_hashed(vectors, passes, bits, seed, False).groupBy(*run).agg(F.count("*").alias("_n")).filter(F.col("_n") > BLOCK)
-            .select(*run, F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks")))
-    rows = _hashed(vectors, passes, bits, seed, True).join(long, run, "left").withColumn("blocks", F.coalesce("_blocks", F.lit(1)))
-    cut = rows.withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+def _linked(rows: pd.DataFrame, group: np.ndarray, cosine: float, i=None, j=None) -> pd.DataFrame:
+    """Verified links inside each group of consecutive rows: of the links found in a group only
+    a spanning star is returned, at most one link per vector. With ``i`` and ``j`` only rows
+    whose ``own`` is i[row] are compared with those whose ``own`` is j[row]."""
+    ids, unit, found = rows["vec_id"].to_numpy(), _matrix(rows["vector"]), []
+    own = rows["own"].to_numpy() if i is not None else None
+    starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    for start, end in zip(starts, np.append(starts[1:], len(rows))):
+        if end - start < 2:
+            continue
+        part, names = unit[start:end], ids[start:end]
+        first = second = np.arange(end - start)
+        if i is not None:
+            first, second = (np.flatnonzero(own[start:end] == x[start]) for x in (i, j))
+        x, y = np.nonzero(part[first] @ part[second].T >= cosine)
+        root = _star(first[x], second[y], end - start)
+        linked = np.flatnonzero(root != np.arange(end - start))
+        found.append((names[linked], names[root[linked]]))
+    a, b = (np.concatenate(x) for x in zip(*found)) if found else ((), ())
+    return pd.DataFrame({"a": a, "b": b})
+
+
+def _grouped(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """(rows, group number) of whole groups of rows that are sorted by ``keys``."""
+    rest = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        group = rows.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+        done = group != group[-1]
+        if done.any():
+            yield rows[done], group[done]
+        rest = rows[~done]
+    if rest is not None:
+        yield rest, np.zeros(len(rest), int)
+
+
+def _window_links(hashed: DataFrame, window: int, cosine: float, block: int) -> DataFrame:
+    """Links between neighbours in the order of (pass, label, size, key): each vector with the
+    ``window`` vectors after it at least.
+
+    Rows are numbered over the whole table and cut into blocks of ``block`` rows by number; a
+    block also gets the first ``window`` rows of the next one, so windows reach over every
+    border, whatever the partitions.
+    """
+    kind = hashed.schema["vec_id"].dataType.simpleString()
+    numbered = number_rows(hashed, ["pass", "label", "size", "key", "vec_id"])
+    own, place = F.floor(F.col("number") / block), F.col("number") % block
+    before = F.when((place < window) & (own > 0), own - 1)
+    rows = numbered.withColumn("block", F.explode(F.array_compact(F.array(own, before))))
+    keys = ["block", "pass", "label", "size"]
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, group in _grouped(batches, keys):
+            yield _linked(part, group, cosine)
+
+    ordered = rows.select(*keys, "number", "vec_id", "vector").repartition("block").sortWithinPartitions(*keys, "number")
+    return ordered.mapInPandas(link, f"a {kind}, b {kind}")
+
+
+def _run_links(hashed: DataFrame, window: int, bits: int, cosine: float, block: int) -> DataFrame:
+    """Links between all vectors of a run, the rows of one label and size that agree in the
+    leading bits of a pass, where the run is longer than a window. Such a run is cut in
+    blocks of about ``block`` vectors and every two blocks are compared by one call."""
+    kind = hashed.schema["vec_id"].dataType.simpleString()
+    run = ["pass", "label", "size", "lead"]
+    led = hashed.withColumn("lead", F.shiftright("key", BITS - bits))
+    long = (led.groupBy(*run).agg(F.count("*").alias("_n")).filter(F.col("_n") > window)
+            .select(*run, F.ceil(F.col("_n") / block).cast("int").alias("blocks")))
+    cut = led.join(long, run).withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     pairs = (cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
              .select(*run, "i", "j", "own", "vec_id", "vector"))
 
-    def compare(ids: np.ndarray, unit: np.ndarray, first: np.ndarray, second: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        x, y = np.nonzero(unit[first] @ unit[second].T >= cosine)
-        root = _star(first[x], second[y], len(ids))
-        linked = np.flatnonzero(root != np.arange(len(ids)))
-        return ids[linked], ids[root[linked]]
-
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def links(rows: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
-            ids, unit, found = rows["vec_id"].to_numpy(), _matrix(rows["vector"]), []
-            own, i, j = (rows[c].to_numpy() for c in ("own", "i", "j"))
-            starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-            for start, end in zip(starts, np.append(starts[1:], len(rows))):
-                if end - start > 1:
-                    part = slice(start, end)
-                    found.append(compare(ids[part], unit[part], np.flatnonzero(own[part] == i[start]), np.flatnonzero(own[part] == j[start])))
-            a, b = (np.concatenate(x) for x in zip(*found)) if found else ((), ())
-            return pd.DataFrame({"a": a, "b": b})
-
-        rest = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            group = rows.groupby([*run, "i", "j"], sort=False, dropna=False).ngroup().to_numpy()
-            done = group != group[-1]
-            if done.any():
-                yield links(rows[done], group[done])
-            rest = rows[~done]
-        if rest is not None:
-            yield links(rest, np.zeros(len(rest)))
+        for part, group in _grouped(batches, [*run, "i", "j"]):
+            yield _linked(part, group, cosine, part["i"].to_numpy(), part["j"].to_numpy())
 
     ordered = pairs.repartition(*run, "i", "j").sortWithinPartitions(*run, "i", "j")
     return ordered.mapInPandas(link, f"a {kind}, b {kind}")
@@ -194,23 +223,25 @@ def _links_inside(members: DataFrame, cosine: float) -> DataFrame:
 
 def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
                  cosine: float = 0.93, window: int = 48, miss: float = 1e-5, passes: int | None = None,
-                 passes_per_job: int = 4, seed: int = 11) -> DataFrame:
+                 passes_per_job: int = 4, seed: int = 11, block: int = BLOCK) -> DataFrame:
     """Groups of vectors of one label that are linked by a cosine of ``cosine`` or more.
 
-    Equal vectors of a label first become one vector with a count. Each pass then cuts the
-    vectors into runs that agree in the leading signs of random projections, and compares
-    all vectors of a run, in blocks; links verified in any pass are united to components.
-    Runs are meant to hold about ``window`` vectors, but are never cut off: where vectors
-    lie close together they are longer. The number of passes follows from the number of
-    signs and ``miss`` alone, so that a pair at the threshold is missed with that chance
-    at any size and however the vectors lie. Labels of up to 512 different vectors are
-    compared whole. Within a component every pair is then compared, in blocks, which gives
-    the exact number of links of each vector, those included that no run showed. No pairs
-    leave a task but one link per vector, pass and block.
+    Equal vectors of a label first become one vector with a count. Each pass then sorts the
+    vectors of a label by 64 signs of random projections, one after another, and compares
+    each with the ``window`` vectors that follow, over all borders of partitions; links
+    verified in any pass are united to components. Where more than ``window`` vectors agree
+    in the leading signs a pair is meant to share (vectors that lie close together), these
+    are also compared whole, in blocks, so a full window never cuts a pair off. The number
+    of passes follows from the number of signs and ``miss`` alone, so that a pair at the
+    threshold is missed with that chance at any size and however the vectors lie. Within a
+    component every pair is then compared, in blocks, which gives the exact number of links
+    of each vector, those included that no window showed. No pairs leave a task but one
+    link per vector, pass and block.
 
     Vectors that are null, empty, zero, without label, or hold null or non-finite
     components, and vectors of another length, link with nothing. Repeated rows are
-    vectors of their own and link with each other. Extra columns are ignored.
+    vectors of their own and link with each other. Extra columns are ignored; an empty
+    table gives no rows.
 
     Returns one row per input row: vec_id, n_links, component_id, kept.
     """
@@ -225,7 +256,9 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
         passes = passes or enough
         for first in range(0, passes, passes_per_job):
             numbers = list(range(first, min(passes, first + passes_per_job)))
-            found = materialize(_run_links(vectors, numbers, bits, seed, cosine).distinct())
+            hashed = materialize(_hashed(vectors, numbers, BITS, seed, True))
+            near = _window_links(hashed, window, cosine, max(block, window))
+            found = materialize(near.unionByName(_run_links(hashed, window, bits, cosine, block)).distinct())
             links = found if links is None else links.unionByName(found)
     else:
         links = vectors.select(F.col("vec_id").alias("a"), F.col("vec_id").alias("b")).limit(0)

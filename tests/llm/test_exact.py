@@ -1,7 +1,10 @@
 import re
 
+import pyarrow as pa
 from cases import SMALL, documents, edge_rows, empty, sha, texts
+from pyspark.sql import functions as F
 
+from patronly.llm import exact
 from patronly.llm.exact import exact_dedup, exact_groups
 
 
@@ -60,3 +63,28 @@ def test_columns_of_any_name_pass_through(spark):
     docs = documents(spark, [(1, "a", "en", "s"), (2, "b", "en", "s")])
     kept = {r["doc_id"]: r.asDict() for r in exact_dedup(docs).collect()}
     assert kept == {r["doc_id"]: r.asDict() for r in docs.collect()}
+
+
+def test_a_round_merges_sorted_runs_in_one_pass_and_verifies(spark):
+    entries = [(run, bytes([d] * 32), check, 5, -points, doc, 0, 1) for run in range(8) for d in range(0, 250, 50)
+               for check in (1, 2) for points, doc in ((run % 3, 100 + run),)]
+    schema = "run long, sha256 binary, check long, length int, fewest int, doc_id long, key int, group_size long"
+    merged = exact.merge_round(spark.createDataFrame(entries, schema).repartition(5), 4, 3)
+    stored = merged.withColumn("part", F.spark_partition_id()).collect()
+    assert len(stored) == 2 * 5 * 2  # two runs are left; equal digests with another second hash stay apart
+    for r in stored:
+        own = [e for e in entries if e[0] // 4 == r["run"] and e[1] == r["sha256"] and e[2] == r["check"]]
+        assert r["group_size"] == len(own) and (r["fewest"], r["doc_id"]) == min((e[4], e[5]) for e in own)
+    for part in {r["part"] for r in stored}:
+        keys = [(r["run"], bytes(r["sha256"]), r["check"]) for r in stored if r["part"] == part]
+        assert keys == sorted(set(keys))  # each task leaves sorted runs, one entry per digest
+
+
+def test_entries_of_a_digest_meet_over_batches(spark):
+    schema = pa.schema([("run", pa.int64()), ("sha256", pa.binary()), ("check", pa.int64()), ("length", pa.int32()), ("fewest", pa.int32()),
+                        ("doc_id", pa.int64()), ("key", pa.int32()), ("group_size", pa.int64())])
+    rows = [(0, b"a", 1, 1, -i, i, 0, 1) for i in range(9, 0, -1)] + [(0, b"b", 1, 1, 0, 3, 0, 2), (1, b"b", 1, 1, 0, None, 0, 5)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows[i:i + 2]], schema) for i in range(0, len(rows), 2)]
+    found = [tuple(r.values()) for b in exact._merged(iter(batches)) for r in b.to_pylist()]
+    assert found == [(0, b"a", 1, 1, -9, 9, 0, 9), (0, b"b", 1, 1, 0, 3, 0, 2), (1, b"b", 1, 1, 0, None, 0, 5)]
+    assert list(exact._merged(iter([]))) == []

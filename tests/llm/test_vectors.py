@@ -56,10 +56,9 @@ def test_clusters_equal_brute_force(spark):
     assert result(vectors.near_vectors(table(spark, rows))) == brute(rows)
 
 
-def test_group_larger_than_window_and_block(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "BLOCK", 50)
+def test_group_larger_than_window_and_block(spark):
     rows = clusters(2, 2, 160, 0.4, 1)
-    assert result(vectors.near_vectors(table(spark, rows), window=8)) == brute(rows)
+    assert result(vectors.near_vectors(table(spark, rows), window=8, block=50)) == brute(rows)
 
 
 def test_edges(spark):
@@ -71,9 +70,31 @@ def test_edges(spark):
     assert vectors.near_vectors(table(spark, rows).limit(0)).count() == 0
 
 
-def test_more_rows_ask_for_more_passes():
-    few, many = (vectors.passes_needed(n, 48, 0.93, 1e-5) for n in (1_000, 1_000_000))
-    assert 4 <= few < many
+def test_windows_reach_over_all_borders(spark):
+    """Every vector meets the window after it, in its pass, label and size only."""
+    rng = np.random.default_rng(3)
+    rows = [(p, label, 4, int(k), 1000 * p + n, [float(x) for x in np.abs(rng.standard_normal(4)) + 5])
+            for p in range(2) for n, (label, k) in enumerate((int(x) % 3, x) for x in rng.integers(-2**62, 2**62, 150))]
+    hashed = spark.createDataFrame(rows, "pass int, label int, size int, key long, vec_id long, vector array<double>")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in ("3", "90"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        found = [(r["a"], r["b"]) for r in vectors._window_links(hashed, 6, -1.0, 16).collect()]  # all pairs are links
+        parent = {}
+
+        def find(x):
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        for a, b in found:
+            parent[find(a)] = find(b)
+        groups = {}
+        for p, label, _, _, i, _ in rows:
+            groups.setdefault(find(i), set()).add((p, label))
+        # windows chain all vectors of a pass and label together, and none of two
+        assert len(groups) == 6 and all(len(g) == 1 for g in groups.values())
+    spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_more_partitions_than_rows_in_a_window(spark):

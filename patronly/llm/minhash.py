@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +15,8 @@ from .graph import components
 from .text import BASES, mix, span_hashes, window_hashes, word_hashes
 
 SHINGLE = 5
-CHUNK = 512  # documents whose signatures are computed together
+CHUNK = 1 << 18  # shingles of documents whose signatures are computed together
+ROWS = 256  # documents whose shingles are held at once
 BLOCK = 512  # documents of a bucket that are compared with another such block at once
 _STEP = np.uint64(0xD1B54A32D192ED03)
 
@@ -49,69 +49,69 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float((1 / (from_here / x + before / y)).sum())
 
 
-def _points(hashes, weights, owner, limit):
-    """All arrivals of the elements' Poisson processes up to the limit of their document:
-    (document, time, element). The k-th waiting time and register come from the element's
-    hash and k alone; a weight only speeds the clock up. Elements past the limit end."""
-    time = np.zeros(len(hashes))
-    state = hashes.copy()
+def signatures(sets: list[tuple[np.ndarray, np.ndarray]], registers: int) -> np.ndarray:
+    """ProbMinHash: for each register the element that arrives first, one row per set.
+
+    Elements arrive as Poisson processes at a rate equal to their weight and hit a random
+    register each time, so two sets agree in a register with a chance equal to their
+    probability Jaccard. The k-th waiting time and register come from the element's hash
+    and k alone; a weight only speeds the clock up. All sets are drawn together, one
+    arrival of every element per round. An element ends early: as soon as an arrival of it
+    is later than the latest register of its set, neither that nor any later one can
+    matter. Sets must not be empty.
+    """
+    hashes = np.concatenate([s[0] for s in sets])
+    weights = np.concatenate([s[1] for s in sets]).astype(float)
+    owner = np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets])
+    first, which = np.full(len(sets) * registers, np.inf), np.zeros(len(sets) * registers, np.uint64)
+    latest = np.full(len(sets), np.inf)  # no end while a register is empty
+    time, state = np.zeros(len(hashes)), hashes.copy()
     while len(state):
         state = state + _STEP
         drawn = mix(state)
         uniform = ((drawn >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0 ** -53
         time = time - np.log(uniform) / weights
-        on = time <= limit[owner]
-        state, time, weights, owner, hashes = state[on], time[on], weights[on], owner[on], hashes[on]
-        yield owner, time, hashes, mix(drawn[on] ^ _STEP)
-
-
-def signatures(sets: list[tuple[np.ndarray, np.ndarray]], registers: int) -> np.ndarray:
-    """ProbMinHash: for each register the element that arrives first, one row per set.
-
-    Elements arrive at a rate equal to their weight and hit a random register each time, so
-    two sets agree in a register with a chance equal to their probability Jaccard. All
-    arrivals up to a time by which the registers are likely full are drawn; no later one
-    can matter once they are. Sets with a register left empty are drawn to twice the time.
-    Sets must not be empty.
-    """
-    out = np.zeros((len(sets), registers), np.uint64)
-    todo, reach = np.arange(len(sets)), registers * (math.log(registers) + 4)
-    while len(todo):
-        hashes = np.concatenate([sets[i][0] for i in todo])
-        weights = np.concatenate([sets[i][1] for i in todo]).astype(float)
-        owner = np.repeat(np.arange(len(todo)), [len(sets[i][0]) for i in todo])
-        limit = reach / np.bincount(owner, weights)
-        found = [list(p) for p in _points(hashes, weights, owner, limit)]
-        owner, time, hashes, drawn = (np.concatenate(x) for x in zip(*found))
-        slot = owner * registers + (drawn % np.uint64(registers)).astype(np.int64)
-        order = np.lexsort((time, slot))
-        slots, first = np.unique(slot[order], return_index=True)
-        full = np.bincount(slots // registers, minlength=len(todo)) == registers
-        chosen = np.zeros(len(todo) * registers, np.uint64)
-        chosen[slots] = hashes[order][first]
-        out[todo[full]] = chosen.reshape(len(todo), registers)[full]
-        todo, reach = todo[~full], 2 * reach
-    return out
+        on = time < latest[owner]
+        state, time, weights, owner, hashes, drawn = state[on], time[on], weights[on], owner[on], hashes[on], drawn[on]
+        slot = owner * registers + (mix(drawn ^ _STEP) % np.uint64(registers)).astype(np.int64)
+        sooner = np.flatnonzero(time < first[slot])
+        order = sooner[np.lexsort((time[sooner], slot[sooner]))]
+        slots, at = np.unique(slot[order], return_index=True)
+        first[slots], which[slots] = time[order[at]], hashes[order[at]]
+        latest = first.reshape(-1, registers).max(axis=1)
+    return which.reshape(len(sets), registers)
+
+
+def _chunks(sizes: list[int]) -> Iterator[slice]:
+    """Consecutive sets of ``CHUNK`` elements together, or one set where it alone has more."""
+    start = total = 0
+    for i, size in enumerate(sizes):
+        if i > start and total + size > CHUNK:
+            yield slice(start, i)
+            start, total = i, 0
+        total += size
+    if len(sizes) > start:
+        yield slice(start, len(sizes))
 
 
 def _signature_table(docs: DataFrame, kind: str, bands: int, rows: int) -> DataFrame:
     """Stored rows (doc_id, digest, sketch, bands): digest of the words, 16 bits of each
     register, one key per band. Texts without words have null everywhere."""
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = np.arange(bands, dtype=np.uint64)
         for batch in batches:
-            for start in range(0, len(batch), CHUNK):
-                part = batch.iloc[start:start + CHUNK]
+            for start in range(0, len(batch), ROWS):
+                part = batch.iloc[start:start + ROWS]
                 sets = [shingles(t) for t in part["text"]]
                 some = [i for i, s in enumerate(sets) if len(s[0])]
                 digest, sketch, keys = ([None] * len(part) for _ in range(3))
-                if some:
-                    table = signatures([sets[i] for i in some], bands * rows)
+                for chunk in _chunks([len(sets[i][0]) for i in some]):
+                    table = signatures([sets[i] for i in some[chunk]], bands * rows)
                     low = (mix(table) & np.uint64(0xFFFF)).astype(np.uint16)
-                    number = np.arange(bands, dtype=np.uint64)
                     key = number * _STEP
                     for r in range(rows):
                         key = mix(key * np.uint64(31) + table[:, r::rows])
-                    for at, i in enumerate(some):
+                    for at, i in enumerate(some[chunk]):
                         words = b" ".join((part["text"].iloc[i]).encode("utf-8", "replace").split())
                         digest[i] = hashlib.sha256(words).digest()
                         sketch[i], keys[i] = low[at].tobytes(), key[at].view(np.int64)

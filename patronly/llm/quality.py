@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.sums import summed
 from ..session import materialize
 from .text import BASES, labels_of, span_hashes, word_hashes
 
@@ -77,35 +78,9 @@ def _block(batch: pd.DataFrame, shift: np.ndarray, scale: np.ndarray) -> np.ndar
     return np.clip((x - shift) / scale, -SPREAD, SPREAD)
 
 
-FAN_IN = 32  # partial sums added up by one task
-
-
 def _summed(table: DataFrame, sums) -> np.ndarray:
-    """Add up what ``sums(batch)`` returns (a matrix) over all rows: one matrix per task,
-    then sums of ``FAN_IN`` matrices per task until the driver gets at most that many."""
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
-        for batch in batches:
-            if len(batch):
-                one = sums(batch)
-                total = one if total is None else total + one
-        if total is not None:
-            yield pd.DataFrame({"width": np.int32(total.shape[1]), "v": [total.tobytes()]})
-
-    def add(batch):
-        return sum(np.frombuffer(v).reshape(-1, w) for v, w in zip(batch["v"], batch["width"]))
-
-    rows, count = table.mapInPandas(part, "width int, v binary"), len(table.inputFiles())
-    while count > FAN_IN:
-        def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = sum(add(batch) for batch in batches if len(batch))
-            if not isinstance(total, int):
-                yield pd.DataFrame({"width": np.int32(total.shape[1]), "v": [total.tobytes()]})
-
-        count = math.ceil(count / FAN_IN)
-        rows = rows.repartition(count).mapInPandas(merge, "width int, v binary")
-    found = rows.collect()
-    return sum(np.frombuffer(bytes(r["v"])).reshape(-1, r["width"]) for r in found)
+    """Sums over all rows of a stored table, added up as a tree over its tasks."""
+    return summed(table, table.rdd.getNumPartitions(), sums)
 
 
 class Model:

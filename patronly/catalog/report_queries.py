@@ -101,7 +101,7 @@ add("cohort_promo_share",
 # ---------------------------------------------------------------- segments
 v.BLOCKS["buyers"] = """select CustomerId, OneAndDone, AvgItemsPerOrder, AvgOrderItemTotal, AvgRushFeeAndShipPrice,
   coalesce(AvgPromoDiscount < 0, false) as HasPromoDiscount from first_summary"""
-STICKER_RULES = """case when AvgOrderItemTotal > 250 or AvgItemsPerOrder > 6 or (AvgItemsPerOrder > 3 and AvgOrderItemTotal > 175) then 'Bulk Buyer'
+STICKER_RULES = """case when (AvgItemsPerOrder > 3 and AvgOrderItemTotal > 175) or AvgOrderItemTotal > 250 or AvgItemsPerOrder > 6 then 'Bulk Buyer'
   when AvgItemsPerOrder < 3 and AvgOrderItemTotal < 75 then 'One-and-Done Zone'
   when AvgItemsPerOrder < 3 and AvgOrderItemTotal < 250 and HasPromoDiscount then 'Bargain Shopper'
   when AvgItemsPerOrder >= 2 and AvgItemsPerOrder <= 6 and AvgOrderItemTotal >= 100 and AvgOrderItemTotal <= 450 then 'Value Seeker'

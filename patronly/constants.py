@@ -21,6 +21,31 @@ TWO_DAY_PRICE = 4.0
 SHIP_LABELS = ["NormalShipping", "TwoDayShipping", "ExpeditedShipping"]
 HOUR_LABELS = ["Morning", "Afternoon", "Evening", "EarlyMorning"]
 
+# Hours of the day (first and last) by category; all other hours are early.
+HOUR_RANGES = {"Morning": (5, 11), "Afternoon": (12, 16), "Evening": (17, 23)}
+
+# Working hours (first and last), the number of working days from Monday on,
+# and the days at either end of a month that are its edge.
+WORK_HOURS = (8, 17)
+WORKDAYS = 5
+EDGE_DAYS = 7
+
+# Months of the seasons, and every how many years they come.
+SEASONS = {
+    "Holiday": ((11, 12), 1),
+    "Summer": ((5, 6, 7, 8), 1),
+    "ElectionSeason": ((9, 10), 2),
+    "PresidentialElection": ((8, 9, 10), 4),
+}
+
+# Columns of the first shipped order that go into a customer's summary.
+FIRST_SHIPPED_COLUMNS = [
+    "HourOfDay", "DayOfWeek", "Month", "DayOfMonth", "PromoCodeDiscount", "ShippingType",
+    "AvgItemQuantity", "HourCategory", "WorkHours", "Workday", "FirstWeek", "LastWeek", "Holiday",
+    "Summer", "ElectionSeason", "PresidentialElection", "RushFeeAndShipPrice",
+    "OrderContainsSticker", "OrderContainsLabel",
+]
+
 # Attribution vocabulary.
 TOP_MEDIUMS = ["cpc", "(none)", "organic", "referral", "email", "Display_Ad", "social"]
 TOP_SOURCES = ["google", "(direct)", "bing", "facebook"]

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .numbering import number_rows
 from .skew import small_or_self
 
 ACCURACY = 100_000
@@ -72,30 +72,19 @@ def exact_quantiles(df: DataFrame, columns: dict[str, list[float]], by=(),
 def running_totals(df: DataFrame, order: str, columns: list[str],
                    descending: bool = False, slice_rows: int = 50_000) -> DataFrame:
     """Adds ``Upto_<column>``: the total of all rows up to and including this one in
-    the order of a numeric column with distinct values.
+    the order of a column with distinct values.
 
-    The order column is cut into slices of like size; each slice runs its own
-    window, starting from the totals of the slices before it. There is one slice per
-    ``slice_rows`` rows, so a slice does not grow with the table.
+    Rows are numbered by that order and cut into slices of ``slice_rows``; each slice runs
+    its own window and starts from the totals of the slices before it, which are one row
+    per slice. Nothing but one count per partition reaches the driver.
     """
-    slices = max(2, -(-df.count() // slice_rows))
-    edges = df.select(F.percentile_approx(
-        F.col(order).cast("double"), [i / slices for i in range(1, slices)], max(10_000, 10 * slices))).first()[0] or []
-    splits = [float("-inf"), *sorted(set(edges)), float("inf")]
-    sliced = Bucketizer(splits=splits, inputCol="_x", outputCol="_slice").transform(
-        df.withColumn("_x", F.col(order).cast("double")))
-    totals = {r["_slice"]: r for r in sliced.groupBy("_slice").agg(
-        *[F.sum(c).alias(c) for c in columns]).collect()}
-    places = range(len(splits) - 1)
-    start = {c: [0] * len(places) for c in columns}
-    for c in columns:
-        so_far = 0
-        for i in (reversed(places) if descending else places):
-            start[c][i] = so_far
-            so_far += totals[i][c] if i in totals else 0
-    sort = F.desc("_x") if descending else F.asc("_x")
-    window = Window.partitionBy("_slice").orderBy(sort).rowsBetween(Window.unboundedPreceding, 0)
-    before = lambda c: F.element_at(F.lit(start[c]), F.col("_slice").cast("int") + 1)
-    return sliced.withColumns({
-        f"Upto_{c}": F.sum(c).over(window) + before(c) for c in columns
-    }).drop("_x", "_slice")
+    numbered = number_rows(df, [F.desc(order) if descending else F.asc(order)], "_number")
+    sliced = numbered.withColumn("_slice", F.floor(F.col("_number") / slice_rows))
+    earlier = Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    slices = sliced.groupBy(F.col("_slice").alias("_of")).agg(*[F.sum(c).alias(f"_{c}") for c in columns]).select(
+        "_of", *[F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)).alias(f"_{c}") for c in columns])
+    inside = Window.partitionBy("_slice").orderBy("_number").rowsBetween(Window.unboundedPreceding, 0)
+    upto = sliced.withColumns({f"Upto_{c}": F.sum(c).over(inside) for c in columns})
+    joined = upto.join(slices, F.col("_slice") == F.col("_of"))
+    return joined.withColumns({f"Upto_{c}": F.col(f"Upto_{c}") + F.col(f"_{c}") for c in columns}).drop(
+        "_number", "_slice", "_of", *[f"_{c}" for c in columns])

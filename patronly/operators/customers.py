@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..constants import HOUR_LABELS, SHIP_LABELS
+from ..constants import FIRST_SHIPPED_COLUMNS, HOUR_LABELS, SHIP_LABELS
 from ..functions.columns import as_int, whole_days
 from ..functions.skew import row_order
 from .orders import month_edge_flags_of, season_flags_of, shipping_binary, work_flags_of
@@ -76,14 +76,6 @@ def first_order_values(orders: DataFrame) -> DataFrame:
         F.min_by(c, F.when(F.col(c).isNotNull(), row_order())).alias(c) for c in columns])
 
 
-FIRST_SHIPPED_COLUMNS = [
-    "HourOfDay", "DayOfWeek", "Month", "DayOfMonth", "PromoCodeDiscount", "ShippingType",
-    "AvgItemQuantity", "HourCategory", "WorkHours", "Workday", "FirstWeek", "LastWeek", "Holiday",
-    "Summer", "ElectionSeason", "PresidentialElection", "RushFeeAndShipPrice",
-    "OrderContainsSticker", "OrderContainsLabel",
-]
-
-
 def first_shipped_order(order_features: DataFrame) -> DataFrame:
     """Per customer the whole row of the order that shipped first."""
     window = Window.partitionBy("CustomerId").orderBy(

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import (
-    AFFILIATE, FREE_SHIPPING_AT, PRODUCT_WORDS, SAMPLE_WORD, TWO_DAY_PRICE,
+    AFFILIATE, EDGE_DAYS, FREE_SHIPPING_AT, HOUR_RANGES, PRODUCT_WORDS, SAMPLE_WORD, SEASONS, TWO_DAY_PRICE,
+    WORK_HOURS, WORKDAYS,
 )
 from ..functions.columns import hours_between, true_or_false
 from ..functions.skew import salted_join
@@ -65,10 +66,10 @@ def orders_with_rollup(orders: DataFrame, rollup: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- time
 def hour_category_of(hour: Column) -> Column:
-    return (
-        F.when(hour.between(5, 11), "Morning").when(hour.between(12, 16), "Afternoon")
-        .when(hour.between(17, 23), "Evening").otherwise("EarlyMorning")
-    )
+    named = F
+    for label, ends in HOUR_RANGES.items():
+        named = named.when(hour.between(*ends), label)
+    return named.otherwise("EarlyMorning")
 
 
 def calendar_of(placed) -> dict[str, Column]:
@@ -81,9 +82,9 @@ def calendar_of(placed) -> dict[str, Column]:
 
 def work_flags_of(placed) -> dict[str, Column]:
     part = calendar_of(placed)
-    workday = true_or_false(part["DayOfWeek"] < 5)
+    workday = true_or_false(part["DayOfWeek"] < WORKDAYS)
     return {
-        "WorkHours": true_or_false(part["HourOfDay"].between(8, 17)) & workday,
+        "WorkHours": true_or_false(part["HourOfDay"].between(*WORK_HOURS)) & workday,
         "Workday": workday,
     }
 
@@ -92,20 +93,15 @@ def month_edge_flags_of(placed) -> dict[str, Column]:
     placed = F.col(placed) if isinstance(placed, str) else placed
     day = F.day(placed)
     return {
-        "FirstWeek": true_or_false(day <= 7),
-        "LastWeek": true_or_false(F.day(F.last_day(placed)) - day < 7),
+        "FirstWeek": true_or_false(day <= EDGE_DAYS),
+        "LastWeek": true_or_false(F.day(F.last_day(placed)) - day < EDGE_DAYS),
     }
 
 
 def season_flags_of(placed) -> dict[str, Column]:
     placed = F.col(placed) if isinstance(placed, str) else placed
     month, year = F.month(placed), F.year(placed)
-    return {
-        "Holiday": true_or_false(month.isin(11, 12)),
-        "Summer": true_or_false(month.isin(5, 6, 7, 8)),
-        "ElectionSeason": true_or_false(month.isin(9, 10) & (year % 2 == 0)),
-        "PresidentialElection": true_or_false(month.isin(8, 9, 10) & (year % 4 == 0)),
-    }
+    return {name: true_or_false(month.isin(*months) & (year % every == 0)) for name, (months, every) in SEASONS.items()}
 
 
 def calendar_parts(orders: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ ADAPTIVE = {
 }
 
 # What goes to a Python worker at once: whole texts may be long, workers small.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 _SHIPPED: set[str] = set()  # applications that have the package

@@ -527,14 +527,96 @@ _COMPLETE = "from cluster_data where " + " and ".join(f"{c} is not null" for c i
 add("check_cross_validate", _check_folds,
     f"select 5::bigint as folds, count(*)::bigint as rows, count(*) filter (LikelyChurned) as positives, true as even_positives, true as even_negatives, "
     f"true as better_than_chance, true as mean_right {_COMPLETE}")
-add("predict_report", lambda s: flows.predict_classifier(
-    fe.predict_dataset("LikelyChurned", s.stored_summary, fq._sample_only(s)), "LikelyChurned", trees=TREES)["report"])
+
+
+def _predict_report(s):
+    return _once(s, "predict report", lambda: materialize(flows.predict_classifier(
+        fe.predict_dataset("LikelyChurned", s.stored_summary, fq._sample_only(s)), "LikelyChurned", trees=TREES)["report"]))
+
+
+add("predict_report", _predict_report)
 add("predict_report_one_and_done", lambda s: flows.predict_classifier(
     fe.predict_dataset("OneAndDone", fq._last_one(s)), "OneAndDone", trees=TREES)["report"])
 add("predict_importance_two_and_churned", lambda s: flows.predict_classifier(
     fe.predict_dataset("TwoAndChurned", fq._first_two(s), fq._sample_only(s)), "TwoAndChurned", trees=TREES)["importance"])
 
 
+
+# ---------------------------------------------------------------- checks of tables that describe models
+def _totals(table, size, done, value=None):
+    """Rows, one-and-done customers and value, put together again from a table of groups."""
+    found = [F.sum(size).cast("long").alias("rows"), F.round(F.sum(F.col(size) * F.col(done))).cast("long").alias("done")]
+    return table.agg(*found, *([F.sum(value).alias("value")] if value else []))
+
+
+_PROTO = "proto_data join (select CustomerId, OneAndDone from first_summary) using (CustomerId)"
+_TOTALS = "select count(*) as rows, count(*) filter (OneAndDone) as done, sum(AvgOrderItemTotal) as value from {}"
+add("check_decision_tree_leaves", lambda s: _totals(rp.leaf_summary(_tree(s)), "LeafSize", "PctOneAndDone", "LeafValue"),
+    _TOTALS.format("tree_data"), "value")
+add("check_hierarchical_values", lambda s: _totals(rp.cluster_value_summary(
+        materialize(s.prototype_table).join(_hierarchy(s), "CustomerId")), "ClusterSize", "PctOneAndDone", "ClusterValue"),
+    _TOTALS.format(_PROTO), "value")
+
+
+def _check_cluster_churn(s):
+    rows = materialize(_prototypes(s))
+    shares = rp.churn_by_cluster(rows).join(rp.cluster_sizes(rows), "Cluster")
+    return _totals(shares, "Size", "ShareTrue").crossJoin(shares.agg(
+        F.count_if(F.abs(F.col("ShareTrue") + F.col("ShareFalse") - 1) > 1e-9).alias("not_whole"), (F.count("*") <= 4).alias("few")))
+
+
+add("check_kprototypes_churn", _check_cluster_churn,
+    f"select count(*) as rows, count(*) filter (OneAndDone) as done, 0::bigint as not_whole, true as few from {_PROTO}")
+
+
+def _check_value_bins(s):
+    """Every clustered row with a known value is in one bin, and a cluster's shares are whole."""
+    rows = materialize(_first_order_prototypes(s))
+    bins = rp.crosstab_share(rp.with_bucket(rows, "ValueBin", "AvgOrderValue", k.ORDER_VALUE_EDGES, k.ORDER_VALUE_LABELS,
+                                            include_lowest=False), "Cluster", "ValueBin")
+    shares = bins.groupBy("Cluster").agg(F.sum("Share").alias("whole"), F.sum("N").alias("n"))
+    known = rows.filter("AvgOrderValue > 0").count()
+    return shares.agg(F.count_if(F.abs(F.col("whole") - 1) > 1e-9).alias("not_whole"), (F.sum("n") - F.lit(known)).cast("long").alias("missing"),
+                      (F.count("*") <= 4).alias("few"))
+
+
+add("check_kprototypes_value_bins", _check_value_bins, "select 0::bigint as not_whole, 0::bigint as missing, true as few")
+
+
+def _check_warning_components(s):
+    table = mo.pca_by_variance(*_warning_rows(s), 1.0)[1]
+    falls = F.count_if(F.col("Ratio") > F.col("_before") + 1e-12).alias("rises")
+    from pyspark.sql import Window
+    ordered = table.withColumn("_before", F.lag("Ratio").over(Window.orderBy("Component")))  # one row per component
+    return ordered.agg(F.count("*").alias("components"), (F.abs(F.sum("Ratio") - 1) < 1e-9).alias("whole"), falls)
+
+
+add("check_warning_components", _check_warning_components, "select 4::bigint as components, true as whole, 0::bigint as rises")
+
+
+add("check_shap_summary", lambda s: ab.shap_summary(_shap(s), flows.CLUSTER_FEATURES).alias("m").join(
+        _interactions(s).groupBy("CustomerId", "Feature").agg(F.sum("Interaction").alias("a")).groupBy(F.col("Feature").alias("_f")).agg(
+            F.avg(F.abs("a")).alias("_m")), F.col("Feature") == F.col("_f")).agg(
+        F.count("*").alias("features"), F.count_if(F.abs(F.col("MeanAbs") - F.col("_m")) > 1e-9).alias("wrong")),
+    "select 4::bigint as features, 0::bigint as wrong")
+
+
+def _check_predict_report(s):
+    """Supports are the sizes of the stratified test part; a weighted recall is the accuracy."""
+    rows = {r["class"]: r for r in _predict_report(s).collect()}
+    return _one(s, negatives=rows["0"]["support"], positives=rows["1"]["support"],
+                whole=bool(rows["accuracy"]["support"] == rows["0"]["support"] + rows["1"]["support"]),
+                recall_is_accuracy=bool(abs(rows["weighted avg"]["recall"] - rows["accuracy"]["f1"]) < 1e-9)).select(
+        F.col("negatives").cast("long").alias("negatives"), F.col("positives").cast("long").alias("positives"), "whole", "recall_is_accuracy")
+
+
+_PREDICTED = """(select LikelyChurned from summary join sample_only using (CustomerId)
+    where TotalOrders >= 2 and AvgOrderItemTotal is not null and AvgPromoDiscount is not null and PctNormalShipping is not null)"""
+add("check_predict_report", _check_predict_report, f"""
+select ceil(0.2::double * (count(*) filter (not LikelyChurned) - 1))::bigint as negatives,
+  ceil(0.2::double * (count(*) filter (LikelyChurned) - 1))::bigint as positives, true as whole, true as recall_is_accuracy from {_PREDICTED}""")
+
+
 # ---------------------------------------------------------------- streams
 def streamed(s, build, slices=4, delay_days=20, keep_clock=st.LATENESS):
     """Store the order features as they might arrive - each order up to ``delay_days`` late,

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .text import mix
+from .text import mix, tidy
 
 UNKNOWN = "und"
 PIECE = 1 << 16  # characters scored at once; longer texts are summed piece by piece
@@ -138,7 +138,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", si
         sums.clear()
         texts.clear()
 
-    sums = (rows.mapInPandas(count, "label string, bucket int, n long")
+    sums = (rows.mapInPandas(tidy(count), "label string, bucket int, n long")
             .groupBy("label", "bucket").agg(F.sum("n").alias("n"))
             .groupBy("label").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("counts")).orderBy("label"))
     spark, names, blocks, matrix, priors = labelled.sparkSession, [], [], [], []
@@ -193,7 +193,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
         return score
 
     for number, table in enumerate(model.blocks):
-        rows = rows.mapInPandas(scorer(number, table), rows.schema)
+        rows = rows.mapInPandas(tidy(scorer(number, table)), rows.schema)
     names = F.array(*[F.lit(n) for n in model.names]) if model.names else F.lit(None).cast("array<string>")
     found = F.col("_best") >= 0
     return rows.select(

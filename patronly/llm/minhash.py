@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.numbering import number_rows
 from ..session import materialize
 from .graph import components
-from .text import BASES, mix, span_hashes, window_hashes, word_hashes
+from .text import BASES, mix, span_hashes, tidy, window_hashes, word_hashes
 
 SHINGLE = 5
 CHUNK = 1 << 18  # shingles of documents whose signatures are computed together
@@ -117,7 +117,7 @@ def _signature_table(docs: DataFrame, kind: str, bands: int, rows: int) -> DataF
                         sketch[i], keys[i] = low[at].tobytes(), key[at].view(np.int64)
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "digest": digest, "sketch": sketch, "bands": keys})
 
-    return materialize(docs.mapInPandas(compute, f"doc_id {kind}, digest binary, sketch binary, bands array<long>"))
+    return materialize(docs.mapInPandas(tidy(compute), f"doc_id {kind}, digest binary, sketch binary, bands array<long>"))
 
 
 def _promising(pairs: DataFrame, sketches: DataFrame, kind: str, least: float) -> DataFrame:
@@ -151,7 +151,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, kind: str, threshold: float) -
                 good.append(probability_jaccard(shingles(x), kept) >= threshold)
             yield batch.loc[good, ["a", "b"]]
 
-    return joined.select("a", "b", "text_a", "text_b").mapInPandas(verify, f"a {kind}, b {kind}")
+    return joined.select("a", "b", "text_a", "text_b").mapInPandas(tidy(verify), f"a {kind}, b {kind}")
 
 
 def _linked_in_block(sets: list, roots: np.ndarray, allowed: np.ndarray, threshold: float) -> list[tuple[int, int]]:
@@ -246,7 +246,7 @@ def _crossing_links(members: DataFrame, texts: DataFrame, kind: str, threshold:
             yield pd.DataFrame(compare(rest), columns=["a", "b"])
 
     ordered = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return ordered.mapInPandas(run, f"a {kind}, b {kind}")
+    return ordered.mapInPandas(tidy(run), f"a {kind}, b {kind}")
 
 
 def words_digest(text_col: str):

@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
+from .text import tidy
+
 MARK = "▁"  # stands for a space inside pieces
 GROUP_BYTES = 4 << 20  # of texts encoded together
 JOINED = 100           # short segments encoded as one text
@@ -315,7 +317,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str,
             done = pa.Table.from_arrays([*kept, lists, pa.array(np.diff(starts)), pa.array(same), pa.array(back)], names=out.names)
             yield from done.to_batches(max_chunksize=ROWS_OUT)
 
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(tidy(run), out)
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
-from .text import BASES, window_hashes, word_hashes
+from .text import BASES, tidy, window_hashes, word_hashes
 
 
 def smallest_in_runs(values: np.ndarray, size: int) -> np.ndarray:
@@ -50,7 +50,7 @@ def _seed_table(docs: DataFrame, kind: str, window: int, gram: int) -> DataFrame
                 out.append((len(words), _digest(words), anchors))
             yield pd.DataFrame(out, columns=["n_words", "digest", "anchors"]).assign(doc_id=batch["doc_id"].to_numpy())
 
-    return materialize(docs.mapInPandas(seeds, f"n_words long, digest binary, anchors array<long>, doc_id {kind}"))
+    return materialize(docs.mapInPandas(tidy(seeds), f"n_words long, digest binary, anchors array<long>, doc_id {kind}"))
 
 
 def _seeded_texts(docs: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -81,7 +81,7 @@ def _candidate_windows(texts: DataFrame, kind: str, window: int, gram: int) -> D
                         "second": (window_hashes(words, window, BASES[1])[at] >> np.uint64(33)).astype("int32"),
                         "doc_id": doc_id, "key": _key(_digest(data.split())), "at": at.astype("int32")})
 
-    return texts.mapInPandas(extend, f"first long, second int, doc_id {kind}, key int, at int")
+    return texts.mapInPandas(tidy(extend), f"first long, second int, doc_id {kind}, key int, at int")
 
 
 def _key(digest: bytes) -> np.int32:
@@ -143,7 +143,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             done = pd.DataFrame(out, columns=["removed", "kept", "kept_text", "_digest"])
             yield done.assign(_id=batch["doc_id"].to_numpy())
 
-    changed = cut.mapInPandas(remove, f"removed long, kept binary, kept_text string, _digest binary, _id {kind}").filter("removed is not null")
+    changed = cut.mapInPandas(tidy(remove), f"removed long, kept binary, kept_text string, _digest binary, _id {kind}").filter("removed is not null")
     changed = changed.dropDuplicates(["_id", "_digest"])  # repeated rows of one id
     first = seeds.filter("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("owner"))
     first = first.select(F.col("digest").alias("_first"), "owner")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
-from .text import labels_of
+from .text import labels_of, tidy
 
 # Identity terms by group; the first of a group is its neutral word.
 IDENTITY_TERMS = {
@@ -161,7 +161,7 @@ def fit(labelled: DataFrame, terms: dict[str, list[str]] = IDENTITY_TERMS, fairn
             yield pd.DataFrame({"label": batch["label"], "weight": batch["weight"], "known": found})
 
     rows = (labelled.select("label", "weight", features(words_in(F.col("text"))).alias("f"))
-            .mapInPandas(known, "label int, weight double, known binary").collect())
+            .mapInPandas(tidy(known), "label int, weight double, known binary").collect())
     label = np.array([r["label"] for r in rows], float)
     if not 0 < label.sum() < len(label):
         return None
@@ -189,7 +189,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
             yield batch.drop(columns="_known").assign(score=1 / (1 + np.exp(-z)))
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_known")
-    return rows.mapInPandas(score, f"{kinds}, score double")
+    return rows.mapInPandas(tidy(score), f"{kinds}, score double")
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text",

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import churn as ch, reports as rp, sketches as sk, timelines as tl
 from ..session import materialize
-from ..streaming import state as st, windows as sw
+from ..streaming import windows as sw
 from . import oracle_views as v
 from .entries import add
 from .model_queries import streamed

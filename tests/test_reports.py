@@ -91,6 +91,15 @@ def test_salted_join_equals_join(spark):
     assert small_or_self(fact, 10) is fact and small_or_self(dim, 10) is not dim
 
 
+def test_salted_join_does_not_broadcast_the_repeated_dimension(spark):
+    """Spark takes the 16-fold dimension for as small as the dimension itself."""
+    fact, dim = spark.range(300).selectExpr("id as i", "id % 40 as k"), spark.range(50).selectExpr("id", "id * 2 as name")
+    salted, plain = salted_join(fact, dim, "k", "id", max_rows=40), fact.join(dim, F.col("k") == F.col("id"), "left")
+    plan = salted._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert rows(salted, *plain.columns) == rows(plain, *plain.columns)
+
+
 def test_attribution_ids_and_modes(spark, order_rows):
     analytics = spark.createDataFrame(
         [("1", "cpc", "google", "7.0"), ("1", "email", None, None), ("1", "email", None, None), ("n/a", "cpc", "bing", "8")],

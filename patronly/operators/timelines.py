@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.quantiles import running_totals
+
 SLICE = "HOUR"   # unit of time in which one key's rows may meet in a task
 DAY_MICROS = 86_400_000_000
 
@@ -100,10 +102,44 @@ def in_windows(rows: DataFrame, windows: DataFrame, time: str, start: str, end:
     return met.filter(F.col(time).between(F.col(start), F.col(end))).drop("_own", "_bucket")
 
 
+def _blocks_of(lo: Column, hi: Column, levels: int) -> Column:
+    """The blocks of 2^level pieces that make up the pieces lo to hi - 1: at most two a level."""
+    blocks = []
+    for level in range(levels):
+        first, after = F.shiftright(lo + F.lit((1 << level) - 1), level), F.shiftright(hi, level)
+        taken = lambda edge, block: F.when(
+            (first < after) & (edge % 2 == 1), F.struct(F.lit(level).alias("level"), block.alias("block")))
+        blocks += [taken(first, first), taken(after, after - 1)]
+    return F.array_compact(F.array(*blocks))
+
+
 def window_totals(rows: DataFrame, windows: DataFrame, time: str, start: str, end: str, window_id: str, amount: str) -> DataFrame:
-    """Per window: rows inside and their amount; windows without any row have zeros."""
-    inside = in_windows(rows.select(time, amount), windows.select(window_id, start, end), time, start, end)
-    sums = inside.groupBy(F.col(window_id).alias("_id")).agg(F.count("*").alias("Rows"), F.sum(amount).alias("Amount"))
+    """Per window: rows inside and their amount; windows without any row have zeros.
+
+    The windows' ends cut time into pieces. A row falls into one piece and a window is a run
+    of pieces, so totals go up from pieces to blocks of 2, 4, 8, ... pieces, of which a window
+    adds up at most two of each size. Rows and windows are never paired, and no total is
+    subtracted from another.
+    """
+    good = windows.filter(F.col(start) <= F.col(end)).select(
+        window_id, F.unix_micros(start).alias("_from"), (F.unix_micros(end) + 1).alias("_until"))
+    times = rows.filter(F.col(time).isNotNull()).groupBy(F.unix_micros(time).alias("_at")).agg(
+        F.count("*").alias("_rows"), F.sum(amount).alias("_amount"))
+    cuts = good.select(F.explode(F.array("_from", "_until")).alias("_at")).withColumn("_cut", F.lit(1))
+    marks = times.unionByName(cuts, allowMissingColumns=True).groupBy("_at").agg(
+        F.sum("_rows").alias("_rows"), F.sum("_amount").alias("_amount"), F.coalesce(F.max("_cut"), F.lit(0)).alias("_cut"))
+    placed = running_totals(marks, "_at", ["_cut"]).withColumnRenamed("Upto__cut", "_piece")
+    levels = max(1, (placed.agg(F.max("_piece")).first()[0] or 0).bit_length())
+
+    pieces = placed.filter(F.col("_rows") > 0).groupBy("_piece").agg(F.sum("_rows").alias("_rows"), F.sum("_amount").alias("_amount"))
+    blocks = pieces.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).groupBy(
+        "level", F.expr("shiftright(_piece, level)").alias("block")).agg(F.sum("_rows").alias("_rows"), F.sum("_amount").alias("_amount"))
+    number = lambda at, name: placed.filter("_cut = 1").select(F.col("_at").alias(at), F.col("_piece").alias(name))
+    needed = good.join(number("_from", "_lo"), "_from").join(number("_until", "_hi"), "_until").select(
+        window_id, F.explode(_blocks_of(F.col("_lo"), F.col("_hi"), levels)).alias("_b")).select(window_id, "_b.*")
+    # Spark's size estimate leaves the exploded blocks out, so no side may become a broadcast.
+    sums = needed.hint("merge").join(blocks.hint("merge"), ["level", "block"]).groupBy(F.col(window_id).alias("_id")).agg(
+        F.sum("_rows").alias("Rows"), F.sum("_amount").alias("Amount"))
     return windows.join(sums, F.col(window_id) == F.col("_id"), "left").select(
         window_id, start, end, F.coalesce("Rows", F.lit(0)).cast("long").alias("Rows"), F.coalesce("Amount", F.lit(0.0)).alias("Amount"))
 

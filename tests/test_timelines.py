@@ -59,6 +59,50 @@ def test_in_windows(spark, days):
     assert {r["w"]: r["Rows"] for r in totals.collect()} == {w: sum(1 for _, x in expected if x == w) for w, _, _ in spans}
 
 
+def test_window_totals_never_pair_rows_with_windows(spark):
+    """Odd ends, equal ends, repeated and missing ids, missing amounts; rows just inside and outside an end."""
+    rng, tick = random.Random(5), timedelta(microseconds=1)
+    spans = [(i % 50 if i % 9 else None, START + timedelta(seconds=a), None if i % 20 == 7 else START + timedelta(seconds=a + rng.choice([-1, 0, 0, 7, 90, 2000])))
+             for i, a in ((i, rng.randrange(0, 2000, 10)) for i in range(90))]
+    ends = [t for _, *both in spans for t in both if t]
+    points = [(rng.choice(ends) + rng.choice([-tick, 0 * tick, tick]), rng.choice([None, 0.25, 8.0, -3.5])) for _ in range(400)]
+    points += [(None, 1.0), (START - timedelta(days=9), 1.0), (START + timedelta(days=9), 1.0)]
+    windows, table = spark.createDataFrame(spans, "w long, s timestamp, e timestamp"), spark.createDataFrame(points, "t timestamp, x double")
+    found = tl.window_totals(table, windows, "t", "s", "e", "w", "x")
+    inside = lambda w: [x for v, s, e in spans if None not in (w, e) and v == w for t, x in points if t and s <= t <= e]
+    expected = [(w, s, e, len(inside(w)), sum((x for x in inside(w) if x is not None), 0.0)) for w, s, e in spans]
+    assert rows(found, "w", "s", "e", "Rows", "Amount") == sorted(expected, key=repr)
+    for none in (tl.window_totals(table, windows.limit(0), "t", "s", "e", "w", "x"), tl.window_totals(table.limit(0), windows, "t", "s", "e", "w", "x")):
+        assert none.filter("Rows > 0").count() == 0
+
+
+def test_window_totals_pass_no_row_window_pairs(spark):
+    """1,000 rows at one time inside 300 equal windows are 300,000 pairs; no operator may see as many rows."""
+    windows = spark.range(300).select(F.col("id").alias("w"), F.lit(START).alias("s"), F.lit(START + timedelta(days=1)).alias("e"))
+    table = spark.range(1000).select(F.lit(START).alias("t"), F.lit(1.0).alias("x"))
+    found = tl.window_totals(table, windows, "t", "s", "e", "w", "x")
+    assert {(r["Rows"], r["Amount"]) for r in found.collect()} == {(1000, 1000.0)}
+    assert most_rows(found) < 10_000
+
+
+def most_rows(df):
+    """Most rows that any operator of a collected table's final plan put out."""
+    def walk(plan):
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            yield from walk(plan.executedPlan())
+            return
+        if name.endswith("QueryStageExec"):
+            yield from walk(plan.plan())
+        found = plan.metrics().get("numOutputRows")
+        if found.isDefined():
+            yield found.get().value()
+        children = plan.children()
+        for i in range(children.size()):
+            yield from walk(children.apply(i))
+    return max(walk(df._jdf.queryExecution().executedPlan()))
+
+
 def test_visits(spark, moved):
     _, events = moved
     pause, starts = timedelta(hours=2), {}

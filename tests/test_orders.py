@@ -1,7 +1,10 @@
 """Traps of the order features on hand-made rows."""
 
+from datetime import datetime
+
 from patronly.operators import cleaning, orders as od
 from patronly.schemas import SCHEMAS
+from patronly.sources import shop_views as views
 from patronly.sources.tables import conform, nan_to_null, read_tables, write_tables
 from conftest import rows
 
@@ -92,3 +95,16 @@ def test_sample_is_exact_and_repeatable(spark):
     first = rows(cleaning.sample_n(df, 300), "CustomerId")
     assert len(first) == 300 and first == rows(cleaning.sample_n(df.repartition(7), 300), "CustomerId")
     assert cleaning.sample_n(df, 6000).count() == 5000
+
+
+def test_ship_dates_are_not_broadcast(spark, tmp_path):
+    """Compressed files hide how many orders have ship dates, so the join may not follow their size."""
+    placed = ["id as o_orderkey", "id as o_custkey", "'1-URGENT' as o_orderpriority", "date'2020-01-01' as o_orderdate",
+              "500.0D as o_totalprice"]
+    spark.range(1, 5).selectExpr(*placed).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.sql("select * from values (1L, date'2020-01-02'), (1L, date'2020-01-04'), (2L, null), (9L, date'2020-01-03')"
+              " as t(l_orderkey, l_shipdate)").write.parquet(str(tmp_path / "lineitem.parquet"))
+    raw = views.shop_table(spark, str(tmp_path), "raw_order")
+    plan = raw._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert rows(raw, "OrderNumber", "ShippedDateTime") == [(1, datetime(2020, 1, 4, 20)), (2, None), (3, None), (4, None)]

@@ -407,7 +407,8 @@ def _check_interactions(s):
     single = values.select(F.col("CustomerId").alias("_c"), F.explode(F.array(*[
         F.struct(F.lit(f).alias("f"), F.col(f"Attr_{f}").alias("a")) for f in flows.CLUSTER_FEATURES])).alias("v")).select("_c", "v.*")
     whole = found.groupBy("CustomerId", "Feature").agg(F.sum("Interaction").alias("n"))
-    sums = whole.join(single, (F.col("CustomerId") == F.col("_c")) & (F.col("Feature") == F.col("f")))
+    # Spark's size estimate leaves the exploded rows out, so they may not become a broadcast.
+    sums = whole.join(single.hint("merge"), (F.col("CustomerId") == F.col("_c")) & (F.col("Feature") == F.col("f")))
     pair = found.groupBy("CustomerId", F.least("Feature", "Other").alias("a"), F.greatest("Feature", "Other").alias("b")).agg(
         (F.max("Interaction") - F.min("Interaction")).alias("gap"))
     return sums.agg(F.count("*").alias("rows"), F.count_if(F.abs(F.col("n") - F.col("a")) > 1e-9).alias("not_additive")).crossJoin(

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from patronly.catalog import model_queries as mq
 from patronly.functions import sums
 from patronly.operators import attributions as ab, boosting as bo, metrics as me, models as mo
 
@@ -142,3 +143,19 @@ def test_interactions_equal_their_definition(table):
     partners = {r["Feature"]: r["Partner"] for r in ab.interaction_partners(ab.shap_interactions(model, table, background, FEATURES)).collect()}
     assert partners["x"] == "y" and partners["y"] == "x"
     assert me.roc_auc(mo.score(model, table, FEATURES, "churned")).first()[0] > 0.8
+
+
+def test_check_of_interactions_does_not_broadcast_exploded_rows(spark, monkeypatch):
+    """One row per customer and feature grows with the customers, whatever Spark estimates."""
+    names = mq.flows.CLUSTER_FEATURES
+    values = spark.range(20).selectExpr("id as CustomerId", *[f"{i} * 0.5D as Attr_{f}" for i, f in enumerate(names)])
+    cells = spark.createDataFrame([(f, o, i * 0.5 if f == o else 0.0) for i, f in enumerate(names) for o in names],
+                                  "Feature string, Other string, Interaction double")
+    found = spark.range(20).withColumnRenamed("id", "CustomerId").crossJoin(cells)
+    monkeypatch.setattr(mq, "_regularised", lambda s: (None, None, None))
+    monkeypatch.setattr(mq, "_interactions", lambda s: found)
+    monkeypatch.setattr(mq.ab, "shap_values", lambda *given: values)
+    check = mq._check_interactions(None)
+    plan = check._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert tuple(check.first()) == (20 * len(names), 0, 0, len(names) * (len(names) + 1) // 2)

@@ -195,3 +195,21 @@ def test_build_stores_every_table(spark, order_rows, tmp_path):
                           "customer_summary_first_2_orders", "customer_summary_last_order", "product_type_df"}
     assert spark.read.parquet(paths["product_type_df"]).count() == 1
     assert rows(spark.read.parquet(paths["customer_summary_first_order"]), "CustomerId", "TotalOrders") == [(1, 1), (2, 1)]
+
+
+def test_session_table_does_not_broadcast_its_customers(spark, order_rows):
+    """One row per customer grows with the customers, whatever Spark estimates."""
+    from patronly.constants import SESSION_ATTRIBUTES
+    from patronly.plans import flows
+
+    summary = spark.range(1, 4).selectExpr(
+        "id as CustomerId", "id = 1 as OneAndDone", "id * 0.5D as PctWorkday", "timestamp '2020-01-01' as FirstOrderDate",
+        "1.0D as PctOrdersWithLabel")
+    clean = order_rows(dict(CustomerId=1), dict(CustomerId=2), dict(CustomerId=2, PlacedDateTime="2020-02-01 10:00:00"))
+    events = spark.createDataFrame([("1", *["a"] * len(SESSION_ATTRIBUTES)), ("2", *["b"] * len(SESSION_ATTRIBUTES)), ("3", *["c"] * len(SESSION_ATTRIBUTES))],
+                                   ", ".join(f"{c} string" for c in ["param_transaction_id", *SESSION_ATTRIBUTES]))
+    table = flows.session_table(summary, clean, events, "1999-01-01", {"PctOrdersWithLabel": 1.0})
+    table = table.filter(F.col("device_category").isNotNull())  # as encoding the labels reads it, which makes the join an inner one
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [CustomerId" not in plan and "SortMergeJoin [CustomerId" in plan
+    assert rows(table, "CustomerId", "OneAndDone", "traffic_source_medium") == [(1, True, "a"), (2, False, "b")]

@@ -213,3 +213,6 @@ def test_session_table_does_not_broadcast_its_customers(spark, order_rows):
     plan = table._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin [CustomerId" not in plan and "SortMergeJoin [CustomerId" in plan
     assert rows(table, "CustomerId", "OneAndDone", "traffic_source_medium") == [(1, True, "a"), (2, False, "b")]
+    table.collect()
+    plan = table._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]  # as changed while it ran
+    assert "SortMergeJoin [OrderNumber_str" in plan and "BroadcastHashJoin" not in plan

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .batches import ROWS
 from .numbering import number_rows
 from .skew import small_or_self
 
@@ -44,16 +49,11 @@ def exact_quantiles(df: DataFrame, columns: dict[str, list[float]], by=(),
                  end(2 * i + 2, "most").alias("high"))
         for i, p in enumerate(probs)
     ]))).select(*by, "feature", "n", "b.*").filter(F.array_contains(wanted, F.col("p")))
-    # One row per group, column and probability: groups are categories.
-    brackets = small_or_self(brackets)
-
     keys = [*by, "feature", "p", "n"]
-    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*by, "feature"]]
-    bounded = long.alias("l").join(brackets.alias("r"), on, "inner").select(
-        *[F.col(f"r.{k}") for k in keys], "low", "high", "value").filter(F.col("value") <= F.col("high"))
-    # Values below the bracket collapse into one row (value null) per key.
-    inside = F.when(F.col("value") >= F.col("low"), F.col("value"))
-    counts = bounded.groupBy(*keys, inside.alias("value")).agg(F.count(F.lit(1)).alias("c"))
+    if by:
+        counts = _joined_counts(long, brackets, by)
+    else:
+        counts = _searched_counts(df, brackets.orderBy("feature", "p").collect())
     order = Window.partitionBy(*keys).orderBy(F.col("value").asc_nulls_first())
     upto = F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0))
     place = F.col("p") * (F.col("n") - 1)
@@ -69,6 +69,62 @@ def exact_quantiles(df: DataFrame, columns: dict[str, list[float]], by=(),
         F.when(held, F.col("lo") + (F.col("hi") - F.col("lo")) * (place - floor)).otherwise(missed).alias("quantile"))
 
 
+def _joined_counts(long: DataFrame, brackets: DataFrame, by: list[str]) -> DataFrame:
+    """How often each distinct value inside a bracket occurs, and one row (value null) for
+    all below it."""
+    # One row per group, column and probability: groups are categories.
+    brackets = small_or_self(brackets)
+    keys = [*by, "feature", "p", "n"]
+    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*by, "feature"]]
+    bounded = long.alias("l").join(brackets.alias("r"), on, "inner").select(
+        *[F.col(f"r.{k}") for k in keys], "low", "high", "value").filter(F.col("value") <= F.col("high"))
+    # Values below the bracket collapse into one row (value null) per key.
+    inside = F.when(F.col("value") >= F.col("low"), F.col("value"))
+    return bounded.groupBy(*keys, inside.alias("value")).agg(F.count(F.lit(1)).alias("c"))
+
+
+def _searched_counts(df: DataFrame, brackets: list) -> DataFrame:
+    """The same for a whole table, whose brackets (by column and probability) the driver
+    knows: a value finds its brackets by binary search, so many ranks cost one pass without
+    a join, and a value that lies in many brackets moves as one row."""
+    features = sorted({r["feature"] for r in brackets})
+    place = {f: [i for i, r in enumerate(brackets) if r["feature"] == f] for f in features}
+    low, high = ({f: np.array([brackets[i][end] for i in place[f]]) for f in features} for end in ("low", "high"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        below = {f: np.zeros(len(place[f]) + 1, np.int64) for f in features}
+
+        def inside(some: list) -> pa.RecordBatch:
+            found = []
+            for f, column in zip(features, pa.Table.from_batches(some).columns):
+                value, n = np.unique(column.drop_null().to_numpy(), return_counts=True)
+                # The brackets from first to before last hold a value, those from last on lie above it.
+                first, last = np.searchsorted(high[f], value, "left"), np.searchsorted(low[f], value, "right")
+                np.add.at(below[f], last, n)
+                held = first < last
+                found.append((first[held] + place[f][0], last[held] + place[f][0], value[held], n[held]))
+            return pa.record_batch([np.concatenate(c) for c in zip(*found)], ["first", "last", "value", "c"])
+
+        kept, size = [], 0
+        for batch in batches:
+            kept.append(batch)
+            size += batch.num_rows
+            if size >= ROWS:
+                yield inside(kept)
+                kept, size = [], 0
+        if size:
+            yield inside(kept)
+        for f in features:
+            at = np.array(place[f])
+            yield pa.record_batch([at, at + 1, pa.nulls(len(at), pa.float64()), below[f].cumsum()[:-1]], ["first", "last", "value", "c"])
+
+    rows = df.select(*[F.col(f).cast("double").alias(f) for f in features])
+    counts = rows.mapInArrow(count, "first long, last long, value double, c long").groupBy("first", "last", "value").agg(F.sum("c").alias("c"))
+    named = lambda c, kind: F.lit([r[c] for r in brackets]).cast(f"array<{kind}>")[F.col("i").cast("int")].alias(c)
+    return counts.filter("c > 0").withColumn("i", F.explode(F.expr("sequence(first, last - 1)"))).select(
+        named("feature", "string"), named("p", "double"), named("n", "long"), "value", "c")
+
+
 def running_totals(df: DataFrame, order: str, columns: list[str],
                    descending: bool = False, slice_rows: int = 50_000) -> DataFrame:
     """Adds ``Upto_<column>``: the total of all rows up to and including this one in

@@ -8,12 +8,14 @@ needs one sum per node, feature and bin over all rows, and nothing else of them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.batches import joined_batches
 from ..functions.quantiles import exact_quantiles
 from ..functions.sums import summed
 from ..session import materialize
@@ -48,15 +50,16 @@ class Tree:
     def leaf_of(self, values: np.ndarray, at: list) -> np.ndarray:
         """The leaf of each row, for ``values`` (rows x features) and the matching limits
         ``at``: thresholds for raw values, bins for binned ones."""
-        node = np.zeros(len(values), np.int64)
-        feature, limit = np.array(self.feature), np.array(at)
-        left, right, rows = np.array(self.left), np.array(self.right), np.arange(len(values))
-        while True:
-            inner = feature[node] >= 0
-            if not inner.any():
-                return node
-            goes = values[rows, np.maximum(feature[node], 0)] <= limit[node]
-            node = np.where(inner, np.where(goes, left[node], right[node]), node)
+        leaf = np.zeros(len(values), np.int64)
+        todo = [(0, np.arange(len(values)))]
+        while todo:
+            node, rows = todo.pop()
+            if self.feature[node] < 0:
+                leaf[rows] = node
+                continue
+            low = values[:, self.feature[node]].take(rows) <= at[node]
+            todo += [(self.left[node], rows[low]), (self.right[node], rows[~low])]
+        return leaf
 
     def margins(self, values: np.ndarray, at: list) -> np.ndarray:
         return np.array(self.value)[self.leaf_of(values, at)]
@@ -135,20 +138,27 @@ class PenalisedModel:
             {n: F.col(f).cast("double") for n, f in zip(names, self.features)})
 
         @F.pandas_udf("double")
-        def margin(values: pd.DataFrame) -> pd.Series:
-            return pd.Series(model.value.margins(values.to_numpy(float)))
+        def margin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+            for values in joined_batches(batches):
+                yield pd.Series(model.value.margins(values.to_numpy(float)))
 
         scored = rows.withColumn("margin", margin(F.struct(*names)))
         return scored.withColumn("score", 1 / (1 + F.exp(-F.col("margin")))).drop(*names)
 
 
+BLOCK = 1 << 15  # rows stored together
+_BLOCKS = "hash binary, y binary, bins binary, margin binary"
+
+
 def binned(df: DataFrame, features: list[str], label: str, key: str, bins: int) -> tuple[DataFrame, list[list[float]]]:
-    """Stored rows (key, hash, y, bins, margin) and each feature's thresholds.
+    """Stored blocks of rows (hash, y, bins, margin) and each feature's thresholds.
 
     A feature's thresholds are its exact quantiles at ``bins`` - 1 even ranks; a value's bin
-    is the number of thresholds below it. Rows with a null feature or label are left out.
+    is the number of thresholds below it. Rows with a null feature or label are left out. A
+    block holds the numbers of ``BLOCK`` rows or a little more as bytes, so a pass over the
+    rows neither builds nor converts any row. Blocks are dealt evenly over the cluster.
     """
-    known = df.select(F.col(key).alias("key"), F.xxhash64(key).alias("hash"), F.col(label).cast("int").alias("y"),
+    known = df.select(F.xxhash64(key).alias("hash"), F.col(label).cast("int").alias("y"),
                       *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)]).dropna(
         subset=["y", *[f"x{i}" for i in range(len(features))]])
     known = materialize(known)
@@ -157,26 +167,37 @@ def binned(df: DataFrame, features: list[str], label: str, key: str, bins: int)
     for r in exact_quantiles(known, {f"x{i}": ranks for i in range(len(features))}).collect():
         cuts[int(r["feature"][1:])].append(r["quantile"])
     cuts = [sorted(set(c)) for c in cuts]
+    kind = _bin_type(cuts)
+
+    def pack(batches):
+        for rows in joined_batches(batches, BLOCK):
+            below = np.stack([np.searchsorted(c, rows[f"x{i}"].to_numpy(float)) for i, c in enumerate(cuts)])
+            yield pd.DataFrame({"hash": [rows["hash"].to_numpy(np.int64).tobytes()], "y": [rows["y"].to_numpy(float).tobytes()],
+                                "bins": [below.astype(kind).tobytes()], "margin": [np.zeros(len(rows)).tobytes()]})
 
-    def bin_of(i: int):
-        return F.size(F.filter(F.lit(cuts[i]).cast("array<double>"), lambda t: t < F.col(f"x{i}"))).cast("smallint")
+    spread = max(known.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism)
+    return materialize(known.repartition(spread).mapInPandas(pack, _BLOCKS)), cuts
 
-    below = F.array(*map(bin_of, range(len(features))))
-    return materialize(known.select("key", "hash", "y", below.alias("bins"), F.lit(0.0).alias("margin"))), cuts
 
+def _bin_type(cuts: list[list[float]]) -> np.dtype:
+    """The smallest type that holds the number of a feature's bins."""
+    return np.min_scalar_type(max(len(c) for c in cuts) + 1)
 
-def _matrix(batch: pd.DataFrame) -> np.ndarray:
-    return np.stack(batch["bins"].to_list()).astype(np.int64)
 
+def _unpacked(batch: pd.DataFrame, kind: np.dtype):
+    """(hash, y, bins as rows x features, margin) of each block."""
+    for hashes, y, bins, margin in zip(*(batch[c] for c in ("hash", "y", "bins", "margin"))):
+        y = np.frombuffer(y)
+        yield np.frombuffer(hashes, np.int64), y, np.frombuffer(bins, kind).reshape(-1, len(y)).T, np.frombuffer(margin)
 
-def _with_margins(rows: DataFrame, trees: list[Tree]) -> DataFrame:
+
+def _with_margins(blocks: DataFrame, trees: list[Tree], kind: np.dtype) -> DataFrame:
     def add(batches):
         for batch in batches:
-            if len(batch):
-                values = _matrix(batch)
-                yield batch.assign(margin=batch["margin"] + sum(t.margins(values, t.cut) for t in trees))
+            yield batch.assign(margin=[
+                (margin + sum(t.margins(values, t.cut) for t in trees)).tobytes() for _, _, values, margin in _unpacked(batch, kind)])
 
-    return rows.mapInPandas(add, rows.schema)
+    return blocks.mapInPandas(add, _BLOCKS)
 
 
 def fit_penalised(df: DataFrame, features, label: str, key: str = "CustomerId", trees: int = 100, depth: int = 4,
@@ -186,16 +207,16 @@ def fit_penalised(df: DataFrame, features, label: str, key: str = "CustomerId",
 
     Each tree sees the rows whose draw (a hash of key, seed and tree) is below ``row_share``
     and one sample of ``column_share`` of the features, drawn once per tree. A level costs
-    one pass over the binned rows: per task a matrix node x feature x bin of gradient and
-    curvature sums, added up as a tree, from which the driver picks the splits. Margins of
-    all trees before are stored with the rows every ``STORE_EVERY`` trees, so a pass only
+    one pass over the blocks of binned rows: per task a matrix node x feature x bin of gradient
+    and curvature sums, added up as a tree, from which the driver picks the splits. Margins of
+    all trees before are stored with the blocks every ``STORE_EVERY`` trees, so a pass only
     evaluates the trees since then.
 
     No row, or one label only, gives trees of one leaf.
     """
     features = list(features)
     rows, cuts = binned(df, features, label, key, bins)
-    width, parts = max(len(c) for c in cuts) + 1, max(1, rows.rdd.getNumPartitions())
+    width, kind, parts = max(len(c) for c in cuts) + 1, _bin_type(cuts), max(1, rows.rdd.getNumPartitions())
     chosen = max(1, int(column_share * len(features)))
     params = dict(label=label, key=key, l1=l1, l2=l2, row_share=row_share, seed=seed, rate=rate)
     done: list[Tree] = []
@@ -210,17 +231,18 @@ def fit_penalised(df: DataFrame, features, label: str, key: str = "CustomerId",
         before = list(recent)
 
         def sums(batch: pd.DataFrame) -> np.ndarray:
-            values, y = _matrix(batch), batch["y"].to_numpy(float)
-            margin = batch["margin"].to_numpy(float) + sum(t.margins(values, t.cut) for t in before)
-            p = 1 / (1 + np.exp(-margin))
             out = np.zeros((len(nodes) + 1, len(features), width, 2))
-            out[-1, 0, 0] = (np.logaddexp(0, margin) - y * margin).sum(), len(y)
-            at = place[tree.leaf_of(values, tree.cut)]
-            use = (at >= 0) & (drawn(batch["hash"].to_numpy(), seed, number) < row_share)
-            for f in range(len(features)):
-                cell = at[use] * width + values[use, f]
-                for c, v in enumerate(((p - y)[use], (p * (1 - p))[use])):
-                    out[:-1, f, :, c] = np.bincount(cell, v, len(nodes) * width).reshape(-1, width)
+            for hashes, y, values, stored in _unpacked(batch, kind):
+                margin = stored + sum(t.margins(values, t.cut) for t in before)
+                p = 1 / (1 + np.exp(-margin))
+                out[-1, 0, 0] += (np.logaddexp(0, margin) - y * margin).sum(), len(y)
+                at = place[tree.leaf_of(values, tree.cut)]
+                use = np.flatnonzero((at >= 0) & (drawn(hashes, seed, number) < row_share))
+                first, g, h = at[use] * width, (p - y)[use], (p * (1 - p))[use]
+                for f in range(len(features)):
+                    cell = first + values[:, f].take(use)
+                    for c, v in enumerate((g, h)):
+                        out[:-1, f, :, c] += np.bincount(cell, v, len(nodes) * width).reshape(-1, width)
             return out
 
         return summed(rows, parts, sums)
@@ -251,7 +273,7 @@ def fit_penalised(df: DataFrame, features, label: str, key: str = "CustomerId",
         done.append(tree)
         recent.append(tree)
         if len(recent) == STORE_EVERY:
-            rows = materialize(_with_margins(rows, recent))
+            rows = materialize(_with_margins(rows, recent, kind))
             parts, recent = max(1, rows.rdd.getNumPartitions()), []
     nothing = Tree()
     nothing.add(0.0)
@@ -278,14 +300,13 @@ def leaf_rows(model: PenalisedModel, df: DataFrame, number: int) -> DataFrame:
     def run(batches):
         m = shared.value
         tree, before = m.trees[number], m.trees[:number]
-        for batch in batches:
-            if len(batch):
-                values = batch[names].to_numpy(float)
-                leaf = tree.leaf_of(values, tree.threshold)
-                margin = sum((t.margins(values, t.threshold) for t in before), np.zeros(len(values)))
-                found = pd.DataFrame({"key": batch["key"], "leaf": leaf, "weight": np.array(tree.value)[leaf] / p["rate"],
-                                      "y": batch["y"], "margin": margin})
-                yield found[drawn(batch["hash"].to_numpy(), p["seed"], number) < p["row_share"]]
+        for batch in joined_batches(batches):
+            values = batch[names].to_numpy(float)
+            leaf = tree.leaf_of(values, tree.threshold)
+            margin = sum((t.margins(values, t.threshold) for t in before), np.zeros(len(values)))
+            found = pd.DataFrame({"key": batch["key"], "leaf": leaf, "weight": np.array(tree.value)[leaf] / p["rate"],
+                                  "y": batch["y"], "margin": margin})
+            yield found[drawn(batch["hash"].to_numpy(), p["seed"], number) < p["row_share"]]
 
     kind = rows.schema["key"].dataType.simpleString()
     return rows.mapInPandas(run, f"key {kind}, leaf long, weight double, y int, margin double")

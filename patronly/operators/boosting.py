@@ -150,13 +150,14 @@ BLOCK = 1 << 15  # rows stored together
 _BLOCKS = "hash binary, y binary, bins binary, margin binary"
 
 
-def binned(df: DataFrame, features: list[str], label: str, key: str, bins: int) -> tuple[DataFrame, list[list[float]]]:
+def binned(df: DataFrame, features: list[str], label: str, key: str, bins: int, share: float = 1.0) -> tuple[DataFrame, list[list[float]]]:
     """Stored blocks of rows (hash, y, bins, margin) and each feature's thresholds.
 
     A feature's thresholds are its exact quantiles at ``bins`` - 1 even ranks; a value's bin
     is the number of thresholds below it. Rows with a null feature or label are left out. A
     block holds the numbers of ``BLOCK`` rows or a little more as bytes, so a pass over the
-    rows neither builds nor converts any row. Blocks are dealt evenly over the cluster.
+    rows neither builds nor converts any row. Blocks are dealt evenly over ``share`` of the
+    cluster's cores.
     """
     known = df.select(F.xxhash64(key).alias("hash"), F.col(label).cast("int").alias("y"),
                       *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)]).dropna(
@@ -175,7 +176,7 @@ def binned(df: DataFrame, features: list[str], label: str, key: str, bins: int)
             yield pd.DataFrame({"hash": [rows["hash"].to_numpy(np.int64).tobytes()], "y": [rows["y"].to_numpy(float).tobytes()],
                                 "bins": [below.astype(kind).tobytes()], "margin": [np.zeros(len(rows)).tobytes()]})
 
-    spread = max(known.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism)
+    spread = max(1, round(share * max(known.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism)))
     return materialize(known.repartition(spread).mapInPandas(pack, _BLOCKS)), cuts
 
 
@@ -202,7 +203,7 @@ def _with_margins(blocks: DataFrame, trees: list[Tree], kind: np.dtype) -> DataF
 
 def fit_penalised(df: DataFrame, features, label: str, key: str = "CustomerId", trees: int = 100, depth: int = 4,
                   rate: float = 0.1, l1: float = 1.0, l2: float = 1.0, row_share: float = 0.8, column_share: float = 0.8,
-                  bins: int = 64, min_child: float = 1.0, min_gain: float = 1e-6, seed: int = 42) -> PenalisedModel:
+                  bins: int = 64, min_child: float = 1.0, min_gain: float = 1e-6, seed: int = 42, share: float = 1.0) -> PenalisedModel:
     """Fit boosted trees whose leaf weights carry an L1 and an L2 penalty.
 
     Each tree sees the rows whose draw (a hash of key, seed and tree) is below ``row_share``
@@ -210,12 +211,13 @@ def fit_penalised(df: DataFrame, features, label: str, key: str = "CustomerId",
     one pass over the blocks of binned rows: per task a matrix node x feature x bin of gradient
     and curvature sums, added up as a tree, from which the driver picks the splits. Margins of
     all trees before are stored with the blocks every ``STORE_EVERY`` trees, so a pass only
-    evaluates the trees since then.
+    evaluates the trees since then. ``share`` is the part of the cluster's cores to use, where
+    several models are fitted at once.
 
     No row, or one label only, gives trees of one leaf.
     """
     features = list(features)
-    rows, cuts = binned(df, features, label, key, bins)
+    rows, cuts = binned(df, features, label, key, bins, share)
     width, kind, parts = max(len(c) for c in cuts) + 1, _bin_type(cuts), max(1, rows.rdd.getNumPartitions())
     chosen = max(1, int(column_share * len(features)))
     params = dict(label=label, key=key, l1=l1, l2=l2, row_share=row_share, seed=seed, rate=rate)

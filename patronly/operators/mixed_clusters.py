@@ -7,14 +7,19 @@ do not build on each other's plans.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import key_digest
 from .cleaning import sample_n
 
+COMPILED = 50  # distances of one expression that the JVM still compiles: its limit is 8,000 bytes a method
+
 
 @dataclass
 class Prototypes:
@@ -42,9 +47,36 @@ class Prototypes:
 
     def assign(self, df: DataFrame, cluster: str = "Cluster") -> DataFrame:
         """Adds the nearest centre (ties: lowest index) and its distance."""
+        if len(self.centres) * (len(self.numeric) + len(self.categorical)) > COMPILED:
+            return self._assign_by_batch(df, cluster)
         return df.withColumn("_all", self.distances()).withColumn("Distance", F.array_min("_all")).withColumn(
             cluster, (F.array_position("_all", F.col("Distance")) - 1).cast("int")).drop("_all")
 
+    def _assign_by_batch(self, df: DataFrame, cluster: str) -> DataFrame:
+        """The same sums in the same order for many centres, a batch of rows with all centres
+        at once: the JVM does not compile an expression as long as that."""
+        levels = [sorted({names[j] for _, names in self.centres}) for j in range(len(self.categorical))]
+        centres = np.array([numbers for numbers, _ in self.centres], float).reshape(len(self.centres), len(self.numeric))
+        kinds = np.array([[levels[j].index(name) + 1 for j, name in enumerate(names)] for _, names in self.centres])
+        gamma, n = float(self.gamma), len(self.numeric)
+
+        @F.pandas_udf("at int, distance double")
+        def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                total = np.zeros((len(batch), len(centres)))
+                for j, c in enumerate(batch.columns):
+                    values = batch[c].to_numpy(float)[:, None]
+                    total += np.square(values - centres[:, j]) if j < n else np.where(values == kinds[:, j - n], 0.0, gamma)
+                at = total.argmin(axis=1)
+                yield pd.DataFrame({"at": at, "distance": total[np.arange(len(at)), at]})
+
+        numbers = [F.col(f"`{c}`").cast("double").alias(f"n{j}") for j, c in enumerate(self.numeric)]
+        codes = [F.coalesce(F.array_position(F.lit(level).cast("array<string>"), F.col(f"`{c}`").cast("string")), F.lit(0)).cast("double").alias(f"c{j}")
+                 for j, (c, level) in enumerate(zip(self.categorical, levels))]
+        known = reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in self.numeric], F.lit(True))
+        found = df.withColumn("_nearest", F.when(known, nearest(F.struct(*numbers, *codes))))
+        return found.withColumn("Distance", F.col("_nearest.distance")).withColumn(cluster, F.col("_nearest.at")).drop("_nearest")
+
 
 def _number(value) -> str:
     return f"({float(value)!r}D)"
@@ -140,18 +172,21 @@ def _fit_once(df: DataFrame, model: Prototypes, rounds: int, tolerance: float) -
 
 def _round(assigned: DataFrame, numeric, categorical) -> list:
     """Per centre and categorical column: row count, cost, numeric sums, most common value
-    (ties: smallest). Values are counted in long form, so the rows that come back are
-    centres x columns, however many values or combinations a column has.
+    (ties: smallest). Rows are added up by centre and categories, then counted in long form,
+    so the rows that come back are centres x columns, however many values or combinations a
+    column has.
     """
-    pairs = [F.struct(F.lit(j).alias("attribute"), F.col(c).cast("string").alias("value"))
-             for j, c in enumerate(categorical)] or [
-        F.struct(F.lit(0).alias("attribute"), F.lit(None).cast("string").alias("value"))]
     sums = {"cost": F.col("Distance"), **{f"s_{c}": F.col(c).cast("double") for c in numeric}}
+    names = [f"_c{j}" for j in range(len(categorical))]
+    grouped = assigned.groupBy("Cluster", *[F.col(c).cast("string").alias(n) for n, c in zip(names, categorical)]).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(n) for n, v in sums.items()])
+    pairs = [F.struct(F.lit(j).alias("attribute"), F.col(n).alias("value")) for j, n in enumerate(names)] or [
+        F.struct(F.lit(0).alias("attribute"), F.lit(None).cast("string").alias("value"))]
     first = F.col("p.attribute") == 0  # numbers are summed once, not once per category
     counted = (
-        assigned.select("Cluster", *[v.alias(n) for n, v in sums.items()], F.explode(F.array(*pairs)).alias("p"))
+        grouped.select("Cluster", "n", *sums, F.explode(F.array(*pairs)).alias("p"))
         .groupBy("Cluster", "p.attribute", "p.value")
-        .agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.when(first, F.col(n))).alias(n) for n in sums])
+        .agg(F.sum("n").alias("n"), *[F.sum(F.when(first, F.col(n))).alias(n) for n in sums])
     )
     best = F.min(F.struct(-F.col("n"), F.col("value").alias("value")))["value"]
     return counted.groupBy("Cluster", "attribute").agg(

@@ -136,3 +136,15 @@ def test_streams_do_not_depend_on_buckets(spark, order_rows, tmp_path, build):
         columns = ["OrderNumber", *wa.DEVIATIONS, *wa.FLAG_RULES]
         for a, b in zip(rows(found[0], *columns), rows(wa.order_warnings(table), *columns)):
             assert a == pytest.approx(b)
+
+
+def test_sessions_are_joined_once_before_their_text_is_encoded(spark, monkeypatch):
+    from patronly.plans import flows
+
+    plans, encode = [], flows.features.label_encode
+    monkeypatch.setattr(flows.features, "label_encode", lambda df, columns: plans.append(
+        df._jdf.queryExecution().optimizedPlan().toString()) or encode(df, columns))
+    own = spark.range(60).selectExpr("id as CustomerId", "id % 3 = 0 as OneAndDone", "(id % 2) / 2 as PctWorkday")
+    seen = spark.range(60).selectExpr("id as CustomerId", "if(id % 3 = 0, 'a', 'b') as traffic_source_medium", "'x' as device_category")
+    found = flows.one_and_done_classifier(own.join(seen, "CustomerId"), trees=2)
+    assert "Join" not in plans[0] and found["scored"].count() == found["test"].count() > 5
